@@ -31,3 +31,24 @@ def local_session(cores: int | None = None, shuffle_partitions: int | None = Non
     )
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once per application, so that Python stages import it wherever they run."""
+    import tempfile
+    import zipfile
+    from pathlib import Path
+
+    application = spark.sparkContext.applicationId
+    if application in _SHIPPED:
+        return
+    root = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="quillstone-")) / "quillstone.zip"
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as packed:
+        for path in sorted(root.rglob("*.py")):
+            packed.write(path, f"{root.name}/{path.relative_to(root)}")
+    spark.sparkContext.addPyFile(str(target))
+    _SHIPPED.add(application)
