@@ -1,10 +1,71 @@
-"""The corpus pipeline: documents in, packed sequences out. Part of the subpackage quillstone.llm."""
+"""The corpus pipeline: documents in, packed training sequences out.
+
+Counted as part of the subpackage quillstone.llm. Each stage is a function of (spark,
+docs, sf_dir); its result is written as Parquet and read again as the next one's docs.
+All but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
-from quillstone.llm import packing, simhash
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+from quillstone.llm import langid, mixing, packing, passages, simhash
+from quillstone.llm.common import documents, shared_dir
+from quillstone.llm.registry import REST, WEIGHTS
+from quillstone.session import ship
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter, so without a language, go."""
+    ship(spark)
+    return langid.identified(docs, langid.learn(docs))
+
+
+def one_near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates the document with the least id stays."""
+    ship(spark)
+    return simhash.one_of_each(docs)
+
+
+def no_repeated_passage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of 50 words and more that an earlier document has are cut out."""
+    ship(spark)
+    return passages.without_repeats(docs)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in the order of the mix; none is dropped or repeated."""
+    ship(spark)
+    return mixing.in_order(docs, WEIGHTS, REST)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row per piece, with its sequence."""
+    ship(spark)
+    return packing.pack(docs, with_ids=False)
+
 
 STAGES = [
-    ("simhash near-dedup", lambda spark, docs, sf_dir: simhash.one_of_each(docs)),
-    ("packing", lambda spark, docs, sf_dir: packing.pack(docs, with_ids=False)),
+    ("language ID", known_language),
+    ("SimHash near-dedup", one_near_duplicate),
+    ("substring dedup", no_repeated_passage),
+    ("mixing sources", mixed),
+    ("packing", packed),
 ]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; each result is a table in the shared folder."""
+    docs = documents(spark, sf_dir)
+    top = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    for i, (_, stage) in enumerate(STAGES):
+        path = f"{top}/{i}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs
+
+
+#: No SQL says what a learned model, a graph's components or a tokenizer do.
+ORACLE_SQL = None

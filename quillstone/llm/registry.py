@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quillstone.session import ship
 
-from . import packing, simhash, urls
+from . import fm, jpeg, langid, licenses, mixing, packing, passages, simhash, spotsigs, urls
 from .common import documents
 
 
@@ -18,15 +18,56 @@ def op1_url_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_pages(documents(spark, sf_dir, "pages"), urls.RULES)
 
 
+#: Production target weights of the mix; sources not listed share the rest.
+WEIGHTS = {"src0": 0.1, "src1": 0.15, "src2": 0.1, "src3": 0.05}
+REST = 0.6
+
+
+def op2_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf_dir), WEIGHTS, REST)
+
+
+def op3_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return fm.score(docs, fm.learn(docs, documents(spark, sf_dir, "labels")))
+
+
 def op4_pack_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), with_ids=False)
 
 
+def op5_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.compare_edited(documents(spark, sf_dir))
+
+
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(documents(spark, sf_dir)).drop("spans")
+
+
+def op7_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jpeg.digests(documents(spark, sf_dir))
+
+
+def op8_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return langid.identify(docs, langid.learn(docs))
+
+
 def op9_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(documents(spark, sf_dir))
     return found.select("doc_id", simhash.hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op10_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeats(documents(spark, sf_dir))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def _shipped(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     @functools.wraps(f)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,7 +77,19 @@ def _shipped(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSess
     return run
 
 
-OPERATORS = (op1_url_trust, op4_pack_binary, op9_simhash_pigeonring)
+OPERATORS = (
+    op1_url_trust,
+    op2_pfair_mix,
+    op3_quality_fm,
+    op4_pack_binary,
+    op5_spotsigs,
+    op6_license_scan,
+    op7_progressive_jpeg,
+    op8_cross_parsing,
+    op9_simhash_pigeonring,
+    op10_compact_windows,
+    pipeline,
+)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
