@@ -1 +1 @@
-"""See the package README for an overview."""
+"""Named queries. Importing library fills the registry."""
