@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from quillstone.plans import retrieval  # noqa: F401
+from quillstone.plans import retrieval, texts  # noqa: F401
