@@ -19,6 +19,47 @@ def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> Data
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def _position(df: DataFrame, name: str) -> int:
+    """Where a column stands: the first of exactly this name, else the first in another case."""
+    for same in (lambda c: c == name, lambda c: c.lower() == name.lower()):
+        for i, c in enumerate(df.columns):
+            if same(c):
+                return i
+    raise ValueError(f"no column {name}")
+
+
+def take(df: DataFrame, *names: str) -> DataFrame:
+    """Just the named columns, by place: other columns may have any names, the same in another case too."""
+    plain = df.toDF(*[f"_c{i}" for i in range(len(df.columns))])
+    return plain.select(*[F.col(f"_c{_position(df, n)}").alias(n) for n in names])
+
+
+class Rows:
+    """A table whose columns have names of their own while whole rows are worked on.
+
+    ``rows`` holds them, ``col(name)`` is a column of it; ``back`` gives a
+    result with these columns its names again.
+    """
+
+    def __init__(self, df: DataFrame):
+        self.names = df.columns
+        self.schema = df.schema
+        self._df = df
+        self.rows = df.toDF(*[f"_c{i}" for i in range(len(df.columns))])
+
+    def at(self, name: str) -> int:
+        return _position(self._df, name)
+
+    def has(self, name: str) -> bool:
+        return name in self.names
+
+    def col(self, name: str) -> Column:
+        return F.col(f"_c{self.at(name)}")
+
+    def back(self, df: DataFrame) -> DataFrame:
+        return df.select(*[f"_c{i}" for i in range(len(self.names))]).toDF(*self.names)
+
+
 def lower_ascii(column: Column) -> Column:
     """A-Z become a-z, every other character stays."""
     return F.translate(column, UPPER, LOWER)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, learnable
+from .common import held_out, learnable, take
 
 BUCKETS = 1 << 15
 RANK = 8
@@ -186,7 +186,7 @@ def _sampled(buckets: int):
 
 def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = ROWS, buckets: int = BUCKETS) -> Machine:
     """The machine from at most ``rows`` labelled documents."""
-    marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label"))
+    marked = take(labels, "doc_id", label).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label"))
     chosen = (
         marked.where(learnable(F.col("doc_id")) & F.col("label").isNotNull())
         .groupBy("doc_id")
@@ -194,13 +194,13 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(rows)
     )
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = take(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     joined = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text")
     sample = joined.mapInArrow(_sampled(buckets), "doc_id long, label int, slots array<int>, weights array<float>, structure array<double>").toArrow()
     order = np.argsort(sample.column("doc_id").to_numpy(), kind="stable")
     lists = [sample.column(c).combine_chunks() for c in ("slots", "weights", "structure")]
-    take = lambda i: tuple(np.asarray(c[i].values) for c in lists)
-    found = [(s.astype(np.int64), w, d.tolist()) for s, w, d in (take(int(i)) for i in order)]
+    row_of = lambda i: tuple(np.asarray(c[i].values) for c in lists)
+    found = [(s.astype(np.int64), w, d.tolist()) for s, w, d in (row_of(int(i)) for i in order)]
     return train(found, sample.column("label").to_numpy()[order].clip(0, 1).astype(np.float32), buckets)
 
 
@@ -220,6 +220,6 @@ def _scored(shared):
 def score(docs: DataFrame, machine: Machine, threshold: float = 0.7) -> DataFrame:
     """doc_id, held_out, score, predicted for every row."""
     shared = docs.sparkSession.sparkContext.broadcast(machine)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("text"))
+    rows = take(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("text"))
     scored = rows.mapInArrow(_scored(shared), "doc_id long, held_out boolean, score double")
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

@@ -32,6 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import take
+
 
 def _zigzag() -> np.ndarray:
     """Natural position (8 row + column) of each zigzag place: diagonals, in turn upward and downward."""
@@ -455,7 +457,7 @@ def _stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def digests(docs: DataFrame) -> DataFrame:
     """One row per document: its payload stored as a progressive JPEG, read back, and features of the picture."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = take(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
     return rows.mapInArrow(_stored, schema)
 
@@ -474,5 +476,5 @@ def _tensors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def tensors(media: DataFrame, identity: str = "doc_id", content: str = "media") -> DataFrame:
     """Full-resolution RGB tensors (bytes, row by row) of a column of JPEG streams; what can't be decoded has an error."""
-    rows = media.select(F.col(identity).cast("long").alias("id"), F.col(content).cast("binary").alias("media"))
+    rows = take(media, identity, content).select(F.col(identity).cast("long").alias("id"), F.col(content).cast("binary").alias("media"))
     return rows.mapInArrow(_tensors, "id long, height int, width int, rgb binary, error string").withColumnRenamed("id", identity)

@@ -12,12 +12,13 @@ text at once. A text is cut into pieces of ``PIECE`` classes, each parsed on its
 so that a very long text takes as many steps as a short one; the same cut is made for
 every language, and every byte of the text is parsed.
 
-Learning: at most ``ROWS`` labelled rows a language (those with the least hash of the
-id, of a length in ``LENGTHS``), of which at most ``SAMPLE`` classes are kept. The model
-is a few MB at any size of the corpus.
+Learning: at most ``ROWS`` labelled rows a language (those of a length in ``LENGTHS``
+first, then by a hash of the id), of each at most the upper length, in all about
+``SAMPLE`` classes. The model is a few MB at any size of the corpus. These bounds are
+the sample's; predictions read whole texts.
 
 Defined cases: null text, and text without a letter, gives ``und`` and score 0. Without
-any labelled row every text is ``und``. Empty tables give no rows. Repeated rows get
+any labelled row every text is ``und``; the filter then only drops texts without a letter. Empty tables give no rows. Repeated rows get
 equal values. Extra columns are ignored; lang, source and doc_id are never inputs of a
 prediction.
 """
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import held_out, learnable
+from .common import Rows, held_out, learnable, take
 
 UNKNOWN = "und"
 PIECE = 512
@@ -97,7 +98,7 @@ class Model:
     languages: list[str]
     classes: bytes  #: byte to class; class 0 occurs in no sample
     width: int
-    tables: list[np.ndarray]  #: (state * width + class) -> 2 * (next state * width) + phrase ended
+    tables: list[np.ndarray]  #: (state * width + class) -> 4 * (next state * width) + phrases ended
     cost: list[float]  #: bits that name one phrase: log2 of the sample's length
 
     @staticmethod
@@ -139,11 +140,12 @@ def _table(coded: bytes, width: int) -> np.ndarray:
     for ch, to in states[0].items():
         root[ch] = to * width
     table = np.empty((len(states), width), np.int64)
-    table[:] = root * 2 + 1  # no way on: the phrase ends before this class, which begins the next
+    # no way on: the phrase ends before this class, which begins the next or, in no sample, is one of its own
+    table[:] = root * 4 + np.where(root > 0, 1, 2)
     for state, ways in enumerate(states):
         for ch, to in ways.items():
-            table[state, ch] = to * width * 2
-    table[0, root == 0] = 1  # a class in no sample is a phrase of its own
+            table[state, ch] = to * width * 4
+    table[0, root == 0] = 1
     return table.ravel().astype(np.int32)
 
 
@@ -169,26 +171,28 @@ def _parse(coded: list[bytes], table: np.ndarray, width: int, piece: int = PIECE
     sizes = sizes[order]
     active = np.searchsorted(-sizes, -np.arange(piece), side="left")  # pieces longer than each step
     state = np.zeros(len(owner), np.int32)
-    ended = np.ones(len(owner), np.int32)  # the phrase that the piece's end closes
+    ended = np.zeros(len(owner), np.int32)
     for step in range(piece):
         n = int(active[step])
         if not n:
             break
         got = table.take(state[:n] + columns[step, :n])
-        ended[:n] += got & 1
-        np.right_shift(got, 1, out=state[:n])
+        ended[:n] += got & 3
+        np.right_shift(got, 2, out=state[:n])
+    ended += state != 0  # the phrase that the piece's end closes
     np.add.at(phrases, owner[order], ended)
     return phrases, lengths
 
 
 def learn(docs: DataFrame, rows: int = ROWS, sample: int = SAMPLE, lengths: tuple[int, int] = LENGTHS) -> Model:
     """The model from labelled rows that may be learned from; a bounded sample goes to the driver."""
-    labelled = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    usable = labelled.where(learnable(F.col("doc_id")) & F.col("lang").isNotNull() & F.length("text").between(*lengths))
-    rank = Window.partitionBy("lang").orderBy("h", "doc_id")
+    labelled = take(docs, "doc_id", "text", "lang").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    usable = labelled.where(learnable(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    rank = Window.partitionBy("lang").orderBy("odd", "h", "doc_id")
     # ids first, so that the ranking moves no text; the window keeps `rows` a language before its shuffle
-    chosen = usable.select("doc_id", "lang", F.xxhash64("doc_id").alias("h")).withColumn("r", F.row_number().over(rank)).where(F.col("r") <= rows)
-    picked = usable.join(F.broadcast(chosen.select("doc_id", "lang", "r")), ["doc_id", "lang"])
+    odd = ~F.length("text").between(*lengths)
+    chosen = usable.select("doc_id", "lang", odd.alias("odd"), F.xxhash64("doc_id").alias("h")).withColumn("r", F.row_number().over(rank)).where(F.col("r") <= rows)
+    picked = usable.withColumn("text", F.substring("text", 1, lengths[1])).join(F.broadcast(chosen.select("doc_id", "lang", "r")), ["doc_id", "lang"])
     samples: dict[str, list[bytes]] = {}
     total: dict[str, int] = {}
     for row in sorted(picked.collect(), key=lambda x: (x["lang"], x["r"], x["text"])):
@@ -216,7 +220,7 @@ def _predict(shared):
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, lang_pred, score for every row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("text"))
+    rows = take(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(_predict(shared), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
@@ -226,8 +230,9 @@ def _keep(shared, text_at: int):
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                found = model.predict(part.column(text_at).to_pylist())
-                yield part.filter(pa.array([x != UNKNOWN for x, _ in found], pa.bool_()))
+                texts = part.column(text_at).to_pylist()
+                known = [x != UNKNOWN for x, _ in model.predict(texts)] if model.languages else [has_letter(x) for x in texts]
+                yield part.filter(pa.array(known, pa.bool_()))
 
     return run
 
@@ -235,4 +240,5 @@ def _keep(shared, text_at: int):
 def identified(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of docs, all columns, whose language is known; what has no letter goes."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.mapInArrow(_keep(shared, docs.columns.index("text")), docs.schema)
+    whole = Rows(docs)
+    return whole.back(whole.rows.mapInArrow(_keep(shared, whole.at("text")), whole.rows.schema))

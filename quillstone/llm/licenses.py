@@ -3,7 +3,7 @@
 A notice may differ in up to k single-character edits. Cut into k + 1 pieces, at least
 one piece then stands in the text unchanged. Plain searches for the pieces give small
 windows; only there the regex library matches the whole notice with at most k errors
-and reports the best span and its edits.
+and reports the span, improved to its nearest fit, and its edits.
 
 Words are runs of digits, letters and any character beyond ASCII, after A-Z have been
 lower-cased; notices are compared with the words joined by single spaces. Places are
@@ -26,6 +26,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import take
+
 #: Phrases that label a text wherever they stand.
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
@@ -72,7 +74,7 @@ class Scanner:
         self.notices = []
         for n in notices:
             plain = n.words.encode()
-            pattern = regex.compile(b"(?be)(?:" + regex.escape(plain) + b"){e<=%d}" % n.edits)
+            pattern = regex.compile(b"(?e)(?:" + regex.escape(plain) + b"){e<=%d}" % n.edits)
             self.notices.append((n, len(plain), pieces(plain, n.edits + 1), pattern))
 
     def words(self, text: str) -> bytes:
@@ -111,11 +113,13 @@ class Scanner:
                 else:
                     windows.append([low, high])
                     end = high
+            word = seen = 0
             for low, high in windows:
                 for m in pattern.finditer(joined, low, high):
-                    first = joined.count(b" ", 0, m.start() + 1) - (0 if m.start() < len(joined) and joined[m.start()] == 32 else 1)
+                    word += joined.count(b" ", seen, m.start() + 1)
+                    seen = m.start() + 1
                     edits = sum(m.fuzzy_counts)
-                    out.append((notice.label, max(0, first), len(m.group().split()), edits, 1 - edits / length))
+                    out.append((notice.label, max(0, word - 1), len(m.group().split()), edits, 1 - edits / length))
         return out
 
 
@@ -157,7 +161,7 @@ SCHEMA = pa.schema(
 
 def scan(docs: DataFrame, notices: Sequence[Notice] = NOTICES, base: dict[str, str] = BASE) -> DataFrame:
     """One row per document: word and place counts, labels, score, and the spans of near notices."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = take(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     kind = "array<struct<label:string,word:long,words:long,edits:long>>"
     schema = f"doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans {kind}"
     return rows.mapInArrow(_scan(notices, base), schema)

@@ -29,10 +29,10 @@ from __future__ import annotations
 import heapq
 from bisect import bisect_left
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import Rows, cut, take
 
 PERIOD = 1000
 BLOCK_DOCS = 16
@@ -113,13 +113,9 @@ def target_weights(counts: dict[str, int], weights: dict[str, float] | None, res
     return listed | {s: rest * n / total for s, n in others.items()}
 
 
-def _source(df: DataFrame) -> Column:
-    return F.coalesce(df["source"].cast("string"), F.lit(""))
-
-
 def ranked(docs: DataFrame, rows_a_part: int = 200_000) -> tuple[DataFrame, dict[str, int]]:
     """(doc_id, source, rank from 0 within the source), and the documents of each source."""
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _source(docs).alias("source"))
+    base = take(docs, "doc_id", "source").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"))
     counts = {r["source"]: r["n"] for r in base.groupBy("source").agg(F.count("*").alias("n")).collect()}  # a row a source
     parts = max(1, -(-sum(counts.values()) // rows_a_part))
     h = F.xxhash64(F.lit("mix"), F.col("doc_id"))
@@ -173,6 +169,6 @@ def in_order(docs: DataFrame, weights: dict[str, float] | None = None, rest: flo
     turn), so none is lost or multiplied.
     """
     places = mix(docs, weights, rest, block_docs, period).groupBy("doc_id", "source").agg(F.min(F.struct("slot", "position")).alias("at"))
-    places = places.select(F.col("doc_id").alias("_id"), F.col("source").alias("_of"), F.col("at.slot").alias("_slot"), F.col("at.position").alias("_position"))
-    joined = docs.join(places, docs["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (_source(docs) == F.col("_of")))
-    return joined.orderBy("_slot", "_position", "_id").drop("_id", "_of", "_slot", "_position")
+    whole = Rows(docs)
+    own = (whole.col("doc_id").cast("long").eqNullSafe(F.col("doc_id"))) & (F.coalesce(whole.col("source").cast("string"), F.lit("")) == F.col("source"))
+    return whole.back(whole.rows.join(places, own).orderBy("at.slot", "at.position", "doc_id"))

@@ -17,6 +17,7 @@ tables give no rows. Extra columns are ignored.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -25,15 +26,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, take
 
 LONGEST = 1024
 END_ID = 0
 _SPECIAL = "<|endoftext|>"
+_LONG_SPACE = re.compile(r"\s{2000}")  # the fast way's regular expressions run out of stack on such
 
 
 class Encoder:
-    """Ids of the byte-level vocabulary. The rank form of the same vocabulary is the fast way; a text that holds a special token's string, or that it can't take, goes through the tokenizers library."""
+    """Ids of the byte-level vocabulary. The rank form of the same vocabulary is the fast way; a text that holds a special token's string, or thousands of spaces on end, goes through the tokenizers library."""
 
     def __init__(self, json_path: str, ranks_path: str | None):
         from tokenizers import Tokenizer
@@ -51,11 +53,8 @@ class Encoder:
             self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def ids(self, text: str) -> list[int]:
-        if self.fast is not None and _SPECIAL not in text:
-            try:
-                return self.fast.encode_ordinary(text)
-            except ValueError:
-                pass
+        if self.fast is not None and _SPECIAL not in text and not _LONG_SPACE.search(text):
+            return self.fast.encode_ordinary(text)
         return self.whole.encode(text, add_special_tokens=False).ids
 
 
@@ -107,7 +106,7 @@ def pack(docs: DataFrame, longest: int = LONGEST, vocabulary_paths: tuple[str, s
     if longest & (longest - 1):
         raise ValueError("longest must be a power of two")
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = take(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     pieces = cut(rows.mapInArrow(_pieces(vocabulary_paths, longest, with_ids), schema))
     parts = max(1, -(-pieces.count() // rows_a_part))
     dealt = pieces.withColumn("part", F.pmod(F.xxhash64("doc_id", "start"), F.lit(parts)))

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import Rows, cut, take
 
 LIMIT = 4
 WIDTHS = (13, 13, 13, 13, 12)
@@ -69,7 +69,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, fp long) for every row."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = take(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(_fingerprints, "doc_id long, fp long")
 
 
@@ -254,9 +254,12 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     The row with the component's own id stays; of repeated rows with that id, one. Rows
     without an id can't be named by a component: one of each text stays.
     """
-    found = near_duplicates(docs.where("doc_id is not null"))
-    kept = cut(found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("_times")))
-    stay = docs.join(kept.select(F.col("doc_id").alias("_keep")), F.col("doc_id") == F.col("_keep"), "left_semi")
-    if not kept.where("_times > 1").isEmpty():
-        stay = stay.dropDuplicates(["doc_id"])
-    return stay.unionByName(docs.where("doc_id is null").dropDuplicates(["text"]))
+    whole = Rows(docs)
+    named = take(docs, "doc_id", "text").where("doc_id is not null")
+    found = near_duplicates(named)
+    kept = cut(found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("times")))
+    doc_id, text = whole.col("doc_id"), f"_c{whole.at('text')}"
+    stay = whole.rows.join(kept.select(F.col("doc_id").alias("keep")), doc_id.cast("long") == F.col("keep"), "left_semi")
+    if not kept.where("times > 1").isEmpty():
+        stay = stay.dropDuplicates([f"_c{whole.at('doc_id')}"])
+    return whole.back(stay.unionByName(whole.rows.where(doc_id.isNull()).dropDuplicates([text])))
