@@ -118,7 +118,7 @@ def moving_avg_50_200(spark, sf_dir):
 
 @register("rate_cap_minute", "select user_id, date_trunc('minute', ts) as minute_start, count(*) n, count(*) > 60 capped from events group by all")
 def rate_cap_minute(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy("user_id", F.date_trunc("minute", "ts").alias("minute_start")).agg(F.count("*").alias("n"), (F.count("*") > 60).alias("capped"))
+    return table(spark, sf_dir, "events").groupBy("user_id", F.date_trunc("minute", "ts").cast("timestamp_ntz").alias("minute_start")).agg(F.count("*").alias("n"), (F.count("*") > 60).alias("capped"))
 
 
 @register("error_rate_by_user", "select user_id, count(*) total, count(*) filter (event_type = 'error') errors, round(avg(case when event_type <> 'error' then 1.0 else 0.0 end) * 100, 6) success_rate from events group by 1")

@@ -185,7 +185,7 @@ def page_tables(spark, sf_dir):
 @register("stream_window_counts", "select date_trunc('day', ts) as start, event_type, count(*) n, round(sum(value), 4) total from events group by all")
 def stream_window_counts(spark, sf_dir):
     found = streams.drain(streams.window_counts(streams.event_stream(spark, sf_dir)))
-    return found.select("start", "event_type", "n", F.round("total", 4).alias("total"))
+    return found.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
 @register(
@@ -196,9 +196,14 @@ select user_id, min(ts) as start, count(*) n from s group by user_id, sid""",
 )
 def stream_sessions(spark, sf_dir):
     found = streams.drain(streams.sessions(streams.event_stream(spark, sf_dir)))
-    return found.select("user_id", "start", "n")
+    return found.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n")
 
 
 @register("stream_rate_cap")
 def stream_rate_cap(spark, sf_dir):
     return streams.drain(streams.rate_cap(streams.event_stream(spark, sf_dir)), "append")
+
+
+@register("stream_key_health")
+def stream_key_health(spark, sf_dir):
+    return streams.drain(streams.key_health(streams.event_stream(spark, sf_dir)), "append")

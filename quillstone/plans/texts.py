@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quillstone.functions import ocr as O
 from quillstone.functions import text as T
 from quillstone.operators import chunks as C
+from quillstone.operators import knowledge as K
 from quillstone.plans.catalog import register
 from quillstone.session import ship
 from quillstone.sources import detect as D
@@ -336,3 +338,60 @@ def route(spark, sf_dir):
     content = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     size = F.octet_length(content)
     return table(spark, sf_dir, "pages").select("page_id", size.cast("long").alias("size"), D.route(size, F.lit("text/html"), F.col("url"), content).alias("route"))
+
+
+@register("ocr_clean")
+def ocr_clean(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", F.sha2(O.clean_markdown(F.col("text")).cast("binary"), 256).alias("clean_sha"))
+
+
+@register("table_extract")
+def table_extract(spark, sf_dir):
+    ship(spark)
+    return O.extract_tables(_docs(spark, sf_dir))
+
+
+@register(
+    "prompt_kind",
+    "select conv_id, turn, case when "
+    + "(" + " or ".join(f"contains(lower(text), '{t}')" for t in O.TABLE_TERMS) + ") and turn >= 2 then 'table' when "
+    + "(" + " or ".join(f"contains(lower(text), '{t}')" for t in O.FOOTNOTE_TERMS) + ") and turn >= 1 then 'footnote' else 'structure' end kind from conversations where text is not null",
+)
+def prompt_kind(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").where("text is not null")
+    return rows.select("conv_id", "turn", O.prompt_kind(F.col("text"), F.col("turn"), F.col("turn")).alias("kind"))
+
+
+@register(
+    "cluster_terms",
+    """with d as (select lang as cluster, doc_id id, text from documents where text is not null and lang is not null),
+w as (select cluster, id, unnest(list_filter(regexp_split_to_array(lower(text), '[ \\t\\n\\r]+'), lambda x: x <> '')) w from d),
+df as (select w, count(distinct id) df from w group by 1), tf as (select cluster, w, count(*) tf from w group by all), n as (select count(distinct id) n from d),
+s as (select cluster, w, round(tf * ln((n + 1) / df), 6) score from tf join df using (w), n),
+r as (select *, row_number() over (partition by cluster order by score desc, w) as rank from s)
+select * from r where rank <= 15""",
+)
+def cluster_terms(spark, sf_dir):
+    docs = _docs(spark, sf_dir).where("lang is not null").select(F.col("lang").alias("cluster"), F.col("doc_id").alias("id"), "text")
+    return K.cluster_terms(docs, 15)
+
+
+@register(
+    "cluster_representatives",
+    """with v as (select vec_id id, label as cluster, unnest(embedding::double[]) x, generate_subscripts(embedding, 1) i from embeddings),
+c as (select cluster, i, avg(x) c from v group by all), d as (select cluster, id, round(sqrt(sum((x - c) * (x - c))), 6) d from v join c using (cluster, i) group by all),
+u as (select cluster, id, d, sum(10 + id % 7) over (partition by cluster order by d, id rows unbounded preceding)::bigint used from d)
+select * from u where used <= 100""",
+)
+def cluster_representatives(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("cluster"), F.col("embedding").alias("v"))
+    d = K.centre_distances(rows).withColumn("d", F.round("d", 6)).withColumn("tokens", F.lit(10) + F.col("id") % 7)
+    return K.representatives(d, 100).select("cluster", "id", "d", "used")
+
+
+@register("policy_graph_totals")
+def policy_graph_totals(spark, sf_dir):
+    ship(spark)
+    parts = K.policy_graph(_docs(spark, sf_dir))
+    totals = [df.agg(F.lit(name).alias("part"), F.count("*").alias("n")) for name, df in parts.items()]
+    return totals[0].union(totals[1]).union(totals[2])

@@ -9,6 +9,7 @@ import re
 import zipfile
 import zlib
 from collections.abc import Iterator
+from html import unescape
 from xml.etree import ElementTree
 
 import pyarrow as pa
@@ -28,7 +29,8 @@ def scan(spark: SparkSession, path: str, glob: str | None = None, largest: int =
     files = reader.load(path)
     big = F.col("length") > largest
     kind = document_type(F.lit(None).cast("string"), F.col("path"), F.col("content"))
-    return files.select("path", F.col("length").alias("size"), F.when(big, "oversize").otherwise(kind).alias("kind"), F.when(~big, F.col("content")).alias("content"))
+    marked = F.when(F.lower("path").rlike(r"\.x?html?$"), "html").when(F.lower("path").endswith(".epub"), "epub").otherwise(kind)
+    return files.select("path", F.col("length").alias("size"), F.when(big, "oversize").otherwise(marked).alias("kind"), F.when(~big, F.col("content")).alias("content"))
 
 
 def _local(tag: str) -> str:
@@ -138,7 +140,23 @@ def image(data: bytes) -> list[Row]:
     return [(1, "image", "[image]")]
 
 
-PARSERS = {"txt": txt, "docx": docx, "pptx": pptx, "xlsx": xlsx, "eml": eml, "pdf": pdf, "image": image}
+def html(data: bytes) -> list[Row]:
+    """The text of a page: scripts and styles go, block ends become lines."""
+    s = re.sub(r"(?is)<(script|style)[^>]*>.*?</\1>", "", data.decode("utf-8", "replace"))
+    s = re.sub(r"(?i)<br[^>]*>|</(?:p|div|li|tr|h[1-6]|title)>", "\n", s)
+    lines = [" ".join(unescape(re.sub(r"<[^>]+>", " ", x)).split()) for x in s.split("\n")]
+    content = "\n".join(x for x in lines if x)
+    return [(1, "page", content)] if content else []
+
+
+def epub(data: bytes) -> list[Row]:
+    """The pages of a book in the order of its archive."""
+    book = zipfile.ZipFile(io.BytesIO(data))
+    pages = [html(book.read(n)) for n in book.namelist() if re.search(r"\.x?html?$", n)]
+    return [(i, "page", p[0][2]) for i, p in enumerate((p for p in pages if p), 1)]
+
+
+PARSERS = {"html": html, "epub": epub, "txt": txt, "docx": docx, "pptx": pptx, "xlsx": xlsx, "eml": eml, "pdf": pdf, "image": image}
 
 
 def _pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,3 +183,25 @@ def page_batches(rows: DataFrame, workers: int) -> DataFrame:
 
     n = F.count("*").over(Window.partitionBy("path"))
     return rows.withColumn("batch", F.floor((F.col("number") - 1) / F.floor(n / workers + 1)))
+
+
+def listing(spark: SparkSession, path: str, glob: str) -> DataFrame:
+    """path, size and time of files by name pattern; nothing is read from them."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path)
+    return found.select("path", F.col("length").alias("size"), "modificationTime")
+
+
+def texts(spark: SparkSession, path: str) -> DataFrame:
+    """path and whole stripped content of text files."""
+    read = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").text(path)
+    return read.select(F.input_file_name().alias("path"), F.trim("value").alias("content"))
+
+
+def append_text(rows: DataFrame, path: str) -> None:
+    """Appends a column of lines to a folder of text files."""
+    rows.select(F.col(rows.columns[0]).cast("string")).write.mode("append").text(path)
+
+
+def json_rows(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Records of a service's answers; a broken one has all columns null."""
+    return spark.read.schema(schema).option("mode", "PERMISSIVE").option("multiLine", "true").json(path)

@@ -86,3 +86,55 @@ def run_sql(spark: SparkSession, query: str) -> DataFrame:
     """Any SQL text over the registered views: trimmed, without one trailing semicolon."""
     text = query.strip()
     return spark.sql(text[:-1] if text.endswith(";") else text)
+
+
+def resolve_sources(rows: DataFrame) -> DataFrame:
+    """rows (id, text, meta json) with the first of the metadata's source, file_name, filename, else the id; empty texts go."""
+    keys = [F.nullif(F.get_json_object("meta", f"$.{k}"), F.lit("")) for k in ("source", "file_name", "filename")]
+    return rows.where("text <> ''").withColumn("source", F.coalesce(*keys, F.col("id").cast("string")))
+
+
+def update(rows: DataFrame, where: Column, **values) -> DataFrame:
+    """rows with columns set where a condition holds."""
+    return rows.withColumns({c: F.when(where, v if isinstance(v, Column) else F.lit(v)).otherwise(F.col(c)) for c, v in values.items()})
+
+
+def latest(rows: DataFrame, by: str, limit: int | None = None) -> DataFrame:
+    out = rows.orderBy(F.col(by).desc_nulls_last())
+    return out.limit(limit) if limit else out
+
+
+def clear_tagged(nodes: DataFrame, edges: DataFrame, tag: Column, key: str = "id") -> tuple[DataFrame, DataFrame]:
+    """A graph without the nodes of a tag and the edges that touch them."""
+    gone = nodes.where(tag).select(F.col(key).alias("gone"))
+    left = nodes.join(gone, F.col(key) == F.col("gone"), "left_anti")
+    for end in ("src", "dst"):
+        edges = edges.join(gone, F.col(end) == F.col("gone"), "left_anti")
+    return left, edges
+
+
+def counts_match(nodes: DataFrame, edges: DataFrame, expected_nodes: int, expected_edges: int) -> DataFrame:
+    """One row: the totals and whether they are those expected."""
+    n = nodes.agg(F.count("*").alias("nodes")).crossJoin(edges.agg(F.count("*").alias("edges")))
+    return n.withColumn("ok", (F.col("nodes") == expected_nodes) & (F.col("edges") == expected_edges))
+
+
+def save_graph(tables: dict[str, DataFrame], path: str) -> None:
+    """Every matrix or list of a graph as a table of its own."""
+    for name, df in tables.items():
+        df.write.mode("overwrite").parquet(f"{path}/{name}")
+
+
+def load_graph(spark: SparkSession, path: str, names: list[str]) -> dict[str, DataFrame]:
+    return {name: spark.read.parquet(f"{path}/{name}") for name in names}
+
+
+def cached(entries: DataFrame, urls: DataFrame) -> DataFrame:
+    """urls (url) with whether the cache (key) has them."""
+    keys = entries.select(F.col("key").alias("known")).distinct()
+    return urls.withColumn("key", cache_key(F.col("url"))).join(keys, F.col("key") == F.col("known"), "left").withColumn("cached", F.col("known").isNotNull()).drop("known")
+
+
+def clear_cache(entries: DataFrame, url: str | None = None) -> DataFrame:
+    """The cache without one url's entry, or empty."""
+    return entries.where(F.lit(False)) if url is None else entries.where(F.col("key") != cache_key(F.lit(url)))

@@ -49,6 +49,28 @@ def rate_cap(events: DataFrame) -> DataFrame:
     return events.groupBy("user_id").applyInPandasWithState(_minute, "user_id long, event_id long, allowed boolean", "begun double, used long", "append", "NoTimeout")
 
 
+def _health(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+    """Three failures in a row or a cooldown make a key unhealthy: 5 minutes after a rate error, else 2 minutes a failure, at most 30."""
+    streak, until = state.get if state.exists else (0, 0.0)
+    rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
+    healthy = []
+    for t, kind in zip(rows["ts"], rows["event_type"], strict=True):
+        now = t.timestamp()
+        healthy.append(streak < 3 and now >= until)
+        if kind in ("error", "rate_error"):
+            streak += 1
+            until = now + 60 * (5 if kind == "rate_error" else min(2 * streak, 30))
+        else:
+            streak = 0
+    state.update((streak, until))
+    yield pd.DataFrame({"user_id": key[0], "event_id": rows["event_id"], "healthy": healthy})
+
+
+def key_health(events: DataFrame) -> DataFrame:
+    """(user_id, event_id, healthy): the state of each key just before each of its events."""
+    return events.groupBy("user_id").applyInPandasWithState(_health, "user_id long, event_id long, healthy boolean", "streak int, until double", "append", "NoTimeout")
+
+
 def drain(stream: DataFrame, mode: str = "complete") -> DataFrame:
     """Runs a stream over what is there and gives its result table."""
     name = f"drained_{uuid.uuid4().hex}"

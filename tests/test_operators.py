@@ -259,3 +259,53 @@ def test_stores(spark, tmp_path):
     stores.save_trees(trees_, str(tmp_path / "trees"))
     assert spark.read.parquet(str(tmp_path / "trees")).first()["n_nodes"] == 2
     assert stores.run_sql(spark, " select 1 as x ; ").first()["x"] == 1
+
+
+def test_scanned_markdown(spark):
+    from quillstone.functions import ocr
+
+    raw = "<!-- PageNumber=\"3\" -->\n<b>Bold</b> <p>x</p><br/>1\\. one\n2.1 Scope of Cover\na) item\nNote: be aware\n\n<!-- PageBreak -->\n\n\n\nend"
+    got = one(spark, ocr.clean_markdown(F.col("t")), raw)
+    assert got.startswith("**Bold** x\n1. one\n### 2.1 Scope of Cover\n- **a)** item") and "**Note: be aware**" in got and "PageBreak" in got and "PageNumber" not in got
+    tables_, rest = ocr.take_tables("a <table><tr><td>1</td></tr></table> <!-- PageBreak --> <table>x</table>")
+    assert [(t["page_index"], t["pattern_type"]) for t in tables_] == [(1, 0), (0, 0)] and rest.count("PLACEHOLDER") == 2
+    assert one(spark, ocr.page_index(F.col("t")), "a<!-- PageBreak -->b<!-- PageBreak -->") == 2
+    assert one(spark, ocr.table_headers(F.col("t")), "<tr><th>A</th><th><b>B c</b></th></tr>") == ["a", "b c"]
+
+
+def test_knowledge(spark):
+    from quillstone.operators import knowledge as K
+
+    d = spark.createDataFrame([("k", i, float(i)) for i in range(30)], "k string, text_id long, d double")
+    seeds = {r["node"]: r["label"] for r in K.trusted_seeds(d, 2, 3).collect()}
+    assert seeds == {0: 0, 1: 0, **{i: 1 for i in range(24, 30)}}
+    edges = spark.createDataFrame([(a, b, 1.0) for i in range(29) for a, b in ((i, i + 1), (i + 1, i))], "a long, b long, weight double")
+    got = {r["text_id"] for r in K.membership(edges, K.trusted_seeds(d, 2, 3), 20).collect()}
+    assert {0, 1, 2, 3} <= got and not got & set(range(20, 30))
+    assert [r["text_id"] for r in K.related_texts(d, 2, "d", False).orderBy("rank").collect()] == [0, 1]
+    found = spark.createDataFrame([(1, 7, [-1, 3])], "qid long, text_id long, via array<long>")
+    assert {(r["src"], r["dst"]) for r in K.subgraph(found).collect()} == {("q1", "t7"), ("k3", "t7"), ("q1", "k3")}
+    facts = spark.createDataFrame([(1, 2, "b"), (1, 1, "a"), (1, 3, "")], "qid long, place long, fact string")
+    assert K.facts_context(facts).first()["context"] == "Source 1: a\n\nSource 2: b"
+    K.register_pipeline("mine", lambda: None)
+    assert K.pipeline("mine") and pytest.raises(KeyError, K.pipeline, "absent")
+
+
+def test_more_stores(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a", '{"file_name": "f"}'), (2, "", "{}"), (3, "c", "broken"), (4, "d", '{"source": "s", "file_name": "f"}')], "id long, text string, meta string")
+    assert {r["id"]: r["source"] for r in stores.resolve_sources(rows).collect()} == {1: "f", 3: "3", 4: "s"}
+    assert {r["id"]: r["text"] for r in stores.update(rows, F.col("id") == 2, text="new").collect()}[2] == "new"
+    nodes = spark.createDataFrame([(1, "x"), (2, "y")], "id long, tag string")
+    edges = spark.createDataFrame([(1, 2), (2, 2)], "src long, dst long")
+    left, kept = stores.clear_tagged(nodes, edges, F.col("tag") == "x")
+    assert stores.counts_match(left, kept, 1, 1).first()["ok"]
+    stores.save_graph({"nodes": nodes}, str(tmp_path / "g"))
+    assert stores.load_graph(spark, str(tmp_path / "g"), ["nodes"])["nodes"].count() == 2
+    cache = spark.createDataFrame([("http://x",)], "url string").select(stores.cache_key(F.col("url")).alias("key"))
+    hits = stores.cached(cache, spark.createDataFrame([("http://x",), ("http://y",)], "url string"))
+    assert {r["url"]: r["cached"] for r in hits.collect()} == {"http://x": True, "http://y": False}
+    assert stores.clear_cache(cache, "http://x").count() == 0
+    files.append_text(spark.createDataFrame([("line",)], "s string"), str(tmp_path / "t"))
+    assert files.texts(spark, str(tmp_path / "t")).first()["content"] == "line" and files.listing(spark, str(tmp_path / "t"), "*.txt").count() == 1
+    (tmp_path / "p.html").write_text("<title>T</title><script>x</script><p>a&amp;b</p>")
+    assert files.pages(files.scan(spark, str(tmp_path), "*.html")).first()["content"] == "T\na&b"
