@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, take
 
 CHAIN = 3
 #: Frequent function words of English, German, French and Spanish.
@@ -74,10 +74,11 @@ def as_string(signatures: Column) -> Column:
 
 
 def with_next(docs: DataFrame, rows_a_part: int = 2000, most_parts: int = 4096) -> DataFrame:
-    """docs (doc_id, text, signatures) with next_text and next_signatures of the following document.
+    """docs (doc_id, text) with their signatures, and next_text and next_signatures of the following document.
 
     Rows are dealt by quantiles of the id. The first row of each part is also put at
-    the end of the part before, so every row finds its follower in its own part.
+    the end of the part before, so every row finds its follower in its own part. Texts
+    are fingerprinted once, before they are moved.
     """
     rows = max(1, docs.select(F.count("*")).first()[0])
     parts = min(most_parts, -(-rows // rows_a_part))
@@ -98,7 +99,7 @@ def with_next(docs: DataFrame, rows_a_part: int = 2000, most_parts: int = 4096)
     )
     follow = Window.partitionBy("part").orderBy(*order)
     return (
-        dealt.unionByName(heads)
+        with_signatures(dealt.unionByName(heads), "text", "signatures")
         .withColumn("next_text", F.lead("text").over(follow))
         .withColumn("next_signatures", F.lead("signatures").over(follow))
         .where("after = 0")
@@ -111,8 +112,8 @@ def compare_edited(docs: DataFrame) -> DataFrame:
 
     The edited text has its last half replaced by as much of the next document's start.
     """
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    pairs = with_next(with_signatures(base, "text", "signatures"))
+    base = take(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    pairs = with_next(base)
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half))
@@ -136,7 +137,7 @@ def similar_pairs(docs: DataFrame, threshold: float = 0.8) -> tuple[DataFrame, D
     copies are never expanded into pairs. Each class looks up its rarest signatures (all
     but what the threshold lets it lose) in the length partitions that can hold a partner.
     """
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    base = take(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = with_signatures(base, "text", "signatures").select("doc_id", "signatures", F.sha2(as_string(F.col("signatures")).cast("binary"), 256).alias("print"))
     names = signed.groupBy("print").agg(F.min("doc_id").alias("class"))
     members = signed.select("doc_id", "print").join(names, "print").select("doc_id", "class")
