@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from quillstone.llm import langid, mixing, packing, passages, simhash
-from quillstone.llm.common import documents, shared_dir
+from quillstone.llm.common import documents, remove, shared_dir
 from quillstone.llm.registry import REST, WEIGHTS
 from quillstone.session import ship
 
@@ -57,13 +57,15 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each result is a table in the shared folder."""
+    """All stages over documents; each result is a table in the shared folder, kept until the next one is written."""
     docs = documents(spark, sf_dir)
     top = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for i, (_, stage) in enumerate(STAGES):
         path = f"{top}/{i}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if i:
+            remove(spark, f"{top}/{i - 1}")
     return docs
 
 

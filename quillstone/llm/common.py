@@ -93,6 +93,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared store."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 @contextlib.contextmanager
 def spilled(df: DataFrame, like: str) -> Iterator[DataFrame]:
     """Writes df as Parquet in the shared folder and gives the table until the block ends.
@@ -106,9 +112,7 @@ def spilled(df: DataFrame, like: str) -> Iterator[DataFrame]:
     try:
         yield spark.read.schema(df.schema).parquet(path)
     finally:
-        jvm = spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        remove(spark, path)
 
 
 def fold(doc_id: Column) -> Column:
