@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, cut, lower_ascii
+from .common import LOWER, UPPER, cut, lower_ascii, take
 
 LINK = r"""(?i)href\s*=\s*["']?\s*(?:https?:)?//([^/?#"'\s<>]+)"""
 
@@ -66,7 +66,7 @@ def host_edges(pages: DataFrame) -> DataFrame:
     also joined with its parent domain, both ways, so that hosts of one owner share
     their standing even where pages link only to their own host.
     """
-    links = (
+    links = cut(
         pages.select(F.col("host").alias("src"), F.explode(F.regexp_extract_all("html", F.lit(LINK), F.lit(1))).alias("dst"))
         .select("src", F.translate("dst", UPPER, LOWER).alias("dst"))
         .where("src <> dst and src <> '' and dst <> ''")
@@ -111,7 +111,7 @@ def judge_pages(pages: DataFrame, rules: Sequence[Rule], damping: float = 0.85,
     A host is blocked where its distrust exceeds ``ratio`` times its trust.
     """
     host, path = url_parts(F.col("url"))
-    judged = pages.select("page_id", host.alias("host"), path.alias("path"), "html")
+    judged = take(pages, "page_id", "url", "html").select("page_id", host.alias("host"), path.alias("path"), "html")
     judged = judged.withColumn("ruled", fitting_rule(F.col("host"), F.col("path"), rules))
     seeds = (
         judged.where("ruled is not null and host <> ''")
