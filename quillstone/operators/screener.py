@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 LIMIT = 100
-_TOKEN = re.compile(r"\s*(>=|<=|<>|!=|[><=+\-*/()]|\d+(?:\.\d+)?|AND\b|OR\b|[A-Za-z_][A-Za-z0-9_ %&/.\-]*?(?=\s*(?:>=|<=|<>|!=|[><=+*()]|\s[-/]\s|\bAND\b|\bOR\b|$)))", re.I)
 
 
 class PredicateError(ValueError):

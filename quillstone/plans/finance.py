@@ -261,7 +261,7 @@ SQL = {
     "sql_subquery_correlated": "select p_partkey from part p where p_retailprice > (select avg(p_retailprice) from part q where q.p_brand = p.p_brand)",
     "sql_distinct": "select count(distinct l_suppkey) suppliers, count(distinct l_partkey) parts from lineitem",
     "sql_having": "select o_custkey, count(*) n from orders group by o_custkey having count(*) > 12",
-    "sql_case_pivot": "select o_orderpriority, sum(case when o_orderstatus = 'F' then 1 else 0 end) f, sum(case when o_orderstatus = 'O' then 1 else 0 end) o from orders group by o_orderpriority",
+    "sql_case_pivot": "select o_orderpriority, cast(sum(case when o_orderstatus = 'F' then 1 else 0 end) as bigint) f, cast(sum(case when o_orderstatus = 'O' then 1 else 0 end) as bigint) o from orders group by o_orderpriority",
     "sql_pricing_summary": "select l_returnflag, l_linestatus, round(sum(l_quantity), 2) sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) sum_disc_price, round(avg(l_discount), 6) avg_disc, count(*) count_order from lineitem where l_shipdate <= date '1998-09-02' group by l_returnflag, l_linestatus",
     "sql_shipping_priority": "select o_orderkey, cast(sum(cast(l_extendedprice as decimal(15, 2)) * (1 - cast(l_discount as decimal(15, 2)))) as double) revenue from customer join orders on c_custkey = o_custkey join lineitem on l_orderkey = o_orderkey where c_mktsegment = 'BUILDING' group by o_orderkey",
     "sql_local_supplier": "select n_name, round(sum(l_extendedprice * (1 - l_discount)), 2) revenue from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join supplier on l_suppkey = s_suppkey and c_nationkey = s_nationkey join nation on s_nationkey = n_nationkey group by n_name",

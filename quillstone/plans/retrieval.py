@@ -59,10 +59,10 @@ t as (select qid, rank, score, lag(score) over (partition by qid order by rank)
 d as (select *, case when before is null then null when before <= 0 then 1.0 else (before - score) / before end as drop from t)"""
 
 
-@register("score_drops", _sim() + _DROPS + " select qid, rank, round(drop, 9) as drop, 1 - 0.05 * (rank - 1) proxy from d")
+@register("score_drops", _sim() + _DROPS + " select qid, rank, round(drop, 9) as drop, round(1 - 0.05::double * (rank - 1), 6) proxy from d")
 def score_drops(spark, sf_dir):
     drops = search.score_drops(_lists(spark, sf_dir, 15))
-    return drops.select("qid", "rank", F.round("drop", 9).alias("drop"), (1 - F.lit(0.05) * (F.col("rank") - 1)).alias("proxy"))
+    return drops.select("qid", "rank", F.round("drop", 9).alias("drop"), F.round(1 - F.lit(0.05) * (F.col("rank") - 1), 6).alias("proxy"))
 
 
 @register(
