@@ -68,8 +68,9 @@ def connection_cap(spark, sf_dir):
 @register(
     "graph_search",
     r"""with w as (select vec_id % 50 text_id, vec_id k, label from embeddings),
-st as (select label qid, text_id from w where k % 7 = 0 group by all),
-sk as (select label qid, k from w where k % 11 = 0),
+q as (select * from w where k % 20 = 0),
+st as (select k qid, text_id from q),
+sk as (select q.k qid, w.k from q join w on q.label = w.label and w.text_id = (q.text_id + 1) % 50),
 tk as (select k, text_id, row_number() over (partition by k order by text_id) as rank from w),
 adj as (select a.k k1, b.k k2, row_number() over (partition by a.k order by b.k) as rank from w a join w b on a.label = b.label and a.text_id = b.text_id and a.k <> b.k),
 dir as (select qid, text_id, -1 via from st),
@@ -81,11 +82,12 @@ select qid, text_id, list_sort(list(distinct via)) via from (select * from dir u
 )
 def graph_search(spark, sf_dir):
     w = table(spark, sf_dir, "embeddings").select((F.col("vec_id") % 50).alias("text_id"), F.col("vec_id").alias("k"), "label")
+    q = w.where("k % 20 = 0").withColumnRenamed("k", "qid")
     rank_text, rank_word = Window.partitionBy("k").orderBy("text_id"), Window.partitionBy("k1").orderBy("k2")
     a, b = w.select("text_id", "label", F.col("k").alias("k1")), w.select("text_id", "label", F.col("k").alias("k2"))
     return G.search(
-        w.where("k % 7 = 0").select(F.col("label").alias("qid"), "text_id").distinct(),
-        w.where("k % 11 = 0").select(F.col("label").alias("qid"), "k"),
+        q.select("qid", "text_id"),
+        q.select("qid", "label", ((F.col("text_id") + 1) % 50).alias("text_id")).join(w, ["label", "text_id"]).select("qid", "k"),
         w.select("k", "text_id", F.row_number().over(rank_text).alias("rank")),
         a.join(b, ["label", "text_id"]).where("k1 <> k2").select("k1", "k2").withColumn("rank", F.row_number().over(rank_word)),
     )
