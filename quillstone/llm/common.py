@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import math
 import shutil
 import tempfile
 import uuid
@@ -115,6 +116,11 @@ def spilled(df: DataFrame, like: str) -> Iterator[DataFrame]:
         remove(spark, path)
 
 
+def even_parts(rows: int) -> int:
+    """Parts for ranks in two steps: their number and the rows in each both grow with the square root of the table."""
+    return max(1, rows // max(1000, 10 * math.isqrt(rows)))
+
+
 def fold(doc_id: Column) -> Column:
     """crc32 of the id as text, modulo 4; remainder 2 is held out. A null id has no fold."""
     return F.crc32(doc_id.cast("string").cast("binary")) % 4

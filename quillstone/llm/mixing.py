@@ -16,12 +16,12 @@ a source follow a hash of the id, so each is a random sample of its source. Rank
 found in two steps (counts by (source, part), then ranks within a part), so a source that
 holds a third of all rows meets in no single task.
 
-Defined cases: a null source is a source of its own, named ''. Sources without a target
-weight share ``rest`` in proportion to their documents; listed sources that are absent
-are left out and the shares scaled to sum 1. Repeated rows have places of their own.
-The last block of a source may hold fewer documents. Empty tables give no rows. The
-number of sources is that of a weight table; the plan on the driver holds a number per
-source and phase.
+Defined cases: sources without a target weight, null ones among them, are one stream of
+weight ``rest``, shuffled by the hash, so that each holds its own share of it; listed
+sources that are absent are left out and the shares scaled to sum 1. Repeated rows have
+places of their own. The last block of a stream may hold fewer documents. Empty tables
+give no rows. The plan on the driver is sized by the weight table, whatever the number
+of sources.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ from bisect import bisect_left
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Rows, cut, take
+from .common import Rows, cut, even_parts, take
 
 PERIOD = 1000
 BLOCK_DOCS = 16
@@ -105,35 +105,35 @@ def phases(blocks: dict[str, int], weights: dict[str, float], period: int = PERI
     return plan
 
 
-def target_weights(counts: dict[str, int], weights: dict[str, float] | None, rest: float = 1.0) -> dict[str, float]:
-    """A positive weight for each present source; those not listed share ``rest``."""
-    listed = {s: w for s, w in (weights or {}).items() if s in counts and w > 0}
-    others = {s: n for s, n in counts.items() if s not in listed and n}
-    total = sum(others.values())
-    return listed | {s: rest * n / total for s, n in others.items()}
+def target_weights(counts: dict[str, int], weights: dict[str, float], rest: float) -> dict[str, float]:
+    """A positive weight for each present stream; '' is that of all sources without a weight."""
+    return {s: w for s, w in ({"": rest} | weights).items() if s in counts and w > 0} or dict.fromkeys(counts, 1.0)
 
 
-def ranked(docs: DataFrame, rows_a_part: int = 200_000) -> tuple[DataFrame, dict[str, int]]:
-    """(doc_id, source, rank from 0 within the source), and the documents of each source."""
+def ranked(docs: DataFrame, weights: dict[str, float]) -> tuple[DataFrame, dict[str, int]]:
+    """(doc_id, source, stream, rank from 0 within the stream), and the documents of each stream."""
     base = take(docs, "doc_id", "source").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"))
-    counts = {r["source"]: r["n"] for r in base.groupBy("source").agg(F.count("*").alias("n")).collect()}  # a row a source
-    parts = max(1, -(-sum(counts.values()) // rows_a_part))
-    h = F.xxhash64(F.lit("mix"), F.col("doc_id"))
-    dealt = base.withColumn("h", h).withColumn("part", F.pmod(F.col("h"), F.lit(parts)))
-    sizes = dealt.groupBy("source", "part").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    bases = cut(sizes.select("source", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")))
-    inside = Window.partitionBy("source", "part").orderBy("h", "doc_id")
-    return dealt.join(bases, ["source", "part"]).select("doc_id", "source", (F.col("base") + F.row_number().over(inside) - 1).alias("rank")), counts
+    listed = [s for s, w in weights.items() if w > 0]
+    base = base.withColumn("stream", F.when(F.col("source").isin(listed), F.col("source")).otherwise(F.lit("")))
+    counts = {r["stream"]: r["n"] for r in base.groupBy("stream").agg(F.count("*").alias("n")).collect()}  # a row a weight
+    each = sum(counts.values()) // even_parts(sum(counts.values()))
+    parts = docs.sparkSession.createDataFrame([(s, max(1, n // max(1, each))) for s, n in counts.items()], "stream string, parts long")
+    dealt = base.withColumn("h", F.xxhash64(F.lit("mix"), F.col("doc_id"), F.col("source"))).join(F.broadcast(parts), "stream").withColumn("part", F.pmod(F.col("h"), F.col("parts"))).drop("parts")
+    sizes = dealt.groupBy("stream", "part").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("stream").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = cut(sizes.select("stream", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")))
+    inside = Window.partitionBy("stream", "part").orderBy("h", "doc_id", "source")
+    return dealt.join(bases, ["stream", "part"]).select("doc_id", "source", "stream", (F.col("base") + F.row_number().over(inside) - 1).alias("rank")), counts
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, rest: float = 1.0, block_docs: int = BLOCK_DOCS, period: int = PERIOD) -> DataFrame:
-    """doc_id, source, block, phase, release, deadline, slot, position for every row of docs (doc_id, source).
+    """doc_id, source, stream, block, phase, release, deadline, slot, position for every row of docs (doc_id, source).
 
     ``slot`` is the block's turn in the whole mix, ``position`` orders documents within it.
     Release and deadline are slots of the whole mix too.
     """
-    rows, counts = ranked(docs)
+    weights = weights or {}
+    rows, counts = ranked(docs, weights)
     spark = docs.sparkSession
     blocks = {s: -(-n // block_docs) for s, n in counts.items()}
     plan = phases(blocks, target_weights(counts, weights, rest), period)
@@ -145,14 +145,15 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, rest: float =
             until = first + p["length"] // whole * share + bisect_left(p["slots"][s], p["length"] % whole)
             turns.setdefault(s, []).append((i, first, until, share, whole, p["start"], p["slots"][s]))
     kind = "array<struct<phase:int,first:long,until:long,share:long,whole:long,start:long,slots:array<int>>>"
-    table = spark.createDataFrame(list(turns.items()), f"source string, plan {kind}")
+    table = spark.createDataFrame(list(turns.items()), f"stream string, plan {kind}")
     block = F.col("block")
-    joined = rows.withColumn("block", F.floor(F.col("rank") / block_docs)).join(F.broadcast(table), "source")
+    joined = rows.withColumn("block", F.floor(F.col("rank") / block_docs)).join(F.broadcast(table), "stream")
     joined = joined.withColumn("p", F.element_at(F.filter("plan", lambda p: (block >= p["first"]) & (block < p["until"])), 1)).drop("plan")
     k = block - F.col("p.first")
     return joined.select(
         "doc_id",
         "source",
+        "stream",
         "block",
         F.col("p.phase").alias("phase"),
         (F.col("p.start") + F.expr("(block - p.first) * p.whole div p.share")).alias("release"),

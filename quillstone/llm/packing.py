@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, take
+from .common import cut, even_parts, take
 
 LONGEST = 1024
 END_ID = 0
@@ -98,7 +98,7 @@ def _pieces(paths: tuple[str, str] | None, longest: int, with_ids: bool):
     return run
 
 
-def pack(docs: DataFrame, longest: int = LONGEST, vocabulary_paths: tuple[str, str] | None = None, with_ids: bool = True, rows_a_part: int = 500_000) -> DataFrame:
+def pack(docs: DataFrame, longest: int = LONGEST, vocabulary_paths: tuple[str, str] | None = None, with_ids: bool = True) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and ids where asked for.
 
     ``vocabulary_paths``: (json, ranks) on the executors; None looks them up there.
@@ -108,7 +108,7 @@ def pack(docs: DataFrame, longest: int = LONGEST, vocabulary_paths: tuple[str, s
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids
     rows = take(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     pieces = cut(rows.mapInArrow(_pieces(vocabulary_paths, longest, with_ids), schema))
-    parts = max(1, -(-pieces.count() // rows_a_part))
+    parts = even_parts(pieces.count())
     dealt = pieces.withColumn("part", F.pmod(F.xxhash64("doc_id", "start"), F.lit(parts)))
     counts = dealt.groupBy("length", "part").agg(F.count("*").alias("n"))
     # a row for each length and part: few, as the number of parts shows

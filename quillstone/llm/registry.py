@@ -19,8 +19,8 @@ def op1_url_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Production target weights of the mix; sources not listed share the rest.
-WEIGHTS = {"src0": 0.1, "src1": 0.15, "src2": 0.1, "src3": 0.05}
-REST = 0.6
+WEIGHTS = {f"src{i}": 0.0375 for i in range(20)} | {"src0": 0.1, "src1": 0.15, "src2": 0.1, "src3": 0.05}
+REST = 0.05
 
 
 def op2_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
