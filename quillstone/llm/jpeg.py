@@ -24,7 +24,7 @@ import hashlib
 import re
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -51,6 +51,7 @@ def _basis() -> np.ndarray:
 
 ZIGZAG = _zigzag()
 BASIS = _basis()
+CODES = 1 << 15  #: codes packed or unpacked at a time; a multiple of 8, so parts meet at bytes
 _NEXT_MARKER = re.compile(rb"\xff[^\x00\xd0-\xd7\xff]", re.S)
 
 
@@ -164,22 +165,30 @@ def _dc_scan(parts, tables, segments, high, low, restart) -> None:
             parts[i].coefficients[block, 0] = before[i] << low
 
 
+def _fixed(data: bytes, codes: int, width: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(first code, bits of one code a row) of codes of one length, some at a time."""
+    raw = np.frombuffer(data, np.uint8)
+    for at in range(0, codes, CODES):
+        n = min(CODES, codes - at)
+        yield at, np.unpackbits(raw[at * width // 8 :], count=n * width).reshape(n, width)
+
+
 def _ac_first(c, table, segments, lo, hi, low, restart) -> None:
     rows = _rows(c)
     if not restart and table.only is not None and table.only >> 4 == 0 and table.only & 15:
         size, n = table.only & 15, hi - lo + 1
         blocks = len(c.coefficients) if isinstance(rows, slice) else len(rows)
-        bits = np.unpackbits(np.frombuffer(segments[0], np.uint8), count=blocks * n * (size + 1)).reshape(-1, size + 1)
-        if size <= 8:
-            value = (np.packbits(bits[:, 1:], axis=1)[:, 0] >> (8 - size)).astype(np.int16)
-        else:
-            two = np.packbits(bits[:, 1:], axis=1).astype(np.int32)
-            value = ((two[:, 0] << 8 | two[:, 1]) >> (16 - size)).astype(np.int32)
-        if bits[:, 1].all():
-            value = value << low
-        else:
-            value = np.where(bits[:, 1], value, value - (1 << size) + 1) * (1 << low)
-        c.coefficients[rows, lo : hi + 1] = value.reshape(blocks, n)
+        found = np.empty(blocks * n, np.int16)
+        for at, bits in _fixed(segments[0], blocks * n, size + 1):
+            if size <= 8:
+                value = (np.packbits(bits[:, 1:], axis=1)[:, 0] >> (8 - size)).astype(np.int16)
+            else:
+                two = np.packbits(bits[:, 1:], axis=1).astype(np.int32)
+                value = (two[:, 0] << 8 | two[:, 1]) >> (16 - size)
+            if not bits[:, 1].all():
+                value = np.where(bits[:, 1], value, value - (1 << size) + 1)
+            found[at : at + len(bits)] = value * (1 << low)
+        c.coefficients[rows, lo : hi + 1] = found.reshape(blocks, n)
         return
     order = np.arange(len(c.coefficients))[rows].tolist()
     step = restart or len(order)
@@ -208,10 +217,11 @@ def _ac_refine(c, table, segments, lo, hi, low, restart) -> None:
     rows = _rows(c)
     band = c.coefficients[rows, lo : hi + 1]
     if not restart and table.only == 0 and band.all():
-        n = hi - lo + 1
-        bits = np.unpackbits(np.frombuffer(segments[0], np.uint8), count=len(band) * (n + 1)).reshape(-1, n + 1)[:, 1:]
-        more = bits.astype(np.int16) << low
-        c.coefficients[rows, lo : hi + 1] = band + np.where(band > 0, more, -more) if (band < 0).any() else band + more
+        found = np.empty(band.shape, np.int16)
+        for at, bits in _fixed(segments[0], len(band), hi - lo + 2):
+            more, before = bits[:, 1:].astype(np.int16) << low, band[at : at + len(bits)]
+            found[at : at + len(bits)] = before + np.where(before > 0, more, -more) if (before < 0).any() else before + more
+        c.coefficients[rows, lo : hi + 1] = found
         return
     order = np.arange(len(c.coefficients))[rows].tolist()
     step = restart or len(order)
@@ -367,11 +377,33 @@ def _segment(marker: int, body: bytes) -> bytes:
     return struct.pack(">BBH", 0xFF, marker, len(body) + 2) + body
 
 
-def _scan(header: bytes, bits: np.ndarray) -> bytes:
-    spare = -bits.size % 8
-    if spare:
-        bits = np.append(bits, np.ones(spare, np.uint8))
-    return _segment(0xDA, header) + np.packbits(bits).tobytes().replace(b"\xff", b"\xff\x00")
+def _scan(header: bytes, parts: Iterable[np.ndarray]) -> bytes:
+    """A scan of bits that come in parts; all but the last fill whole bytes."""
+    out = []
+    for bits in parts:
+        spare = -bits.size % 8
+        if spare:
+            bits = np.append(bits.ravel(), np.ones(spare, np.uint8))
+        out.append(np.packbits(bits).tobytes())
+    return _segment(0xDA, header) + b"".join(out).replace(b"\xff", b"\xff\x00")
+
+
+def _high_bits(band: np.ndarray) -> Iterator[np.ndarray]:
+    """Codes of nine bits: the table's code 0, then a coefficient's upper eight."""
+    for at in range(0, band.size, CODES):
+        part = band[at : at + CODES]
+        codes = np.zeros((len(part), 9), np.uint8)
+        codes[:, 1:] = np.unpackbits((part >> 1 | 128).reshape(-1, 1), axis=1)
+        yield codes
+
+
+def _low_bits(band: np.ndarray) -> Iterator[np.ndarray]:
+    """A row a block: the table's code 0 (end of band), then a correction bit a coefficient."""
+    for at in range(0, len(band), CODES):
+        part = band[at : at + CODES]
+        codes = np.zeros((len(part), part.shape[1] + 1), np.uint8)
+        codes[:, 1:] = part & 1
+        yield codes
 
 
 def _table(kind: int, slot: int, symbol: int) -> bytes:
@@ -402,18 +434,13 @@ def encode_payload(payload: bytes, comment: bytes = b"") -> bytes:
         _segment(0xDB, b"\x00" + b"\x01" * 64),
         _segment(0xC2, struct.pack(">BHHB", 8, 16 * down, 16 * across, 3) + b"".join(bytes([i + 1, h << 4 | v, 0]) for i, (h, v) in enumerate(_FRAME))),
         _segment(0xC4, _table(0, 0, 0) + _table(1, 0, 8) + _table(1, 1, 0)),
-        _scan(bytes([3, 1, 0, 2, 0, 3, 0, 0, 0, 1]), np.zeros(6 * n, np.uint8)),
+        _scan(bytes([3, 1, 0, 2, 0, 3, 0, 0, 0, 1]), [np.zeros(6 * n, np.uint8)]),
     ]
     for i, lo, hi in _BANDS:
-        band = parts[i][:, lo - 1 : hi]
-        codes = np.zeros((band.size, 9), np.uint8)
-        codes[:, 1:] = np.unpackbits((band >> 1 | 128).reshape(-1, 1), axis=1)
-        out.append(_scan(bytes([1, i + 1, 0, lo, hi, 1]), codes.ravel()))
-    out.append(_scan(bytes([3, 1, 0, 2, 0, 3, 0, 0, 0, 16]), np.zeros(6 * n, np.uint8)))
+        out.append(_scan(bytes([1, i + 1, 0, lo, hi, 1]), _high_bits(parts[i][:, lo - 1 : hi].ravel())))
+    out.append(_scan(bytes([3, 1, 0, 2, 0, 3, 0, 0, 0, 16]), [np.zeros(6 * n, np.uint8)]))
     for i, lo, hi in _BANDS:
-        codes = np.zeros((len(parts[i]), hi - lo + 2), np.uint8)
-        codes[:, 1:] = parts[i][:, lo - 1 : hi] & 1
-        out.append(_scan(bytes([1, i + 1, 1, lo, hi, 16]), codes.ravel()))
+        out.append(_scan(bytes([1, i + 1, 1, lo, hi, 16]), _low_bits(parts[i][:, lo - 1 : hi])))
     return b"".join([*out, b"\xff\xd9"])
 
 

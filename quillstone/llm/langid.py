@@ -14,7 +14,8 @@ every language, and every byte of the text is parsed.
 
 Learning: at most ``ROWS`` labelled rows a language (those of a length in ``LENGTHS``
 first, then by a hash of the id), of each at most the upper length, in all about
-``SAMPLE`` classes. The model is a few MB at any size of the corpus. These bounds are
+``SAMPLE`` classes (fewer where there are over 50 languages). The model's size is bounded
+at any size of the corpus. These bounds are
 the sample's; predictions read whole texts.
 
 Defined cases: null text, and text without a letter, gives ``und`` and score 0. Without
@@ -39,6 +40,7 @@ UNKNOWN = "und"
 PIECE = 512
 ROWS = 64
 SAMPLE = 24_000
+ALL_SAMPLES = 1_200_000  #: of all languages together
 LENGTHS = (200, 6000)
 
 
@@ -195,7 +197,9 @@ def learn(docs: DataFrame, rows: int = ROWS, sample: int = SAMPLE, lengths: tupl
     picked = usable.withColumn("text", F.substring("text", 1, lengths[1])).join(F.broadcast(chosen.select("doc_id", "lang", "r")), ["doc_id", "lang"])
     samples: dict[str, list[bytes]] = {}
     total: dict[str, int] = {}
-    for row in sorted(picked.collect(), key=lambda x: (x["lang"], x["r"], x["text"])):
+    found = sorted(picked.collect(), key=lambda x: (x["lang"], x["r"], x["text"]))
+    sample = min(sample, ALL_SAMPLES // max(1, len({x["lang"] for x in found})))
+    for row in found:
         data = folded(row["text"])
         if total.get(row["lang"], 0) < sample:
             samples.setdefault(row["lang"], []).append(data)

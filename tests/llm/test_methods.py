@@ -76,7 +76,8 @@ def test_mix_is_a_plain_simulation(spark):
                 del left[s]
                 phase = False
         start += t
-    assert {(r["slot"], r["source"], r["block"]) for r in got} == set(order)
+    assert {(r["slot"], r["stream"], r["block"]) for r in got} == set(order)
+    assert {r["source"] for r in got} == {"a", "b", "c", ""}
     assert all(r["release"] <= r["slot"] < r["deadline"] for r in got)
 
 
@@ -240,7 +241,7 @@ class Writer:
         self.put(s, 9)
 
     def scan(self, head):
-        return jpeg._scan(head, np.array(self.bits, np.uint8))
+        return jpeg._scan(head, [np.array(self.bits, np.uint8)])
 
 
 def _size(v):
@@ -337,7 +338,7 @@ def test_inverse_transform_is_the_formula():
     assert jpeg.ZIGZAG[:10].tolist() == [0, 1, 8, 16, 9, 2, 3, 10, 17, 24]
 
 
-@pytest.mark.parametrize("size", [0, 1, 63, 64, 65, 378, 5000, 100_000])
+@pytest.mark.parametrize("size", [0, 1, 63, 64, 65, 378, 5000, 100_000, 1_500_000])
 def test_payload_round_trip(size):
     text = "".join(random.Random(size).choice("abc é漢\n") for _ in range(size))
     n, payload = jpeg.payload_of(text)
