@@ -239,7 +239,7 @@ def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     fps = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
     labels = components(link_forest(fps.select("fp"), block))
     named = fps.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("component", "fp").alias("component"), "least")
-    ids = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    ids = cut(named.groupBy("component").agg(F.min("least").alias("component_id")))  # a table, so that Spark can split a large component
     by_fp = cut(named.join(ids, "component").select("fp", "component_id"))
     return rows.join(by_fp, "fp").select("doc_id", "fp", "component_id")
 
