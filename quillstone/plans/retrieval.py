@@ -196,11 +196,19 @@ ja as (select *, row_number() over (partition by qid order by score desc, id) as
 
 
 def _jaccards(spark, sf_dir):
-    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), T.token_set(F.col("text")).alias("q"))
-    docs = table(spark, sf_dir, "documents").where("text is not null").select(F.col("doc_id").alias("id"), T.token_set(F.col("text")).alias("d"))
-    # the items are the stated query set; each document meets them in its own task, its words are cut once
-    common = F.size(F.array_intersect("q", "d"))
-    return docs.crossJoin(items).withColumn("c", common).select("qid", "id", "c", F.when((F.size("q") == 0) | (F.size("d") == 0), F.lit(0.0)).otherwise(F.round(F.col("c") / (F.size("q") + F.size("d") - F.col("c")), 6)).alias("score"))
+    """Every item with every document: the items are the stated query set.
+
+    A document keeps only words that some item has before it meets the items one by
+    one; its whole size stays beside it. Words are compared by 64-bit hashes.
+    """
+    hashed = lambda c: F.array_distinct(F.transform(T.token_set(F.col(c)), lambda w: F.xxhash64(w)))
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), hashed("text").alias("q"))
+    known = items.select(F.explode("q").alias("w")).agg(F.collect_set("w").alias("known"))
+    docs = table(spark, sf_dir, "documents").where("text is not null").select(F.col("doc_id").alias("id"), hashed("text").alias("d"))
+    docs = docs.crossJoin(F.broadcast(known)).select("id", F.size("d").alias("n"), F.array_intersect("d", "known").alias("d"))
+    docs = docs.repartition("id")  # else generated code would cut each text again for every item
+    pairs = docs.crossJoin(items).select("qid", "id", F.size("q").alias("m"), "n", F.size(F.array_intersect("q", "d")).alias("c"))
+    return pairs.select("qid", "id", "c", F.when((F.col("m") == 0) | (F.col("n") == 0), F.lit(0.0)).otherwise(F.round(F.col("c") / (F.col("m") + F.col("n") - F.col("c")), 6)).alias("score"))
 
 
 @register("token_jaccard", _JACCARD + " select qid, id, score, rank from ja where rank <= 10")
