@@ -135,7 +135,7 @@ def history(yearly: DataFrame, key: str, year: str, value: str, back: int = 3) -
         old.alias("years_back"),
         F.round(F.try_divide(v - before, before) * 100, 6).alias("growth"),
         F.round((F.pow(F.try_divide(v, old), F.lit(1.0 / back)) - 1) * 100, 6).alias("compound_growth"),
-        F.round(F.avg(value).over(frame), 6).alias("average"),
+        (F.round(F.sum(value).over(frame), 2) / F.count(value).over(frame)).alias("average"),
         F.round(F.expr(f"percentile({value}, 0.5)").over(frame), 6).alias("median"),
         F.round(v - before, 6).alias("change"),
     )

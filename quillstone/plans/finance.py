@@ -82,7 +82,7 @@ def n_years_back(spark, sf_dir):
     return _history(spark, sf_dir).select("o_custkey", "yr", "years_back", "compound_growth")
 
 
-@register("average_median", f"{_YEARLY} select o_custkey, yr, round(avg(sales) over w, 6) average, round(median(sales) over w, 6) median from y window w as (partition by o_custkey order by yr rows 2 preceding)")
+@register("average_median", f"{_YEARLY} select o_custkey, yr, round(sum(sales) over w, 2) / count(sales) over w average, round(median(sales) over w, 6) median from y window w as (partition by o_custkey order by yr rows 2 preceding)")
 def average_median(spark, sf_dir):
     return _history(spark, sf_dir).select("o_custkey", "yr", "average", "median")
 
@@ -109,10 +109,11 @@ def chart_points(spark, sf_dir):
     return points.select("event_type", F.col("p.label").alias("labels"), F.col("p.value").alias("values"))
 
 
-@register("moving_avg_50_200", _DAILY + " select event_type, strftime(day, '%Y-%m-%d') as label, round(avg(v) over (partition by event_type order by day rows 49 preceding), 5) dma50, round(avg(v) over (partition by event_type order by day rows 199 preceding), 5) dma200 from d")
+@register("moving_avg_50_200", _DAILY + " select event_type, strftime(day, '%Y-%m-%d') as label, round(sum(v) over w50, 2) / count(v) over w50 dma50, round(sum(v) over w200, 2) / count(v) over w200 dma200 from d window w50 as (partition by event_type order by day rows 49 preceding), w200 as (partition by event_type order by day rows 199 preceding)")
 def moving_avg_50_200(spark, sf_dir):
     w = Window.partitionBy("event_type").orderBy("day")
-    mean = lambda n: F.round(F.avg("v").over(w.rowsBetween(1 - n, 0)), 5)
+    # the sum is rounded, not the mean: both engines then divide the same numbers
+    mean = lambda n: F.round(F.sum("v").over(w.rowsBetween(1 - n, 0)), 2) / F.count("v").over(w.rowsBetween(1 - n, 0))
     return _daily(spark, sf_dir).select("event_type", F.date_format("day", "yyyy-MM-dd").alias("label"), mean(50).alias("dma50"), mean(200).alias("dma200"))
 
 
@@ -144,10 +145,10 @@ def health_summary(spark, sf_dir):
     return worst.agg(F.count("*").alias("total_keys"), F.sum(fine).alias("healthy"), F.round(F.sum(fine) * 100 / F.count("*"), 6).alias("healthy_percent"), F.max("worst").alias("worst"))
 
 
-@register("request_log", "select cast(ts as date) as day, count(*) requests, count(distinct user_id) callers, round(avg(value), 6) mean_value, count(*) filter (event_type = 'error') failed from events group by 1")
+@register("request_log", "select cast(ts as date) as day, count(*) requests, count(distinct user_id) callers, round(sum(value), 2) / count(value) mean_value, count(*) filter (event_type = 'error') failed from events group by 1")
 def request_log(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy(F.to_date("ts").alias("day")).agg(
-        F.count("*").alias("requests"), F.countDistinct("user_id").alias("callers"), F.round(F.avg("value"), 6).alias("mean_value"), F.sum((F.col("event_type") == "error").cast("long")).alias("failed")
+        F.count("*").alias("requests"), F.countDistinct("user_id").alias("callers"), (F.round(F.sum("value"), 2) / F.count("value")).alias("mean_value"), F.sum((F.col("event_type") == "error").cast("long")).alias("failed")
     )
 
 

@@ -182,12 +182,8 @@ def episode_entities(spark, sf_dir):
 @register("graph_stats", _M + " select label, n from (select 'Episode' label, count(*) n from documents where text is not null union all select 'Entity', count(*) from (select distinct kind, name from m) union all select 'MENTIONS', count(*) from m)")
 def graph_stats(spark, sf_dir):
     m = _mentions(spark, sf_dir)
-    return (
-        _docs(spark, sf_dir).select(F.lit("Episode").alias("label"))
-        .union(m.select("kind", "name").distinct().select(F.lit("Entity")))
-        .union(m.select(F.lit("MENTIONS")))
-        .groupBy("label").agg(F.count("*").alias("n"))
-    )
+    total = lambda df, label: df.agg(F.lit(label).alias("label"), F.count("*").alias("n"))
+    return total(_docs(spark, sf_dir), "Episode").union(total(m.select("kind", "name").distinct(), "Entity")).union(total(m, "MENTIONS"))
 
 
 @register("substring_search", "select doc_id, source, lang from documents where contains(lower(text), 'license') or contains(lower(source), 'license') or contains(lower(lang), 'license') order by doc_id limit 10")
