@@ -10,6 +10,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quillstone.llm import langid, mixing, packing, passages, simhash
 from quillstone.llm.common import documents, remove, shared_dir
@@ -42,9 +43,10 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row per piece, with its sequence."""
+    """One row per piece, with its sequence; sequences of a length are numbered along the mix, the order of the files' rows."""
     ship(spark)
-    return packing.pack(docs, with_ids=False)
+    at = [F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).cast("long").alias("_file"), F.col("_metadata.row_index").alias("_row")]
+    return packing.pack(docs.select("*", *at), with_ids=False, along=("_file", "_row"))
 
 
 STAGES = [

@@ -556,3 +556,21 @@ def test_pipeline_is_its_stages(spark):
         got[r["doc_id"]] += r["length"]
     assert got == tokens
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language ID", "SimHash near-dedup", "substring dedup", "mixing sources", "packing"]
+
+
+def test_pipeline_numbers_sequences_along_the_mix(spark, tmp_path):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(i, "a b c d e f g h", f"src{i % 3}") for i in range(960)], "doc_id long, text string, source string")
+    corpus_pipeline.mixed(spark, docs, "/nowhere").write.parquet(str(tmp_path / "mix"))
+    got = corpus_pipeline.packed(spark, spark.read.parquet(str(tmp_path / "mix")), "/nowhere").collect()
+    place = {r["doc_id"]: (r["slot"], r["position"]) for r in mixing.mix(docs, registry.WEIGHTS, registry.REST).collect()}
+    by = defaultdict(list)
+    for r in sorted(got, key=lambda r: r["sequence_id"]):
+        by[r["length"]].append(r["doc_id"])
+    assert sorted(r["sequence_id"] for r in got) == list(range(len(got)))
+    for ids in by.values():
+        assert ids == sorted(ids, key=place.get)
+        # src0, src1, src2 are wanted as 0.1 : 0.15 : 0.1, until one runs out; a block holds 16 documents
+        for n in range(16, 700, 16):
+            assert abs(sum(d % 3 == 1 for d in ids[:n]) - n * 0.15 / 0.35) <= 17
