@@ -43,10 +43,10 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row per piece, with its sequence; sequences of a length are numbered along the mix, the order of the files' rows."""
+    """One row per piece, with its ids and its sequence; sequences of a length are numbered along the mix, the order of the files' rows."""
     ship(spark)
     at = [F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).cast("long").alias("_file"), F.col("_metadata.row_index").alias("_row")]
-    return packing.pack(docs.select("*", *at), with_ids=False, along=("_file", "_row"))
+    return packing.pack(docs.select("*", *at), along=("_file", "_row"))
 
 
 STAGES = [

@@ -574,3 +574,10 @@ def test_pipeline_numbers_sequences_along_the_mix(spark, tmp_path):
         # src0, src1, src2 are wanted as 0.1 : 0.15 : 0.1, until one runs out; a block holds 16 documents
         for n in range(16, 700, 16):
             assert abs(sum(d % 3 == 1 for d in ids[:n]) - n * 0.15 / 0.35) <= 17
+
+
+def test_pipeline_ends_with_token_ids(spark):
+    got = registry.pipeline(spark, SMALL).select("length", "ids_crc32", "ids").collect()
+    assert got
+    for r in got:
+        assert len(r["ids"]) == r["length"] and r["ids_crc32"] == zlib.crc32(np.array(r["ids"], "<u4").tobytes())
