@@ -12,8 +12,9 @@ Windows meet where the least hash and the shingle ``CONTEXT`` places beside it a
 texts share don't meet. Within such a group every window is paired with that of the
 least document id only: a passage in a thousand documents gives 999 pairs. For pairs
 of documents with at least ``ENOUGH`` functions, the windows' intervals must overlap
-when aligned at c; the passages are then verified on whole texts: longest stretches of
-shared shingles, Jaccard similarity of the two stretches at least ``SIMILAR``.
+when aligned at c; the passages are then verified on whole texts: runs of
+shared shingles are chained over gaps on either side, and the longest parts of a chain with
+Jaccard similarity of the two stretches at least ``SIMILAR`` are taken, edits inside.
 
 Defined cases: null text has no words. Texts of fewer than 50 words have no passage.
 Repeats inside one document are left alone, and rows with the same id are one document.
@@ -42,6 +43,7 @@ CONTEXT = 6
 ENOUGH = 1
 SIMILAR = 0.8
 GAP = 2 * WORDS
+LOOK_BACK = 500  #: runs that a chain may leave out on end
 CACHE = 300_000
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -167,8 +169,71 @@ def _followed(a: np.ndarray, b: np.ndarray, places: np.ndarray, in_b: np.ndarray
     return np.array(at, np.int64)
 
 
-def stretches(a: np.ndarray, b: np.ndarray, shortest: int = SHORTEST, similar: float = SIMILAR, gap: int = GAP) -> list[tuple[int, int, float]]:
-    """(first, last, similarity): verified passages of a that b has too, in shingles of a."""
+def _chained(p: list[int], q: list[int], n: list[int]) -> tuple[list[int], int]:
+    """The runs (places p in one text, q in the other, n long) of the weightiest chain in the order of both, and its shared places.
+
+    A gap costs little here, so a chain goes on where less than a tenth of the gap is shared on either side of it.
+    """
+    weight, shared, back = [], [], []
+    starts, ends, lengths = np.array(p), np.array(p) + np.array(n), np.array(n)
+    other, others = np.array(q), np.array(q) + lengths
+    for j in range(len(p)):
+        weight.append(float(n[j]))
+        shared.append(n[j])
+        back.append(-1)
+        lo = max(0, j - LOOK_BACK)
+        if lo == j:
+            continue
+        before = np.array(weight[lo:j])
+        apart = other[j] - others[lo:j]  # less than 0: b's sides overlap, as where a says twice what b says once
+        worth = before - 0.1 * (starts[j] - ends[lo:j] + np.maximum(apart, 0)) + np.minimum(apart, 0)
+        worth[(other[lo:j] >= other[j]) | (others[lo:j] >= others[j])] = -1.0
+        i = int(worth.argmax())
+        if worth[i] > 0:
+            weight[j] += float(worth[i])
+            shared[j] += shared[lo + i]
+            back[j] = lo + i
+    j = int(np.argmax(weight))
+    total, chain = shared[j], []
+    while j >= 0:
+        chain.append(j)
+        j = back[j]
+    return chain[::-1], total
+
+
+def _longest(at: np.ndarray, to: np.ndarray, similar: float) -> tuple[int, int, int]:
+    """(lo, hi, places): the farthest apart of the matches at[lo..hi] whose share in both texts' places reaches ``similar``, and their places before chance ends are left out."""
+    gain = (1 - similar) / similar  # shared / (shared + missing) >= similar  <=>  gain * shared >= missing
+    gaps = np.diff(at) - 1 + np.maximum(np.diff(to) - 1, 0)
+    lost = np.concatenate([[0], np.cumsum(gaps)])
+    after = gain * np.arange(1, len(at) + 1) - lost + 1e-9
+    least = np.minimum.accumulate(after - gain - 1e-9)
+    lo = np.searchsorted(-least, -after)
+    lo = np.minimum(lo, np.arange(len(at)))
+    hi = int((at - at[lo]).argmax())
+    low = int(lo[hi])
+    whole = int(at[hi] - at[low]) + 1
+    while low < hi:  # an end that is small beside the gap before it is chance, not part of the passage
+        cuts = low + np.flatnonzero(gaps[low:hi] > 0)
+        if not len(cuts):
+            break
+        first, last = int(cuts[0]), int(cuts[-1])
+        if first + 1 - low <= 0.1 * gaps[first]:
+            low = first + 1
+        elif hi - last <= 0.1 * gaps[last]:
+            hi = last
+        else:
+            break
+    return low, hi, whole
+
+
+def stretches(a: np.ndarray, b: np.ndarray, shortest: int = SHORTEST, similar: float = SIMILAR) -> list[tuple[int, int, float]]:
+    """(first, last, similarity): verified passages of a that b has too, in shingles of a.
+
+    Runs of shared shingles are chained in the order of both texts, whatever the gaps; of
+    each chain the longest parts that are alike are taken, edits inside, until no part
+    of ``shortest`` shingles is left.
+    """
     order = np.argsort(b, kind="stable")
     sorted_b = b[order]
     at = np.searchsorted(sorted_b, a)
@@ -176,43 +241,53 @@ def stretches(a: np.ndarray, b: np.ndarray, shortest: int = SHORTEST, similar: f
     hit[hit] = sorted_b[at[hit]] == a[hit]
     found: list[tuple[int, int, float]] = []
     places = np.flatnonzero(hit)
-    if len(places) < shortest * similar:
+    fewest = shortest * similar
+    if len(places) < fewest:
         return found
     in_b = order[at[places]]
     if len(b) > 1 and (sorted_b[1:] == sorted_b[:-1]).any():
         in_b = _followed(a, b, places, in_b)
 
-    def measure(lo: int, hi: int) -> float:
-        """Jaccard of a's stretch from places[lo] to places[hi] and b's that lies opposite."""
-        shift = int(np.median(in_b[lo : hi + 1] - places[lo : hi + 1]))
-        first, last = int(places[lo]), int(places[hi])
-        near = in_b[lo : hi + 1]
-        near = near[(near >= first + shift - gap) & (near <= last + shift + gap)]
-        if not len(near):
-            return 0.0
-        mine, theirs = np.unique(a[first : last + 1]), np.unique(b[near.min() : near.max() + 1])
+    def measure(x: np.ndarray, y: np.ndarray) -> float:
+        """Jaccard of a's stretch over the places x and b's over y."""
+        mine, theirs = np.unique(a[x[0] : x[-1] + 1]), np.unique(b[y.min() : y.max() + 1])
         both = len(np.intersect1d(mine, theirs, assume_unique=True))
         return both / (len(mine) + len(theirs) - both)
 
-    def runs(lo: int, hi: int, most: int) -> list[tuple[int, int]]:
-        """places[lo..hi] cut where more than ``most`` places are missing, or where b's side jumps by as much."""
-        step = np.diff(places[lo : hi + 1])
-        jump = np.abs(np.diff(in_b[lo : hi + 1]) - step)
-        breaks = np.flatnonzero((step > most + 1) | ((jump > 2 * most) & (most > 0)))
-        edges = [-1, *breaks.tolist(), hi - lo]
-        return [(lo + x + 1, lo + y) for x, y in zip(edges, edges[1:], strict=False)]
-
-    for lo, hi in runs(0, len(places) - 1, gap):
-        if places[hi] - places[lo] + 1 < shortest:
-            continue
-        likeness = measure(lo, hi)
-        if likeness >= similar:
-            found.append((int(places[lo]), int(places[hi]), likeness))
-            continue
-        for x, y in runs(lo, hi, 0):  # the stretch as a whole differs too much; unbroken parts may do
-            if places[y] - places[x] + 1 >= shortest and (likeness := measure(x, y)) >= similar:
-                found.append((int(places[x]), int(places[y]), likeness))
-    return found
+    breaks = np.flatnonzero((np.diff(places) != 1) | (np.diff(in_b) != 1)) + 1
+    starts = np.concatenate([[0], breaks])
+    lengths = np.diff(np.concatenate([starts, [len(places)]]))
+    while len(starts) and lengths.sum() >= fewest:
+        if len(starts) == 1:
+            chain, total = [0], int(lengths[0])
+        else:
+            chain, total = _chained(places[starts].tolist(), in_b[starts].tolist(), lengths.tolist())
+        inside = np.concatenate([np.arange(starts[i], starts[i] + lengths[i]) for i in chain])
+        todo = [inside] if total >= fewest else []
+        while todo:
+            part = todo.pop()
+            if len(part) < fewest or places[part[-1]] - places[part[0]] + 1 < shortest:
+                continue
+            x, y = places[part], in_b[part]
+            lo, hi, whole = _longest(x, y, similar)
+            if whole < shortest:
+                continue
+            todo += [part[:lo], part[hi + 1 :]]
+            if x[hi] - x[lo] + 1 < shortest:
+                continue
+            likeness = measure(x[lo : hi + 1], y[lo : hi + 1])
+            gaps = np.diff(x[lo : hi + 1]) + np.abs(np.diff(y[lo : hi + 1]) - 1) - 1
+            if likeness >= similar:
+                found.append((int(x[lo]), int(x[hi]), likeness))
+            elif gaps.any():  # shingles that repeat count once, so it may differ after all; its parts may do
+                middle = lo + int(gaps.argmax()) + 1
+                todo += [part[lo:middle], part[middle : hi + 1]]
+        keep = np.ones(len(starts), bool)
+        keep[chain] = False
+        starts, lengths = starts[keep], lengths[keep]
+        if total < fewest:
+            break
+    return sorted(found)
 
 
 def _verified(shortest: int, similar: float):

@@ -539,6 +539,57 @@ def test_one_passage_everywhere(spark):
     assert sum(r["first_id"] == 0 for r in got) == 199 and len(got) < 3 * 199
 
 
+def one_stretch(later, earlier):
+    shingles = passages.Shingler()
+    return [(lo, hi - lo + passages.WORDS, round(s, 3)) for lo, hi, s in passages.stretches(shingles(" ".join(later)), shingles(" ".join(earlier)))]
+
+
+def test_edits_are_measured_before_a_stretch_is_split():
+    rng = random.Random(3)
+    p, new = words(rng, 80), words(rng, 8)
+    longer = p[:40] + new + p[40:]
+    # an insertion in the later copy, and the same in the earlier one
+    assert one_stretch(longer, p) == [(0, 88, 0.818)]
+    assert one_stretch(p, longer) == [(0, 80, 0.818)]
+    # deletions are insertions on the other side; text around changes nothing
+    around = words(rng, 50)
+    assert one_stretch(around + longer + words(rng, 60), words(rng, 30) + p + words(rng, 20)) == [(50, 88, 0.818)]
+
+
+def test_like_parts_of_longer_stretches_keep_their_edits():
+    rng = random.Random(5)
+    p = words(rng, 60)
+    edited = p[:30] + ["changed"] + p[31:]
+    far = words(rng, 200)
+    often = [w if i % 7 else f"x{i}" for i, w in enumerate(far)]  # one word in seven differs: not alike
+    got = one_stretch(often + edited, far + p)
+    assert [(lo <= 200 and lo + n == 260 and s >= 0.8) for lo, n, s in got] == [True]
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_stretches_reach_what_brute_force_finds(seed):
+    """The longest pair of stretches of the planted edits at Jaccard 0.8 is found, whatever the kind of edit."""
+    rng = random.Random(seed)
+    p = words(rng, 90)
+    copy = list(p)
+    for _ in range(rng.randint(1, 3)):
+        i, n = rng.randrange(5, len(copy) - 12), rng.randint(1, 6)
+        copy[i : i + rng.choice([0, n])] = words(rng, rng.choice([0, n]))
+    shingles = passages.Shingler()
+    a, b = shingles(" ".join(copy)), shingles(" ".join(p))
+    best = 0
+    for i in range(len(a)):
+        for j in range(i + 45, len(a)):
+            mine = set(a[i : j + 1].tolist())
+            at = [k for k, x in enumerate(b.tolist()) if x in mine]
+            if at and mine >= {a[i], a[j]} and {a[i], a[j]} <= set(b.tolist()):
+                theirs = set(b[at[0] : at[-1] + 1].tolist())
+                if len(mine & theirs) >= 0.8 * len(mine | theirs):
+                    best = max(best, j - i + 1)
+    got = max((hi - lo + 1 for lo, hi, _ in passages.stretches(a, b)), default=0)
+    assert got >= best - 2 and (got > 0) == (best > 0)
+
+
 # --- the pipeline ---
 
 
