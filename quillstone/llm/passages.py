@@ -10,7 +10,12 @@ passages with similarity s share the least hash of a function with probability s
 Windows meet where the least hash and the shingle ``CONTEXT`` places beside it agree
 (the right side for even functions, the left for odd), so that short phrases that many
 texts share don't meet. Within such a group every window is paired with that of the
-least document id only: a passage in a thousand documents gives 999 pairs. For pairs
+least document id: a passage in a thousand documents gives 999 pairs. Where the
+verification leaves a window of the group unmatched, the least document only shared a
+line or a template there, and the group's other windows meet again in smaller groups:
+with the least of those that agree on ``SIDE`` shingles beside c, and with the least
+that has the same ``SHORTEST`` shingles at a place around c, so that exact copies
+find each other whatever else stands under their keys. For pairs
 of documents with at least ``ENOUGH`` functions, the windows' intervals must overlap
 when aligned at c; the passages are then verified on whole texts: runs of
 shared shingles are chained over gaps on either side, and the longest parts of a chain with
@@ -40,6 +45,7 @@ WORDS = 5
 SHORTEST = 46  #: shingles: 50 words
 HASHES = 4
 CONTEXT = 6
+SIDE = 12
 ENOUGH = 1
 SIMILAR = 0.8
 GAP = 2 * WORDS
@@ -104,17 +110,24 @@ def compact_windows(hashed: np.ndarray, shortest: int = SHORTEST) -> list[tuple[
     return out
 
 
+def _run_hashes(tokens: np.ndarray, n: int) -> np.ndarray:
+    """A hash of the n shingles from each place on."""
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(tokens, dtype=np.uint64)])
+    return mixed(total[n:] - total[:-n]).view(np.int64)
+
+
 def _windows(hashes: int, shortest: int, context: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingler()
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
-                ids, keys, places = [], [], []
+                ids, keys, places, at_c, sides = [], [], [], [], []
                 for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                     tokens = shingles(text)
                     if len(tokens) < shortest:
                         continue
+                    runs = _run_hashes(tokens, min(SIDE, shortest))
                     for f in range(hashes):
                         found = np.array(compact_windows(mixed(tokens ^ SEEDS[f]), shortest), np.int64)
                         c = found[:, 1]
@@ -126,32 +139,99 @@ def _windows(hashes: int, shortest: int, context: int):
                         keys.append(key[first])
                         places.append(np.minimum([c[first] - found[first, 0], found[first, 2] - c[first]], shortest))
                         ids.append(np.full(len(first), doc_id, np.int64))
+                        c = c[first]
+                        at_c.append(c)
+                        # the run that ends at c and the one that begins there; 0 where the text has none
+                        sides.append([np.where(x >= 0, runs[np.minimum(x, len(runs) - 1)], 0) * (x < len(runs)) for x in (c - min(SIDE, shortest) + 1, c)])
                 if ids:
                     before, beyond = np.concatenate(places, axis=1).astype(np.int16)
-                    arrays = [np.concatenate(ids), np.concatenate(keys).view(np.int64), before, beyond]
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names=["doc_id", "key", "before", "beyond"])
+                    left, right = np.concatenate(sides, axis=1).astype(np.int16)  # enough within a key; more would only move more
+                    arrays = [np.concatenate(ids), np.concatenate(keys).view(np.int64), before, beyond, np.concatenate(at_c).astype(np.int32), left, right]
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names=["doc_id", "key", "before", "beyond", "place", "left", "right"])
 
     return run
 
 
+def _texts(docs: DataFrame) -> DataFrame:
+    return take(docs, "doc_id", "text").where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+def _groups(texts: DataFrame, keep, hashes: int, shortest: int, context: int) -> tuple[DataFrame, DataFrame]:
+    """Windows whose key stands in several documents, and the least document's window for each key."""
+    windows = texts.mapInArrow(_windows(hashes, shortest, context), "doc_id long, key long, before short, beyond short, place int, left short, right short")
+    # most keys stand in one document only; counting keys alone moves the least. What the
+    # windows are joined with is a table each time, so that Spark can split a key with many windows
+    with contextlib.ExitStack() as release:
+        table = release.enter_context(spilled(windows, "windows"))
+        shared = release.enter_context(spilled(table.groupBy("key").count().where("count > 1").select("key"), "shared"))
+        met = keep(table.join(shared, "key", "left_semi"), "met")
+    firsts = met.groupBy("key").agg(F.min(F.struct("doc_id", "before", "beyond")).alias("first"), F.count("*").alias("n"))
+    return met, keep(firsts.select("key", F.col("first.doc_id").alias("first_id"), F.col("first.before").alias("first_before"), F.col("first.beyond").alias("first_beyond"), "n"), "firsts")
+
+
+def _first_pairs(met: DataFrame, firsts: DataFrame, shortest: int, enough: int) -> DataFrame:
+    # aligned at c, both windows must hold a stretch that is long enough
+    common = F.least("before", "first_before") + F.least("beyond", "first_beyond") + 1
+    pairs = met.join(firsts, "key").where((F.col("doc_id") != F.col("first_id")) & (common >= shortest))
+    pairs = pairs.groupBy("doc_id", "first_id").agg(F.count("*").alias("keys"))
+    return pairs.where(F.col("keys") >= enough).select("doc_id", "first_id")
+
+
 def candidates(docs: DataFrame, hashes: int = HASHES, shortest: int = SHORTEST, context: int = CONTEXT, enough: int = ENOUGH) -> DataFrame:
-    """(doc_id, first_id): pairs of documents with overlapping windows; first_id < doc_id."""
-    texts = take(docs, "doc_id", "text").where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    windows = texts.mapInArrow(_windows(hashes, shortest, context), "doc_id long, key long, before short, beyond short")
+    """(doc_id, first_id): pairs of documents with overlapping windows; first_id < doc_id, the least under a key."""
     with contextlib.ExitStack() as tables:
-        keep = lambda df, like: tables.enter_context(spilled(df, like))
-        table = keep(windows, "windows")
-        # most keys stand in one document only; counting keys alone moves the least. What the
-        # windows are joined with is a table each time, so that Spark can split a key with many windows
-        shared = keep(table.groupBy("key").count().where("count > 1").select("key"), "shared")
-        met = keep(table.join(shared, "key", "left_semi"), "met")
-        firsts = met.groupBy("key").agg(F.min(F.struct("doc_id", "before", "beyond")).alias("first"))
-        firsts = keep(firsts.select("key", F.col("first.doc_id").alias("first_id"), F.col("first.before").alias("first_before"), F.col("first.beyond").alias("first_beyond")), "firsts")
-        # aligned at c, both windows must hold a stretch that is long enough
-        common = F.least("before", "first_before") + F.least("beyond", "first_beyond") + 1
-        pairs = met.join(firsts, "key").where((F.col("doc_id") != F.col("first_id")) & (common >= shortest))
-        pairs = pairs.groupBy("doc_id", "first_id").agg(F.count("*").alias("keys"))
-        return cut(pairs.where(F.col("keys") >= enough).select("doc_id", "first_id"))
+        met, firsts = _groups(_texts(docs), lambda df, like: tables.enter_context(spilled(df, like)), hashes, shortest, context)
+        return cut(_first_pairs(met, firsts, shortest, enough))
+
+
+def _grams(shortest: int):
+    """The hashes of all runs of ``shortest`` shingles that hold one of the stated places."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles = Shingler()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
+                ids, grams = [], []
+                for doc_id, text, places in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
+                    tokens = shingles(text)
+                    if len(tokens) < shortest:
+                        continue
+                    hashed = _run_hashes(tokens, shortest)
+                    near = np.zeros(len(hashed) + 1, np.int64)
+                    c = np.array(places, np.int64)
+                    np.add.at(near, np.clip(c - shortest + 1, 0, len(hashed)), 1)
+                    np.add.at(near, np.minimum(c + 1, len(hashed)), -1)
+                    grams.append(np.unique(hashed[np.cumsum(near[:-1]) > 0]))
+                    ids.append(np.full(len(grams[-1]), doc_id, np.int64))
+                if ids:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (ids, grams)], names=["doc_id", "gram"])
+
+    return run
+
+
+def _unmatched(met: DataFrame, firsts: DataFrame, found: DataFrame, keep) -> DataFrame:
+    """(doc_id, place, side): the windows of the keys under which the least document left one unmatched."""
+    with contextlib.ExitStack() as release:
+        # two windows besides the least one's: with fewer there is nobody else to meet
+        others = met.join(firsts.where("n > 2").select("key", "first_id"), "key").where("doc_id <> first_id")
+        others = release.enter_context(spilled(others.select("doc_id", "key", "place", "left", "right"), "others"))
+        passages = found.select(F.col("doc_id").alias("d"), "start_word", (F.col("start_word") + F.col("n_words") - WORDS).alias("until"))
+        left = others.select("doc_id", "key", "place").join(passages, (F.col("doc_id") == F.col("d")) & F.col("place").between(F.col("start_word"), F.col("until")), "left_anti")
+        open_keys = release.enter_context(spilled(left.select("key").distinct(), "open"))
+        sides = F.explode(F.array(*[F.when(F.col(x) != 0, F.xxhash64(F.lit(x), "key", x)) for x in ("left", "right")])).alias("side")
+        return keep(others.join(open_keys, "key", "left_semi").select("doc_id", "place", sides).where("side is not null"), "unmatched")
+
+
+def _further_pairs(texts: DataFrame, unmatched: DataFrame, pairs: DataFrame, keep, shortest: int) -> DataFrame:
+    """(doc_id, first_id): pairs beyond the least document of a key, of windows that it left unmatched."""
+    least = keep(unmatched.groupBy("side").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")).where("n > 1").select("side", "first_id"), "least")
+    again = keep(unmatched.join(least, "side").select("doc_id", "place", "first_id"), "again")
+    places = again.groupBy("doc_id").agg(F.collect_set("place").alias("places"))
+    grams = keep(texts.join(places, "doc_id").select("doc_id", "text", "places").mapInArrow(_grams(shortest), "doc_id long, gram long"), "grams")
+    same = keep(grams.groupBy("gram").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")).where("n > 1").select("gram", "first_id"), "same")
+    further = again.select("doc_id", "first_id").union(grams.join(same, "gram").select("doc_id", "first_id"))
+    return further.where("doc_id <> first_id").distinct().join(pairs, ["doc_id", "first_id"], "left_anti")
 
 
 def _followed(a: np.ndarray, b: np.ndarray, places: np.ndarray, in_b: np.ndarray) -> np.ndarray:
@@ -314,12 +394,24 @@ def _verified(shortest: int, similar: float):
 
 def repeats(docs: DataFrame, hashes: int = HASHES, shortest: int = SHORTEST, context: int = CONTEXT, enough: int = ENOUGH, similar: float = SIMILAR) -> DataFrame:
     """doc_id, first_id, start_word, n_words, similarity: passages of a document that an earlier one has too."""
-    pairs = candidates(docs, hashes, shortest, context, enough)
-    texts = take(docs, "doc_id", "text").where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    firsts = texts.select(F.col("doc_id").alias("first_id"), F.col("text").alias("first_text"))
-    joined = pairs.join(texts, "doc_id").join(firsts, "first_id").select("doc_id", "first_id", "text", "first_text")
+    texts = _texts(docs)
+    firsts_texts = texts.select(F.col("doc_id").alias("first_id"), F.col("text").alias("first_text"))
     schema = "doc_id long, first_id long, start_word long, n_words long, similarity double"
-    return joined.mapInArrow(_verified(shortest, similar), schema).distinct()
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        joined = pairs.join(texts, "doc_id").join(firsts_texts, "first_id").select("doc_id", "first_id", "text", "first_text")
+        return joined.mapInArrow(_verified(shortest, similar), schema)
+
+    with contextlib.ExitStack() as tables:
+        keep = lambda df, like: tables.enter_context(spilled(df, like))
+        with contextlib.ExitStack() as release:
+            met, firsts = _groups(texts, lambda df, like: release.enter_context(spilled(df, like)), hashes, shortest, context)
+            pairs = keep(_first_pairs(met, firsts, shortest, enough), "pairs")
+            found = keep(verified(pairs), "found")
+            unmatched = _unmatched(met, firsts, found, keep)
+        with contextlib.ExitStack() as release:
+            further = keep(_further_pairs(texts, unmatched, pairs, lambda df, like: release.enter_context(spilled(df, like)), shortest), "further")
+        return cut(found.union(verified(further)).distinct())
 
 
 def cut_words(text: str, spans: list[tuple[int, int]]) -> str:

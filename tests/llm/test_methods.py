@@ -590,6 +590,20 @@ def test_stretches_reach_what_brute_force_finds(seed):
     assert got >= best - 2 and (got > 0) == (best > 0)
 
 
+def test_copies_meet_whatever_the_least_document_of_their_keys_is(spark):
+    """A frequent line stands alone in lesser documents, and in the middle of passages that two documents each share."""
+    rng = random.Random(8)
+    line = words(rng, 48)  # too short to be a passage itself
+    rows = [(i, " ".join(words(rng, 60) + line + words(rng, 60))) for i in range(10)]
+    want = set()
+    for i in range(60):
+        text = words(rng, 1) + line + words(rng, 1)
+        rows += [(1000 + i, " ".join(words(rng, 60) + text + words(rng, 60))), (2000 + i, " ".join(words(rng, 70) + text + words(rng, 60)))]
+        want.add((2000 + i, 1000 + i, 70, 50))
+    got = {(r["doc_id"], r["first_id"], r["start_word"], r["n_words"]) for r in passages.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert want <= got and all(g in want for g in got)
+
+
 # --- the pipeline ---
 
 
