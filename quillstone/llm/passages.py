@@ -43,8 +43,8 @@ from .common import Rows, cut, spilled, take
 
 WORDS = 5
 SHORTEST = 46  #: shingles: 50 words
-HASHES = 4
-CONTEXT = 6
+HASHES = 5
+CONTEXT = 2
 SIDE = 12
 ENOUGH = 1
 SIMILAR = 0.8

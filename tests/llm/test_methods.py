@@ -604,6 +604,16 @@ def test_copies_meet_whatever_the_least_document_of_their_keys_is(spark):
     assert want <= got and all(g in want for g in got)
 
 
+def test_short_passages_with_an_edit_in_the_middle_meet(spark):
+    rng = random.Random(2)
+    rows = []
+    for i in range(1000):
+        passage = words(rng, 50)
+        rows += [(i, " ".join(passage)), (5000 + i, " ".join([*passage[:25], f"edit{i}", *passage[26:]]))]
+    got = {(r["doc_id"], r["first_id"]) for r in passages.candidates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len({(5000 + i, i) for i in range(1000)} & got) >= 995
+
+
 # --- the pipeline ---
 
 
