@@ -1,4 +1,6 @@
-"""Quality classifier: a factorisation machine over hashed words, structure and metadata.
+"""Quality classifier: a factorisation machine over hashed words, structure and size.
+
+There is no metadata group: the text's own size stands in for ``n_chars``, which may be null.
 
 Features of a text: its distinct words, hashed to ``BUCKETS`` slots and weighted by
 1 + log of their count, as a vector of length 1; and a few measures of its structure and
