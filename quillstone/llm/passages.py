@@ -10,22 +10,27 @@ passages with similarity s share the least hash of a function with probability s
 Windows meet where the least hash and the shingle ``CONTEXT`` places beside it agree
 (the right side for even functions, the left for odd), so that short phrases that many
 texts share don't meet. Within such a group every window is paired with that of the
-least document id: a passage in a thousand documents gives 999 pairs. Where the
-verification leaves a window of the group unmatched, the least document only shared a
-line or a template there, and the group's other windows meet again in smaller groups:
-with the least of those that agree on ``SIDE`` shingles beside c, and with the least
-that has the same ``SHORTEST`` shingles at a place around c, so that exact copies
-find each other whatever else stands under their keys. For pairs
-of documents with at least ``ENOUGH`` functions, the windows' intervals must overlap
-when aligned at c; the passages are then verified on whole texts: runs of
-shared shingles are chained over gaps on either side, and the longest parts of a chain with
-Jaccard similarity of the two stretches at least ``SIMILAR`` are taken, edits inside.
-
-Defined cases: null text has no words. Texts of fewer than 50 words have no passage.
-Repeats inside one document are left alone, and rows with the same id are one document.
-Rows with a null id neither give nor lose passages. Of a passage that stands in several
-documents, that of the least id stays. Empty tables give no rows. Extra columns are
-kept by ``without_repeats`` and ignored otherwise.
+least document id, where both, aligned at c, hold a stretch that is long enough: a passage
+in a thousand documents gives 999 pairs. A pair is verified from ``ENOUGH`` votes on: one for
+each function that agrees, one for each run of 12 shingles that ends or begins at c.
+Windows that are unlike the least document's on a side (runs of ``SIDES`` shingles) meet the
+least of those that have the same run there, so a document that shares a line or a
+template only doesn't stand between two that share more. Where the verification still leaves a window
+of a group with one long run in no passage, the group's documents meet by all runs of
+``SHORTEST`` shingles around c: exact copies that share a key find each other
+whatever else stands under it.
+
+A pair is verified on whole texts: runs of shared shingles are chained over gaps on either
+side, and the longest parts of a chain with Jaccard similarity of the two stretches at
+least ``SIMILAR`` are taken, edits inside.
+
+Defined cases: null and empty texts have no words. Texts of fewer than 50 words have no passage.
+Very long texts are hashed block by block and windowed whole; a text takes memory in
+proportion to its own words. Of equal least hashes (a text that repeats itself) the first
+is the window's. Repeats inside one document are left alone, and rows with the same id,
+repeated rows among them, are one document. Rows with a null id neither give nor lose passages. Of a passage
+that stands in several documents, that of the least id stays. Empty tables give no rows. Extra
+columns, whatever their names, are kept by ``without_repeats`` and ignored otherwise.
 """
 
 from __future__ import annotations
@@ -35,8 +40,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Rows, cut, spilled, take
@@ -45,12 +50,12 @@ WORDS = 5
 SHORTEST = 46  #: shingles: 50 words
 HASHES = 5
 CONTEXT = 2
-SIDE = 12
-ENOUGH = 1
+SIDES = (12, 23)  #: shingles of the runs beside c; the longest fits a half of any run of SHORTEST that holds c
+ENOUGH = 2
 SIMILAR = 0.8
 GAP = 2 * WORDS
 LOOK_BACK = 500  #: runs that a chain may leave out on end
-CACHE = 300_000
+_PLACE_BITS, _SIDE_BITS = 24, 13
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -64,90 +69,190 @@ def mixed(x: np.ndarray) -> np.ndarray:
 SEEDS = mixed(np.arange(1, 65, dtype=np.uint64) * _A)
 
 
-class Shingler:
-    """Texts to shingle hashes, with a bounded memory of hashed words."""
+_SPACE = np.isin(np.arange(256), np.frombuffer(b" \t\n\r\x0b\x0c", np.uint8))
+#: a number for each byte, A-Z like a-z
+_CODES = mixed((np.arange(256) + 32 * ((np.arange(256) >= 65) & (np.arange(256) <= 90)) + 1).astype(np.uint64) * _B)
+_BASE = int(_C)
+_INVERSE = np.uint64(pow(_BASE, -1, 1 << 64))
 
-    def __init__(self):
-        self.known: dict[bytes, int] = {}
 
-    def __call__(self, text: str | None) -> np.ndarray:
-        words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-        n = len(words) - WORDS + 1
+class Shingler:
+    """Texts to shingle hashes: all words of a block of text are hashed at once, by differences of running polynomials."""
+
+    def __init__(self, block: int = 1 << 20):
+        self.block = block
+        self._sized(1 << 16)
+
+    def _sized(self, n: int) -> None:
+        self.powers, self.inverses = (np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(n, x, np.uint64)])) for x in (np.uint64(_BASE), _INVERSE))
+
+    def _words(self, data: np.ndarray) -> np.ndarray:
+        if len(data) >= len(self.powers):
+            self._sized(len(data))
+        space = _SPACE[data]
+        edges = np.flatnonzero(np.diff(np.concatenate([[True], space, [True]])))
+        starts, ends = edges[::2], edges[1::2]
+        running = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_CODES[data] * self.powers[: len(data)])])
+        return mixed((running[ends] - running[starts]) * self.inverses[starts])
+
+    def words(self, data: np.ndarray) -> np.ndarray:
+        """A hash of each word of UTF-8 bytes."""
+        if len(data) <= self.block:
+            return self._words(data)
+        out, at = [], 0
+        while at < len(data):
+            size = self.block
+            while at + size < len(data) and not _SPACE[data[at : at + size]].any():
+                size *= 2
+            to = min(at + size, len(data))
+            if to < len(data):  # a block ends where a word does
+                to = at + int(np.flatnonzero(_SPACE[data[at:to]])[-1]) + 1
+            out.append(self._words(data[at:to]))
+            at = to
+        return np.concatenate(out)
+
+    @staticmethod
+    def _of_words(each: np.ndarray) -> np.ndarray:
+        n = len(each) - WORDS + 1
         if n <= 0:
             return np.empty(0, np.uint64)
-        known, digest = self.known, xxhash.xxh64_intdigest
-        if len(known) > CACHE:
-            known.clear()
-        hashes = []
-        for w in words:
-            h = known.get(w)
-            if h is None:
-                h = known[w] = digest(w)
-            hashes.append(h)
-        each = np.array(hashes, np.uint64)
         out = each[:n].copy()
         for i in range(1, WORDS):
-            out = out * _A + each[i : i + n]
+            out *= _A
+            out += each[i : i + n]
         return mixed(out)
 
+    def __call__(self, text: str | None) -> np.ndarray:
+        return self._of_words(self.words(np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)))
+
+    def column(self, texts: pa.Array) -> list[np.ndarray]:
+        """Shingle hashes of each text of a column."""
+        whole = "\n".join(x or "" for x in texts.to_pylist()).encode("utf-8", "surrogatepass")
+        if len(whole) > self.block:
+            return [self(x) for x in texts.to_pylist()]
+        data = np.frombuffer(whole, np.uint8)
+        sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        starts = np.flatnonzero(~_SPACE[data] & np.concatenate([[True], _SPACE[data[:-1]]]))
+        ends = np.searchsorted(starts, np.cumsum(sizes + 1) - 1)
+        return [self._of_words(x) for x in np.split(self._words(data), ends[:-1])]
+
+
+def _minima(hashed: np.ndarray, longest: int) -> list[np.ndarray]:
+    """Least values of all stretches of 1, 2, 4, ... places, up to ``longest``; a place's own low bits make every value differ from its neighbours', the left one of equals being less."""
+    low = np.uint64((1 << _PLACE_BITS) - 1)
+    out = [(hashed & ~low) | (np.arange(len(hashed), dtype=np.uint64) & low)]
+    width = 1
+    while 2 * width <= min(longest, len(hashed)):
+        out.append(np.minimum(out[-1][:-width], out[-1][width:]))
+        width *= 2
+    return out
+
+
+def _tops(minima: list[np.ndarray], first: np.ndarray, last: np.ndarray, shortest: int, reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(c, before, beyond) of the compact windows: the nodes of the Cartesian trees over at least ``shortest`` places.
+
+    ``first`` and ``last`` bound the text that each place belongs to. A node is the least of
+    some stretch of exactly ``shortest`` places; how far it stays the least is found by
+    halving steps, up to ``reach`` places on either side.
+    """
+    values, n = minima[0], len(minima[0])
+    none = np.empty(0, np.int64)
+    if n < shortest:
+        return none, none, none
+    k = shortest.bit_length() - 1
+    count = n - shortest + 1
+    least = np.minimum(minima[k][:count], minima[k][shortest - (1 << k) : shortest - (1 << k) + count])
+    start = np.flatnonzero(first[:count] == first[shortest - 1 :])
+    if not len(start):
+        return none, none, none
+    low = np.int64((1 << _PLACE_BITS) - 1)
+    c = start + ((least[start].view(np.int64) - start) & low)
+    c = c[np.concatenate([[True], c[1:] != c[:-1]])]  # the least place never goes back as the stretch goes on
+    own, before, beyond = values[c], np.zeros(len(c), np.int64), np.zeros(len(c), np.int64)
+    for k in range(len(minima) - 1, -1, -1):
+        step, table = 1 << k, minima[k]
+        to = c - before - step
+        before += step * ((to >= first[c]) & (before + step <= reach) & (table[np.maximum(to, 0)] > own))
+        to = c + beyond + 1
+        fits = (to + step - 1 <= last[c]) & (beyond + step <= reach)
+        beyond += step * (fits & (table[np.minimum(to, len(table) - 1)] > own))
+    return c, before, beyond
+
 
 def compact_windows(hashed: np.ndarray, shortest: int = SHORTEST) -> list[tuple[int, int, int]]:
-    """(l, c, r) of all compact windows of at least ``shortest`` places."""
-    out, todo = [], [(0, len(hashed) - 1)]
-    while todo:
-        left, right = todo.pop()
-        if right - left + 1 < shortest:
-            continue
-        part = hashed[left : right + 1]
-        c = left + int(part.argmin())
-        if len(part) > 4 * shortest or (c < right and hashed[c + 1] == hashed[c]):
-            # of equal minima the middle one, so that text that repeats itself is halved, not peeled
-            same = np.flatnonzero(part == hashed[c])
-            c = left + int(same[np.abs(same - (right - left) // 2).argmin()])
-        out.append((left, c, right))
-        todo.append((left, c - 1))
-        todo.append((c + 1, right))
-    return out
+    """(l, c, r) of all compact windows of at least ``shortest`` places, of equal minima the first."""
+    n = len(hashed)
+    order = np.unique(hashed, return_inverse=True)[1].astype(np.uint64) << np.uint64(_PLACE_BITS)
+    c, before, beyond = _tops(_minima(order, 2 * n), np.zeros(n, np.int64), np.full(n, n - 1), shortest, n)
+    return list(zip((c - before).tolist(), c.tolist(), (c + beyond).tolist(), strict=True))
 
 
 def _run_hashes(tokens: np.ndarray, n: int) -> np.ndarray:
     """A hash of the n shingles from each place on."""
+    if len(tokens) < n:
+        return np.empty(0, np.uint64)
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(tokens, dtype=np.uint64)])
-    return mixed(total[n:] - total[:-n]).view(np.int64)
+    return mixed(total[n:] - total[:-n])
+
+
+def _sides(tokens: np.ndarray, c: np.ndarray, first: np.ndarray, last: np.ndarray) -> list[np.ndarray]:
+    """For each of SIDES the short hashes of the run that ends at c and of the one that begins there; 0 where the text has none."""
+    out = []
+    for n in SIDES:
+        runs = _run_hashes(tokens, n) >> np.uint64(64 - _SIDE_BITS)
+        for start in (c - n + 1, c):
+            there = (start >= first[c]) & (start + n - 1 <= last[c])
+            out.append(np.where(there, np.maximum(runs[np.clip(start, 0, max(0, len(runs) - 1))], 1), 0).astype(np.uint64) if len(runs) else np.zeros(len(c), np.uint64))
+    return out
+
+
+def _slices(batch: pa.RecordBatch, text_at: int, limit: int = 1_000_000) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch of a few hundred rows and a bounded size of text; one row at least."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(text_at)), 0).to_numpy(zero_copy_only=False)
+    at = 0
+    while at < batch.num_rows:
+        total = np.cumsum(sizes[at : at + 200])
+        n = max(1, int(np.searchsorted(total, limit, side="right")))
+        yield batch.slice(at, n)
+        at += n
+
 
+def _windows(hashes: int, shortest: int, context: int, whole: bool):
+    """Keys of all compact windows; with their place, extent and sides where the ``whole`` is asked for."""
 
-def _windows(hashes: int, shortest: int, context: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingler()
-        for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                part = batch.slice(at, 200)
-                ids, keys, places, at_c, sides = [], [], [], [], []
-                for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    tokens = shingles(text)
-                    if len(tokens) < shortest:
-                        continue
-                    runs = _run_hashes(tokens, min(SIDE, shortest))
-                    for f in range(hashes):
-                        found = np.array(compact_windows(mixed(tokens ^ SEEDS[f]), shortest), np.int64)
-                        c = found[:, 1]
-                        beside = c + context if f % 2 == 0 else c - context
-                        inside = (beside >= 0) & (beside < len(tokens))
-                        found, c, beside = found[inside], c[inside], beside[inside]
-                        key = mixed(tokens[c] * _A + tokens[beside] + SEEDS[f])
-                        _, first = np.unique(key, return_index=True)  # a key once a document
-                        keys.append(key[first])
-                        places.append(np.minimum([c[first] - found[first, 0], found[first, 2] - c[first]], shortest))
-                        ids.append(np.full(len(first), doc_id, np.int64))
-                        c = c[first]
-                        at_c.append(c)
-                        # the run that ends at c and the one that begins there; 0 where the text has none
-                        sides.append([np.where(x >= 0, runs[np.minimum(x, len(runs) - 1)], 0) * (x < len(runs)) for x in (c - min(SIDE, shortest) + 1, c)])
-                if ids:
-                    before, beyond = np.concatenate(places, axis=1).astype(np.int16)
-                    left, right = np.concatenate(sides, axis=1).astype(np.int16)  # enough within a key; more would only move more
-                    arrays = [np.concatenate(ids), np.concatenate(keys).view(np.int64), before, beyond, np.concatenate(at_c).astype(np.int32), left, right]
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names=["doc_id", "key", "before", "beyond", "place", "left", "right"])
+        names = ["doc_id", "key", "place", "packed"] if whole else ["key"]
+        for part in (x for batch in batches for x in _slices(batch, 1)):
+            all_tokens = shingles.column(part.column(1))
+            sizes = np.array([len(t) if len(t) >= shortest else 0 for t in all_tokens], np.int64)
+            tokens = np.concatenate([np.empty(0, np.uint64), *(t for t, n in zip(all_tokens, sizes, strict=True) if n)])
+            if not len(tokens):
+                continue
+            ends = np.cumsum(sizes)
+            first, last = np.repeat(ends - sizes, sizes), np.repeat(ends - 1, sizes)
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            found = []
+            for f in range(hashes):
+                c, before, beyond = _tops(_minima(mixed(tokens ^ SEEDS[f]), shortest), first, last, shortest, shortest)
+                beside = c + context if f % 2 == 0 else c - context
+                inside = (beside >= first[c]) & (beside <= last[c])
+                c, beside, before, beyond = c[inside], beside[inside], before[inside], beyond[inside]
+                found.append((c, mixed(tokens[c] * _A + tokens[beside] + SEEDS[f]), before, beyond))
+            c, key, before, beyond = map(np.concatenate, zip(*found, strict=True))
+            packed = before.astype(np.uint64) << np.uint64(6) | beyond.astype(np.uint64)
+            if whole:
+                for side in _sides(tokens, c, first, last):
+                    packed = packed << np.uint64(_SIDE_BITS) | side
+            # a document that says the same thing again has the same window again: once is enough
+            same = mixed((key + (packed * _B if whole else 0)) * _A + row[c].astype(np.uint64))
+            _, once = np.unique(same, return_index=True)
+            arrays = [pa.array(key[once].view(np.int64))]
+            if whole:
+                at = c[once]
+                ids = part.column(0).to_numpy(zero_copy_only=False)[row[at]]
+                arrays = [pa.array(ids, pa.int64()), *arrays, pa.array((at - first[at]).astype(np.int32)), pa.array(packed[once].view(np.int64))]
+            yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     return run
 
@@ -156,32 +261,59 @@ def _texts(docs: DataFrame) -> DataFrame:
     return take(docs, "doc_id", "text").where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def _groups(texts: DataFrame, keep, hashes: int, shortest: int, context: int) -> tuple[DataFrame, DataFrame]:
-    """Windows whose key stands in several documents, and the least document's window for each key."""
-    windows = texts.mapInArrow(_windows(hashes, shortest, context), "doc_id long, key long, before short, beyond short, place int, left short, right short")
-    # most keys stand in one document only; counting keys alone moves the least. What the
-    # windows are joined with is a table each time, so that Spark can split a key with many windows
-    with contextlib.ExitStack() as release:
-        table = release.enter_context(spilled(windows, "windows"))
-        shared = release.enter_context(spilled(table.groupBy("key").count().where("count > 1").select("key"), "shared"))
-        met = keep(table.join(shared, "key", "left_semi"), "met")
-    firsts = met.groupBy("key").agg(F.min(F.struct("doc_id", "before", "beyond")).alias("first"), F.count("*").alias("n"))
-    return met, keep(firsts.select("key", F.col("first.doc_id").alias("first_id"), F.col("first.before").alias("first_before"), F.col("first.beyond").alias("first_beyond"), "n"), "firsts")
+def _met(texts: DataFrame, keep, hashes: int, shortest: int, context: int) -> DataFrame:
+    """(doc_id, key, place, packed): windows whose key stands more than once.
+
+    Most keys stand in one document only. Counting the keys alone moves the least; making
+    the windows a second time costs less than keeping them all.
+    """
+    keys = texts.mapInArrow(_windows(hashes, shortest, context, False), "key long")
+    with spilled(keys.groupBy("key").count().where("count > 1").select("key"), "shared") as shared:
+        windows = texts.mapInArrow(_windows(hashes, shortest, context, True), "doc_id long, key long, place int, packed long")
+        return keep(windows.join(shared, "key", "left_semi").select("doc_id", "key", "place", "packed"), "met")
+
+
+def _bits(packed: str, shift: int, n: int) -> Column:
+    return F.shiftrightunsigned(packed, shift).bitwiseAND(F.lit((1 << n) - 1))
+
 
+def _side(packed: str, i: int) -> Column:
+    return _bits(packed, _SIDE_BITS * (2 * len(SIDES) - 1 - i), _SIDE_BITS)
 
-def _first_pairs(met: DataFrame, firsts: DataFrame, shortest: int, enough: int) -> DataFrame:
-    # aligned at c, both windows must hold a stretch that is long enough
-    common = F.least("before", "first_before") + F.least("beyond", "first_beyond") + 1
-    pairs = met.join(firsts, "key").where((F.col("doc_id") != F.col("first_id")) & (common >= shortest))
-    pairs = pairs.groupBy("doc_id", "first_id").agg(F.count("*").alias("keys"))
-    return pairs.where(F.col("keys") >= enough).select("doc_id", "first_id")
 
+def _beside_first(met: DataFrame, keep) -> DataFrame:
+    """Windows with those of the least document under their key; of keys of one document only, none."""
+    firsts = met.groupBy("key").agg(F.min(F.struct("doc_id", "packed")).alias("first"), F.max("doc_id").alias("last")).where("last > first.doc_id")
+    firsts = keep(firsts.select("key", F.col("first.doc_id").alias("first_id"), F.col("first.packed").alias("first_packed"), "last"), "firsts")
+    return met.join(firsts, "key").where(F.col("doc_id") != F.col("first_id"))
 
-def candidates(docs: DataFrame, hashes: int = HASHES, shortest: int = SHORTEST, context: int = CONTEXT, enough: int = ENOUGH) -> DataFrame:
-    """(doc_id, first_id): pairs of documents with overlapping windows; first_id < doc_id, the least under a key."""
+
+def _pairs(beside: DataFrame, keep, shortest: int, similar: float, enough: int) -> DataFrame:
+    """(doc_id, first_id): documents to verify, from agreeing windows that overlap when aligned at c.
+
+    Each function that agrees is a vote, and so is each of the shorter runs beside c.
+    Windows that are unlike the least document's on a side meet again there: with
+    the least of those that have the same run on this side.
+    """
+    extent = 2 * len(SIDES) * _SIDE_BITS
+    low = [[_bits(p, extent + at, 6) for p in ("packed", "first_packed")] for at in (6, 0)]
+    overlap = sum((F.least(*x) for x in low), F.lit(1)) >= round(similar * shortest)
+    same = [_side("packed", i) == _side("first_packed", i) for i in range(2 * len(SIDES))]
+    votes = F.lit(1) + sum((F.when(same[i] & (_side("packed", i) != 0), 1).otherwise(0) for i in range(2)), F.lit(0))
+    near = beside.where(overlap).groupBy("doc_id", "first_id").agg(F.sum(votes).alias("votes")).where(F.col("votes") >= enough).select("doc_id", "first_id")
+    sides = [F.when((_side("packed", i) != 0) & ~(same[i] & overlap), F.xxhash64("key", F.lit(i), _side("packed", i))) for i in range(2 * len(SIDES))]
+    again = keep(beside.select("doc_id", F.explode(F.array_compact(F.array(*sides))).alias("side")), "sides")
+    least = keep(again.groupBy("side").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last")).where("last > first_id").select("side", "first_id"), "least")
+    further = again.join(least, "side").where("doc_id <> first_id").select("doc_id", "first_id")
+    return near.union(further).distinct()
+
+
+def candidates(docs: DataFrame, hashes: int = HASHES, shortest: int = SHORTEST, context: int = CONTEXT, enough: int = ENOUGH, similar: float = SIMILAR) -> DataFrame:
+    """(doc_id, first_id): pairs of documents to verify at first, first_id < doc_id."""
     with contextlib.ExitStack() as tables:
-        met, firsts = _groups(_texts(docs), lambda df, like: tables.enter_context(spilled(df, like)), hashes, shortest, context)
-        return cut(_first_pairs(met, firsts, shortest, enough))
+        keep = lambda df, like: tables.enter_context(spilled(df, like))
+        met = _met(_texts(docs), keep, hashes, shortest, context)
+        return cut(_pairs(_beside_first(met, keep), keep, shortest, similar, enough))
 
 
 def _grams(shortest: int):
@@ -189,48 +321,47 @@ def _grams(shortest: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingler()
-        for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                part = batch.slice(at, 200)
-                ids, grams = [], []
-                for doc_id, text, places in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
-                    tokens = shingles(text)
-                    if len(tokens) < shortest:
-                        continue
-                    hashed = _run_hashes(tokens, shortest)
-                    near = np.zeros(len(hashed) + 1, np.int64)
-                    c = np.array(places, np.int64)
-                    np.add.at(near, np.clip(c - shortest + 1, 0, len(hashed)), 1)
-                    np.add.at(near, np.minimum(c + 1, len(hashed)), -1)
-                    grams.append(np.unique(hashed[np.cumsum(near[:-1]) > 0]))
-                    ids.append(np.full(len(grams[-1]), doc_id, np.int64))
-                if ids:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (ids, grams)], names=["doc_id", "gram"])
+        for part in (x for batch in batches for x in _slices(batch, 1)):
+            ids, grams = [], []
+            for doc_id, tokens, places in zip(part.column(0).to_pylist(), shingles.column(part.column(1)), part.column(2).to_pylist(), strict=True):
+                hashed = _run_hashes(tokens, shortest).view(np.int64)
+                if not len(hashed):
+                    continue
+                near = np.zeros(len(hashed) + 1, np.int64)
+                c = np.array(places, np.int64)
+                np.add.at(near, np.clip(c - shortest + 1, 0, len(hashed)), 1)
+                np.add.at(near, np.minimum(c + 1, len(hashed)), -1)
+                grams.append(np.unique(hashed[np.cumsum(near[:-1]) > 0]))
+                ids.append(np.full(len(grams[-1]), doc_id, np.int64))
+            if ids:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (ids, grams)], names=["doc_id", "gram"])
 
     return run
 
 
-def _unmatched(met: DataFrame, firsts: DataFrame, found: DataFrame, keep) -> DataFrame:
-    """(doc_id, place, side): the windows of the keys under which the least document left one unmatched."""
-    with contextlib.ExitStack() as release:
-        # two windows besides the least one's: with fewer there is nobody else to meet
-        others = met.join(firsts.where("n > 2").select("key", "first_id"), "key").where("doc_id <> first_id")
-        others = release.enter_context(spilled(others.select("doc_id", "key", "place", "left", "right"), "others"))
-        passages = found.select(F.col("doc_id").alias("d"), "start_word", (F.col("start_word") + F.col("n_words") - WORDS).alias("until"))
-        left = others.select("doc_id", "key", "place").join(passages, (F.col("doc_id") == F.col("d")) & F.col("place").between(F.col("start_word"), F.col("until")), "left_anti")
-        open_keys = release.enter_context(spilled(left.select("key").distinct(), "open"))
-        sides = F.explode(F.array(*[F.when(F.col(x) != 0, F.xxhash64(F.lit(x), "key", x)) for x in ("left", "right")])).alias("side")
-        return keep(others.join(open_keys, "key", "left_semi").select("doc_id", "place", sides).where("side is not null"), "unmatched")
-
-
-def _further_pairs(texts: DataFrame, unmatched: DataFrame, pairs: DataFrame, keep, shortest: int) -> DataFrame:
-    """(doc_id, first_id): pairs beyond the least document of a key, of windows that it left unmatched."""
-    least = keep(unmatched.groupBy("side").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")).where("n > 1").select("side", "first_id"), "least")
-    again = keep(unmatched.join(least, "side").select("doc_id", "place", "first_id"), "again")
-    places = again.groupBy("doc_id").agg(F.collect_set("place").alias("places"))
-    grams = keep(texts.join(places, "doc_id").select("doc_id", "text", "places").mapInArrow(_grams(shortest), "doc_id long, gram long"), "grams")
-    same = keep(grams.groupBy("gram").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")).where("n > 1").select("gram", "first_id"), "same")
-    further = again.select("doc_id", "first_id").union(grams.join(same, "gram").select("doc_id", "first_id"))
+def _shadowed(beside: DataFrame, found: DataFrame, keep) -> DataFrame:
+    """(doc_id, places): windows of the groups with one long run beside c in which a window is in no passage found so far.
+
+    Of a run of ``SHORTEST`` shingles that holds c, one half holds the longest side in full. So copies that the
+    least document of their group hides from each other are in one such group.
+    """
+    longest = 2 * len(SIDES) - 2
+    # a third document, besides the least: with fewer there is nobody else to meet
+    others = beside.select("doc_id", "place", F.explode(F.array_compact(F.array(*[F.when(_side("packed", i) != 0, F.xxhash64("key", F.lit(i), _side("packed", i))) for i in (longest, longest + 1)]))).alias("side"))
+    others = keep(others, "others")
+    several = others.groupBy("side").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("side")
+    others = keep(others.join(several, "side", "left_semi"), "several")
+    passages = found.select(F.col("doc_id").alias("d"), "start_word", (F.col("start_word") + F.col("n_words") - WORDS).alias("until"))
+    left = others.join(passages, (F.col("doc_id") == F.col("d")) & F.col("place").between(F.col("start_word"), F.col("until")), "left_anti")
+    hidden = keep(left.select("side").distinct(), "hidden")
+    return others.join(hidden, "side", "left_semi").groupBy("doc_id").agg(F.collect_set("place").alias("places"))
+
+
+def _further_pairs(texts: DataFrame, shadowed: DataFrame, pairs: DataFrame, keep, shortest: int) -> DataFrame:
+    """(doc_id, first_id): pairs by a whole run of ``shortest`` shingles, with the least document that has it."""
+    grams = keep(texts.join(shadowed, "doc_id").select("doc_id", "text", "places").mapInArrow(_grams(shortest), "doc_id long, gram long"), "grams")
+    same = keep(grams.groupBy("gram").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last")).where("last > first_id").select("gram", "first_id"), "same")
+    further = grams.join(same, "gram").select("doc_id", "first_id")
     return further.where("doc_id <> first_id").distinct().join(pairs, ["doc_id", "first_id"], "left_anti")
 
 
@@ -404,13 +535,14 @@ def repeats(docs: DataFrame, hashes: int = HASHES, shortest: int = SHORTEST, con
 
     with contextlib.ExitStack() as tables:
         keep = lambda df, like: tables.enter_context(spilled(df, like))
+        met = _met(texts, keep, hashes, shortest, context)
+        beside = _beside_first(met, keep)
         with contextlib.ExitStack() as release:
-            met, firsts = _groups(texts, lambda df, like: release.enter_context(spilled(df, like)), hashes, shortest, context)
-            pairs = keep(_first_pairs(met, firsts, shortest, enough), "pairs")
-            found = keep(verified(pairs), "found")
-            unmatched = _unmatched(met, firsts, found, keep)
+            pairs = keep(_pairs(beside, lambda df, like: release.enter_context(spilled(df, like)), shortest, similar, enough), "pairs")
+        found = keep(verified(pairs), "found")
         with contextlib.ExitStack() as release:
-            further = keep(_further_pairs(texts, unmatched, pairs, lambda df, like: release.enter_context(spilled(df, like)), shortest), "further")
+            again = lambda df, like: release.enter_context(spilled(df, like))
+            further = keep(_further_pairs(texts, _shadowed(beside, found, again), pairs, again, shortest), "further")
         return cut(found.union(verified(further)).distinct())
 
 
