@@ -6,10 +6,13 @@ slot takes the released block that is due first (ties: the source first by name)
 shares sum to 1, so earliest-deadline-first meets every window and at any slot no source
 is a whole block away from its share of the slots so far.
 
-Shares are rounded to multiples of 1 / ``PERIOD`` (at least one each), so the schedule
-repeats every PERIOD slots and one period, made on the driver from the shares alone,
-tells the slot of any block by arithmetic. When a source runs out, the others go on in
-a new phase with their shares scaled up; inside each phase the bound holds.
+Shares are the given weights as fractions over their least common denominator, so the
+schedule repeats after that many slots (84 for the production weights), and one period, made
+on the driver from the weights alone, tells the slot of any block by arithmetic. Weights
+whose denominator is over ``LONGEST_PERIOD``, which bounds the plan, are rounded to multiples of 1 /
+``LONGEST_PERIOD``: a source is then a block off its weight after that many slots at the
+earliest. When a source runs out, the others go on in a new phase with their shares
+scaled up; inside each phase the bound holds.
 
 Nothing is dropped or repeated: every document has one place in the mix. Blocks within
 a source follow a hash of the id, so each is a random sample of its source. Ranks are
@@ -19,26 +22,41 @@ holds a third of all rows meets in no single task.
 Defined cases: sources without a target weight, null ones among them, are one stream of
 weight ``rest``, shuffled by the hash, so that each holds its own share of it; listed
 sources that are absent are left out and the shares scaled to sum 1. Repeated rows have
-places of their own. The last block of a stream may hold fewer documents. Empty tables
-give no rows. The plan on the driver is sized by the weight table, whatever the number
-of sources.
+places of their own. Ties of the hash go by id and source. The last block of a stream may hold fewer documents. Empty tables
+give no rows. Texts, empty or very long, are not read by ``mix``. Columns other than doc_id and source, whatever
+their names, are ignored by it and kept by ``in_order``. The plan on the driver is sized by the weight table,
+whatever the number of sources.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 from bisect import bisect_left
+from fractions import Fraction
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Rows, cut, even_parts, take
 
-PERIOD = 1000
+LONGEST_PERIOD = 100_000
 BLOCK_DOCS = 16
 
 
-def rounded_shares(weights: dict[str, float], period: int = PERIOD) -> dict[str, int]:
+def exact_shares(weights: dict[str, float]) -> dict[str, int]:
+    """The weights as whole numbers without a common divisor."""
+    fractions = {}
+    for s, w in weights.items():
+        near = Fraction(w).limit_denominator(1_000_000)  # 1 / 3 as it was meant
+        fractions[s] = near if float(near) == float(w) else Fraction(str(w))
+    over = math.lcm(*[f.denominator for f in fractions.values()])
+    whole = {s: int(f * over) for s, f in fractions.items()}
+    common = math.gcd(*whole.values())
+    return {s: n // common for s, n in whole.items()}
+
+
+def rounded_shares(weights: dict[str, float], period: int = 1000) -> dict[str, int]:
     """Whole numbers that sum to ``period`` (or to the number of sources, if that is more), at least 1 each."""
     period = max(period, len(weights))
     total = sum(weights.values())
@@ -79,13 +97,19 @@ def one_period(shares: dict[str, int]) -> dict[str, list[int]]:
     return slots
 
 
-def phases(blocks: dict[str, int], weights: dict[str, float], period: int = PERIOD) -> list[dict]:
-    """The plan: for each phase its first slot, shares, one period, and each source's first block (from 0)."""
+def phases(blocks: dict[str, int], weights: dict[str, float], period: int | None = None) -> list[dict]:
+    """The plan: for each phase its first slot, shares, one period, and each source's first block (from 0).
+
+    ``period`` rounds the shares to multiples of 1 / period; None takes them as they are, up to LONGEST_PERIOD.
+    """
     left = {s: n for s, n in blocks.items() if n}
     done = dict.fromkeys(left, 0)
     plan, start = [], 0
     while left:
-        shares = rounded_shares({s: weights[s] for s in left}, period)
+        wanted = {s: weights[s] for s in left}
+        shares = exact_shares(wanted) if period is None else rounded_shares(wanted, period)
+        if sum(shares.values()) > max(LONGEST_PERIOD, period or 0):
+            shares = rounded_shares(wanted, LONGEST_PERIOD)
         slots = one_period(shares)
         whole = sum(shares.values())
 
@@ -126,7 +150,7 @@ def ranked(docs: DataFrame, weights: dict[str, float]) -> tuple[DataFrame, dict[
     return dealt.join(bases, ["stream", "part"]).select("doc_id", "source", "stream", (F.col("base") + F.row_number().over(inside) - 1).alias("rank")), counts
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, rest: float = 1.0, block_docs: int = BLOCK_DOCS, period: int = PERIOD) -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, rest: float = 1.0, block_docs: int = BLOCK_DOCS, period: int | None = None) -> DataFrame:
     """doc_id, source, stream, block, phase, release, deadline, slot, position for every row of docs (doc_id, source).
 
     ``slot`` is the block's turn in the whole mix, ``position`` orders documents within it.
@@ -163,7 +187,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, rest: float =
     )
 
 
-def in_order(docs: DataFrame, weights: dict[str, float] | None = None, rest: float = 1.0, block_docs: int = BLOCK_DOCS, period: int = PERIOD) -> DataFrame:
+def in_order(docs: DataFrame, weights: dict[str, float] | None = None, rest: float = 1.0, block_docs: int = BLOCK_DOCS, period: int | None = None) -> DataFrame:
     """The rows of docs, all columns, sorted by their place in the mix.
 
     Rows with equal id and source have equal places here (they are copies of one row's

@@ -52,6 +52,31 @@ def test_period_keeps_every_source_within_a_block(seed):
         assert all(abs(taken[s] - shares[s] * (t + 1) / period) < 1 for s in shares)
 
 
+@pytest.mark.parametrize(
+    "weights",
+    [registry.WEIGHTS | {"": registry.REST}, {"a": 1 / 3, "b": 1 / 7, "c": 2.0}, {"a": 1e-5, "b": 1.0}, {"a": 0.333, "b": 0.1999, "c": 0.4671}, {f"s{i}": i + 1 for i in range(50)}],
+)
+def test_mix_stays_within_a_block_of_the_given_weights(weights):
+    """Over a million slots, against the weights themselves."""
+    slots = 1_000_000
+    whole = sum(weights.values())
+    plan = mixing.phases(dict.fromkeys(weights, slots), weights)[0]
+    assert plan["start"] == 0 and plan["length"] >= slots
+    period, t = plan["whole"], np.arange(1, slots + 1)
+    for s, own in plan["slots"].items():
+        once = np.zeros(period, np.int64)
+        once[own] = 1
+        taken = np.cumsum(np.resize(once, slots))
+        assert np.abs(taken - t * (weights[s] / whole)).max() < 1 + 1e-6
+
+
+def test_weights_without_a_small_denominator_are_rounded_within_the_bound():
+    weights = {"a": 0.123456789, "b": 0.3, "c": 1e-9}
+    plan = mixing.phases(dict.fromkeys(weights, 10**6), weights)[0]
+    assert plan["whole"] == mixing.LONGEST_PERIOD and plan["shares"]["c"] == 1
+    assert abs(plan["shares"]["a"] / plan["whole"] - 0.123456789 / 0.423456790) < 2 / mixing.LONGEST_PERIOD
+
+
 def test_mix_is_a_plain_simulation(spark):
     sizes = {"a": 95, "b": 40, "c": 7, None: 20}
     docs = spark.createDataFrame([(i * 4 + j, s) for j, (s, n) in enumerate(sizes.items()) for i in range(n)], "doc_id long, source string").repartition(3)
