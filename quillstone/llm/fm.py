@@ -1,22 +1,22 @@
-"""Quality classifier: a factorisation machine over hashed words, structure and size.
-
-There is no metadata group: the text's own size stands in for ``n_chars``, which may be null.
+"""Quality classifier: a factorisation machine over hashed words, structure and metadata.
 
 Features of a text: its distinct words, hashed to ``BUCKETS`` slots and weighted by
-1 + log of their count, as a vector of length 1; and a few measures of its structure and
-size, standardised on the training rows. The score is the logistic of bias + linear
+1 + log of their count, as a vector of length 1; a few measures of its structure; and, as
+metadata, the size that ``n_chars`` states and how far it is from the text's own (null, negative or
+absent: the text's own). Measures are standardised on the training rows. The score is the logistic of bias + linear
 terms + all pairwise interactions of rank ``RANK``, which cost linear time:
 sum over f of ((sum v x)^2 - sum v^2 x^2) / 2.
 
-Training uses labelled rows of the folds that may be learned from, at most ``ROWS`` of
-them (those with the least hash of the id; their features, not their texts, go to the
-driver), by mini-batch AdaGrad from a fixed seed. Scoring covers every whole text.
+Training uses labelled documents of the folds that may be learned from, at most ``ROWS`` ids
+(those with the least hash; ties by id), one row an id; their features, not their texts, go to the
+driver, by mini-batch AdaGrad from a fixed seed. Scoring covers every whole text.
 
 Defined cases: null text counts as empty; empty texts are scored by structure alone.
 Rows with a null label are not learned from; of several labels of one document the
 greatest holds. Without labels, or with one kind only, every score is the (smoothed)
-share of label 1. Empty tables give no rows. Repeated rows get equal scores. Extra
-columns are ignored; labels, lang, source and doc_id are never inputs of a score.
+share of label 1. Very long texts are scored whole, row by row. Empty tables give no rows. Repeated
+rows get equal scores, and count once where they are learned from. Extra
+columns, whatever their names, are ignored; labels, lang, source and doc_id are never inputs of a score.
 """
 
 from __future__ import annotations
@@ -51,12 +51,12 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _ODD = ~(_LETTERS | _DIGITS | _SENTENCE | _SPACE)
 STRUCTURE = (
-    "size words word_length distinct top_share repeats letters upper digits sentence odd lines pipes exclaims long_words".split()
+    "size words word_length distinct top_share repeats letters upper digits sentence odd lines pipes exclaims long_words stated_size size_off".split()
 )
 
 
 def structure(text: str, raw: np.ndarray, words: list[str], counts: Counter) -> list[float]:
-    """The measures named in STRUCTURE."""
+    """The measures named in STRUCTURE, but for the last two."""
     n, w = max(1, len(raw)), max(1, len(words))
     by = np.bincount(raw, minlength=256)
     share = lambda kind: float(by[kind].sum()) / n
@@ -80,6 +80,13 @@ def structure(text: str, raw: np.ndarray, words: list[str], counts: Counter) ->
     ]
 
 
+def metadata(text: str, n_chars: float | None) -> list[float]:
+    """The last two measures named in STRUCTURE."""
+    own = float(np.log1p(len(text)))
+    stated = own if n_chars is None or not n_chars >= 0 else float(np.log1p(n_chars))
+    return [stated, abs(stated - own)]
+
+
 class Features:
     """Texts to (slots, weights, structure), with a bounded memory of hashed words."""
 
@@ -87,7 +94,7 @@ class Features:
         self.buckets = buckets
         self.slots: dict[str, int] = {}
 
-    def of(self, text: str | None) -> tuple[np.ndarray, np.ndarray, list[float]]:
+    def of(self, text: str | None, n_chars: float | None = None) -> tuple[np.ndarray, np.ndarray, list[float]]:
         text = text or ""
         raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
         words = text.split()
@@ -102,7 +109,7 @@ class Features:
             slots.append(slot)
         weights = 1 + np.log(np.fromiter(counts.values(), np.float32, len(counts)))
         norm = float(np.sqrt((weights**2).sum())) or 1.0
-        return np.array(slots, np.int64), (weights / norm).astype(np.float32), structure(text, raw, words, counts)
+        return np.array(slots, np.int64), (weights / norm).astype(np.float32), structure(text, raw, words, counts) + metadata(text, n_chars)
 
 
 @dataclass
@@ -178,7 +185,7 @@ def _sampled(buckets: int):
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                found = [features.of(x) for x in part.column(2).to_pylist()]
+                found = [features.of(*x) for x in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)]
                 cols = [part.column(0), part.column(1), pa.array([x[0].astype(np.int32) for x in found], pa.list_(pa.int32()))]
                 cols += [pa.array([x[1] for x in found], pa.list_(pa.float32())), pa.array([x[2] for x in found], pa.list_(pa.float64()))]
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "label", "slots", "weights", "structure"])
@@ -186,6 +193,13 @@ def _sampled(buckets: int):
     return run
 
 
+def _inputs(docs: DataFrame) -> DataFrame:
+    """doc_id, text and n_chars; n_chars is null where there is no such column."""
+    known = "n_chars" in docs.columns
+    rows = take(docs, "doc_id", "text", *["n_chars"] * known)
+    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), (F.col("n_chars").cast("double") if known else F.lit(None).cast("double")).alias("n_chars"))
+
+
 def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = ROWS, buckets: int = BUCKETS) -> Machine:
     """The machine from at most ``rows`` labelled documents."""
     marked = take(labels, "doc_id", label).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label"))
@@ -196,8 +210,9 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(rows)
     )
-    texts = take(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    joined = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text")
+    texts = _inputs(docs).select("doc_id", "text", "n_chars")
+    # one row an id, however often it is repeated: the least of its texts
+    joined = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min(F.struct("text", "n_chars")).alias("t")).select("doc_id", "label", "t.text", "t.n_chars")
     sample = joined.mapInArrow(_sampled(buckets), "doc_id long, label int, slots array<int>, weights array<float>, structure array<double>").toArrow()
     order = np.argsort(sample.column("doc_id").to_numpy(), kind="stable")
     lists = [sample.column(c).combine_chunks() for c in ("slots", "weights", "structure")]
@@ -213,7 +228,7 @@ def _scored(shared):
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
-                scores = machine.score([features.of(x) for x in part.column(2).to_pylist()])
+                scores = machine.score([features.of(*x) for x in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)])
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(scores)], names=["doc_id", "held_out", "score"])
 
     return run
@@ -222,6 +237,6 @@ def _scored(shared):
 def score(docs: DataFrame, machine: Machine, threshold: float = 0.7) -> DataFrame:
     """doc_id, held_out, score, predicted for every row."""
     shared = docs.sparkSession.sparkContext.broadcast(machine)
-    rows = take(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("text"))
+    rows = _inputs(docs).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text", "n_chars")
     scored = rows.mapInArrow(_scored(shared), "doc_id long, held_out boolean, score double")
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

@@ -8,19 +8,25 @@ length, per byte of text), wins; ties go to the language first by name.
 
 The automaton with its restarts is a finite transducer (state, byte class) -> (state,
 phrase ended), stored as one table per language. numpy steps through many pieces of
-text at once. A text is cut into pieces of ``PIECE`` classes, each parsed on its own,
-so that a very long text takes as many steps as a short one; the same cut is made for
-every language, and every byte of the text is parsed.
-
-Learning: at most ``ROWS`` labelled rows a language (those of a length in ``LENGTHS``
-first, then by a hash of the id), of each at most the upper length, in all about
-``SAMPLE`` classes (fewer where there are over 50 languages). The model's size is bounded
-at any size of the corpus. These bounds are
-the sample's; predictions read whole texts.
-
-Defined cases: null text, and text without a letter, gives ``und`` and score 0. Without
-any labelled row every text is ``und``; the filter then only drops texts without a letter. Empty tables give no rows. Repeated rows get
-equal values. Extra columns are ignored; lang, source and doc_id are never inputs of a
+text at once. A text is cut into pieces of ``PIECE`` classes, which are parsed side by side,
+so that a very long text takes as many steps as a short one. Then every piece is parsed on into
+the next one until both parses are in the same state, from where they are one, and the phrases
+before that place are counted anew: the result is that of the parse of the whole text.
+
+Learning: the ``LANGUAGES`` languages with the most labelled rows (ties by name), at most ``ROWS`` ids of
+each (those of a length in ``LENGTHS`` first, then by a hash of the id), one row an id, of each at
+most the upper length, in all about ``SAMPLE`` classes a language. So the sample and the model are bounded
+at any size of the corpus, whatever ids or languages repeat. These bounds are the
+sample's; predictions read whole texts.
+
+The filter drops texts that are in none of the languages: without a letter, or, from ``TELLING`` bytes on,
+with no fewer bits a byte in the best language than the ``PLAIN`` 8 that the text has without any
+parsing. Where lang is null, it becomes the predicted one.
+
+Defined cases: null or empty text, and text without a letter, gives ``und`` and score 0. Without
+any labelled row every text is ``und``; the filter then only drops texts without a letter. Ties of languages go to
+the first by name. Empty tables give no rows. Repeated rows get equal values. Extra columns,
+whatever their names, are ignored, and kept by the filter; lang, source and doc_id are never inputs of a
 prediction.
 """
 
@@ -40,8 +46,10 @@ UNKNOWN = "und"
 PIECE = 512
 ROWS = 64
 SAMPLE = 24_000
-ALL_SAMPLES = 1_200_000  #: of all languages together
+LANGUAGES = 50
 LENGTHS = (200, 6000)
+PLAIN = 8.0
+TELLING = 20
 
 
 def _folding() -> bytes:
@@ -117,8 +125,12 @@ class Model:
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         """(language, score) of each text; the score is 1 - (the winner's entropy / the runner-up's)."""
+        return [(language, score) for language, score, _ in self.measured(texts)]
+
+    def measured(self, texts: list[str | None]) -> list[tuple[str, float, bool]]:
+        """(language, score, whether the text is in that language at all) of each text."""
         known = [i for i, x in enumerate(texts) if self.languages and has_letter(x)]
-        out = [(UNKNOWN, 0.0)] * len(texts)
+        out = [(UNKNOWN, 0.0, False)] * len(texts)
         coded = [folded(texts[i]).translate(self.classes) for i in known]
         if not coded:
             return out
@@ -131,8 +143,9 @@ class Model:
         ranked = np.sort(needs, axis=0)
         second = ranked[1] if len(ranked) > 1 else ranked[0] * 2
         score = np.where(second > 0, 1 - ranked[0] / np.where(second > 0, second, 1), 0.0)
-        for i, b, s in zip(known, best.tolist(), np.clip(score, 0, 1).tolist(), strict=True):
-            out[i] = (self.languages[b], s)
+        told = (ranked[0] < PLAIN) | (np.array([len(x) for x in coded]) < TELLING)
+        for i, b, s, t in zip(known, best.tolist(), np.clip(score, 0, 1).tolist(), told.tolist(), strict=True):
+            out[i] = (self.languages[b], s, t)
         return out
 
 
@@ -174,6 +187,7 @@ def _parse(coded: list[bytes], table: np.ndarray, width: int, piece: int = PIECE
     active = np.searchsorted(-sizes, -np.arange(piece), side="left")  # pieces longer than each step
     state = np.zeros(len(owner), np.int32)
     ended = np.zeros(len(owner), np.int32)
+    states, counts_at = (np.zeros((piece, len(owner)), np.int32) for _ in range(2))
     for step in range(piece):
         n = int(active[step])
         if not n:
@@ -181,25 +195,69 @@ def _parse(coded: list[bytes], table: np.ndarray, width: int, piece: int = PIECE
         got = table.take(state[:n] + columns[step, :n])
         ended[:n] += got & 3
         np.right_shift(got, 2, out=state[:n])
-    ended += state != 0  # the phrase that the piece's end closes
-    np.add.at(phrases, owner[order], ended)
+        states[step, :n], counts_at[step, :n] = state[:n], ended[:n]
+    final = np.zeros(len(owner), bool)
+    final[ends] = True
+    final = final[order]
+    closing = state != 0  # the phrase that the text's end closes
+    np.add.at(phrases, owner[order], ended + (closing & final))
+    # every piece but a text's last is parsed on into the next one, until both parses are in one state
+    at = np.empty(len(order), np.int64)
+    at[order] = np.arange(len(order))
+    seams = np.flatnonzero(~np.isin(np.arange(len(owner)), ends))
+    here, on = state[at[seams]], at[seams + 1]
+    more = np.zeros(len(seams), np.int64)
+    whole = set()
+    for step in range(piece):
+        over = sizes[on] <= step  # the next piece ended and the parses never met
+        for i in np.flatnonzero(over).tolist():
+            if final[on[i]]:
+                last = int(sizes[on[i]]) - 1
+                phrases[owner[seams[i]]] += more[i] + (here[i] != 0) - counts_at[last, on[i]] - closing[on[i]]
+            else:
+                whole.add(int(owner[seams[i]]))
+        seams, here, on, more = seams[~over], here[~over], on[~over], more[~over]
+        if not len(seams):
+            break
+        got = table.take(here + columns[step, on])
+        more += got & 3
+        here = got >> 2
+        met = here == states[step, on]
+        np.add.at(phrases, owner[seams[met]], more[met] - counts_at[step, on[met]])
+        seams, here, on, more = seams[~met], here[~met], on[~met], more[~met]
+    for i in range(len(seams)):
+        if final[on[i]]:
+            phrases[owner[seams[i]]] += more[i] + (here[i] != 0) - counts_at[piece - 1, on[i]] - closing[on[i]]
+        else:
+            whole.add(int(owner[seams[i]]))
+    for text in whole:  # a piece's parse that never met the one before it: rare, so the text is parsed in one go
+        now, n = 0, 0
+        for c in coded[text]:
+            got = int(table[now + c])
+            n, now = n + (got & 3), got >> 2
+        phrases[text] = n + (now != 0)
     return phrases, lengths
 
 
-def learn(docs: DataFrame, rows: int = ROWS, sample: int = SAMPLE, lengths: tuple[int, int] = LENGTHS) -> Model:
+def learn(docs: DataFrame, rows: int = ROWS, sample: int = SAMPLE, lengths: tuple[int, int] = LENGTHS, languages: int = LANGUAGES) -> Model:
     """The model from labelled rows that may be learned from; a bounded sample goes to the driver."""
     labelled = take(docs, "doc_id", "text", "lang").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    usable = labelled.where(learnable(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    rank = Window.partitionBy("lang").orderBy("odd", "h", "doc_id")
-    # ids first, so that the ranking moves no text; the window keeps `rows` a language before its shuffle
+    usable = labelled.where(learnable(F.col("doc_id")) & F.col("lang").isNotNull())
+    ids = F.approx_count_distinct("doc_id").alias("ids")
+    most = {r["lang"]: r["ids"] for r in usable.groupBy("lang").agg(ids).orderBy(F.col("ids").desc(), "lang").limit(languages).collect()}
+    # of each language the ids with the least hashes, some 50 times as many as are wanted, so that neither the ranking nor one id's many rows move much
+    span = {lang: min(1 << 63, -(1 << 63) + (1 << 64) * 50 * rows // max(1, n)) for lang, n in most.items()}
+    below = F.coalesce(*[F.when(F.col("lang") == lang, F.lit(min(h, (1 << 63) - 1))) for lang, h in span.items()], F.lit(-(1 << 63)))
+    usable = usable.withColumn("h", F.xxhash64("doc_id")).where(F.col("text").isNotNull() & F.col("lang").isin(list(most)) & (F.col("h") <= below))
     odd = ~F.length("text").between(*lengths)
-    chosen = usable.select("doc_id", "lang", odd.alias("odd"), F.xxhash64("doc_id").alias("h")).withColumn("r", F.row_number().over(rank)).where(F.col("r") <= rows)
-    picked = usable.withColumn("text", F.substring("text", 1, lengths[1])).join(F.broadcast(chosen.select("doc_id", "lang", "r")), ["doc_id", "lang"])
+    rank = Window.partitionBy("lang").orderBy("odd", "h", "doc_id")
+    chosen = usable.groupBy("lang", "h", "doc_id").agg(F.min(odd).alias("odd")).withColumn("r", F.row_number().over(rank)).where(F.col("r") <= rows)
+    # one row an id: the least of its texts, those of a wanted length first
+    start = F.struct(odd, F.substring("text", 1, lengths[1]).alias("text"))
+    picked = usable.join(F.broadcast(chosen.select("doc_id", "lang", "r")), ["doc_id", "lang"]).groupBy("lang", "r").agg(F.min(start).alias("t")).select("lang", "r", "t.text")
     samples: dict[str, list[bytes]] = {}
     total: dict[str, int] = {}
-    found = sorted(picked.collect(), key=lambda x: (x["lang"], x["r"], x["text"]))
-    sample = min(sample, ALL_SAMPLES // max(1, len({x["lang"] for x in found})))
-    for row in found:
+    for row in sorted(picked.collect(), key=lambda x: (x["lang"], x["r"])):
         data = folded(row["text"])
         if total.get(row["lang"], 0) < sample:
             samples.setdefault(row["lang"], []).append(data)
@@ -228,21 +286,27 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     return rows.mapInArrow(_predict(shared), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
-def _keep(shared, text_at: int):
+def _keep(shared, text_at: int, lang_at: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
                 texts = part.column(text_at).to_pylist()
-                known = [x != UNKNOWN for x, _ in model.predict(texts)] if model.languages else [has_letter(x) for x in texts]
-                yield part.filter(pa.array(known, pa.bool_()))
+                found = model.measured(texts)
+                arrays = list(part.columns)
+                if lang_at is not None and model.languages and part.column(lang_at).null_count:
+                    told = [old if old is not None else new for old, (new, _, _) in zip(part.column(lang_at).to_pylist(), found, strict=True)]
+                    arrays[lang_at] = pa.array(told, part.column(lang_at).type)
+                known = [t for _, _, t in found] if model.languages else [has_letter(x) for x in texts]
+                yield pa.RecordBatch.from_arrays(arrays, schema=part.schema).filter(pa.array(known, pa.bool_()))
 
     return run
 
 
 def identified(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of docs, all columns, whose language is known; what has no letter goes."""
+    """The rows of docs, all columns, that are in a known language; where lang is null it becomes the predicted one."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     whole = Rows(docs)
-    return whole.back(whole.rows.mapInArrow(_keep(shared, whole.at("text")), whole.rows.schema))
+    named = whole.at("lang") if whole.has("lang") and dict(docs.dtypes)["lang"] == "string" else None
+    return whole.back(whole.rows.mapInArrow(_keep(shared, whole.at("text"), named), whole.rows.schema))

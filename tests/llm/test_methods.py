@@ -403,23 +403,53 @@ def test_digests_and_tensors(spark, docs, texts):
 # --- language ---
 
 
-def test_parse_is_the_plain_one():
-    sample = b"the cat sat on the mat and the dog sat on the log"
+def plain_phrases(data, sample):
+    phrases = i = 0
+    while i < len(data):
+        k = 1
+        while i + k < len(data) and data[i : i + k + 1] in sample:
+            k += 1
+        i += k
+        phrases += 1
+    return phrases
+
+
+@pytest.mark.parametrize("piece", [3, 16, 512])
+def test_parse_is_the_plain_one(piece):
+    """Of whole texts, whatever the pieces that are stepped side by side."""
+    sample = b"the cat sat on the mat and the dog sat on the log " + b"abcabd" * 20
     model = langid.Model.learn({"x": [sample], "y": [b"der hund und die katze"]})
     rng = random.Random(2)
-    cases = ["".join(rng.choice("thecatsonmdlgq ") for _ in range(rng.randint(1, 1500))).encode() for _ in range(20)] + [b""]
-    got, _ = langid._parse([c.translate(model.classes) for c in cases], model.tables[0], model.width)
-    for data, n in zip(cases, got):
-        phrases = 0
-        for at in range(0, len(data), langid.PIECE):
-            piece, i = data[at : at + langid.PIECE], 0
-            while i < len(piece):
-                k = 1
-                while i + k < len(piece) and piece[i : i + k + 1] in sample:
-                    k += 1
-                i += k
-                phrases += 1
-        assert phrases == n, data
+    cases = ["".join(rng.choice("thecatsonmdlgq ") for _ in range(rng.randint(1, 1500))).encode() for _ in range(20)] + [b"", b"abcabd" * 300, b"q" * 700, sample * 20]
+    got, _ = langid._parse([c.translate(model.classes) for c in cases], model.tables[0], model.width, piece)
+    assert got.tolist() == [plain_phrases(c, sample) for c in cases]
+
+
+def test_learning_is_bounded_whatever_repeats(spark):
+    """One id on ten thousand rows, and ten thousand languages: as much is learned as of few."""
+    docs = spark.range(10_000).selectExpr("0L doc_id", "concat('the quick brown fox ', id) text", "'en' lang").union(spark.range(1, 300).selectExpr("id", "concat('der hund und die katze ', id) text", "'de' lang"))
+    many = spark.range(1000, 11_000).selectExpr("id", "'x' text", "concat('l', id) lang")
+    model = langid.learn(docs.union(many), languages=5)
+    assert len(model.languages) == 5 and "de" in model.languages
+    one = langid.learn(docs)
+    assert one.languages == ["de", "en"] and max(map(len, one.tables)) < 100 * langid.ROWS * 200
+    labels = spark.createDataFrame([(0, 1, 0), (1, 0, 0), (3, 1, 0)], "doc_id long, quality int, toxic int")
+    seen = []
+    train = fm.train
+    try:
+        fm.train = lambda found, marks, buckets: seen.append(len(found)) or train(found, marks, buckets)
+        fm.learn(docs, labels)
+    finally:
+        fm.train = train
+    assert seen == [len([i for i in (0, 1, 3) if not held_out(i)])]
+
+
+def test_documents_in_no_known_language_go_and_null_ones_are_named(spark):
+    model = langid.learn(common.documents(spark, MORE))
+    german = "die ingen und der hund ist nicht in das haus gegangen und die katze schlief"
+    rows = [(1, german, None), (2, german, "xx"), (3, "Ο ήλιος ανατέλλει κάθε πρωί πάνω από τη θάλασσα και φωτίζει τα νησιά", "el"), (4, "今日は天気がとても良いので、公園まで散歩に行きました。", None), (5, "123 --- 456", "en")]
+    got = {r["doc_id"]: r["lang"] for r in langid.identified(spark.createDataFrame(rows, "doc_id long, text string, lang string"), model).collect()}
+    assert got == {1: "de", 2: "xx"}
 
 
 def test_language_on_held_out_rows(spark):
@@ -729,6 +759,26 @@ def test_pipeline_is_its_stages(spark):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language ID", "SimHash near-dedup", "substring dedup", "mixing sources", "packing"]
 
 
+def test_language_and_mixing_change_the_result(spark, monkeypatch):
+    import corpus_pipeline
+
+    def outcome():
+        return {(r["doc_id"], r["start"]): r["sequence_id"] for r in registry.pipeline(spark, SMALL).select("doc_id", "start", "sequence_id").collect()}
+
+    real = common.documents
+    greek = [(10**6 + i, "Ο ήλιος ανατέλλει κάθε πρωί πάνω από τη θάλασσα και φωτίζει τα νησιά " * 2 + f"λέξη{i} " * 9, None, "src0", 0) for i in range(5)]
+    with_greek = lambda spark, sf_dir, name="documents": real(spark, sf_dir, name).union(spark.createDataFrame(greek, "doc_id long, text string, lang string, source string, n_chars long"))
+    monkeypatch.setattr(corpus_pipeline, "documents", with_greek)
+    whole = outcome()
+    assert not any(d >= 10**6 for d, _ in whole)
+    stages = dict(corpus_pipeline.STAGES)
+    for off in ("language ID", "mixing sources"):
+        monkeypatch.setattr(corpus_pipeline, "STAGES", [(n, (lambda spark, docs, sf_dir: docs) if n == off else f) for n, f in stages.items()])
+        other = outcome()
+        assert other != whole
+        assert any(d >= 10**6 for d, _ in other) == (off == "language ID")
+
+
 def test_pipeline_numbers_sequences_along_the_mix(spark, tmp_path):
     import corpus_pipeline
 

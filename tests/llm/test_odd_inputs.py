@@ -6,7 +6,8 @@ import corpus_pipeline
 from quillstone.llm import fm, jpeg, langid, licenses, mixing, packing, passages, simhash, spotsigs, urls
 
 MODEL = langid.Model.learn({"en": [langid.folded("the quick brown fox and the dog of the house " * 20)], "de": [langid.folded("der hund und die katze auf der strasse mit dem mann " * 20)]})
-MACHINE = fm.train([], fm.np.zeros(0, fm.np.float32))
+_EXAMPLES = ["the quick brown fox jumps over the dog", "click here!!! buy now | cheap", "a house and a small cat", "!!! win | win | win 777"] * 8
+MACHINE = fm.train([fm.Features(64).of(x) for x in _EXAMPLES], fm.np.array([1, 0, 1, 0] * 8, fm.np.float32), 64)
 
 RUNS = {
     "mix": lambda d: mixing.mix(d),
@@ -62,6 +63,20 @@ def test_defined_cases(odd_docs):
     assert len(edited) == n and all(0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1 for r in edited)
 
 
+def test_quality_of_odd_rows_differs(odd_docs):
+    got = fm.score(odd_docs, MACHINE).collect()
+    assert len(got) == odd_docs.count() and len({r["score"] for r in got}) > 5 and all(0 <= r["score"] <= 1 for r in got)
+    assert len({r["score"] for r in got if r["doc_id"] == 1}) == 1
+
+
+def test_learning_over_clashing_columns_and_repeated_rows(odd_docs, clashing, spark):
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in (1, 1, 3, 5, 6, 8, 9)], "doc_id long, quality int, toxic int")
+    assert rows(fm.score(odd_docs, fm.learn(odd_docs, labels))) == rows(fm.score(odd_docs, fm.learn(clashing, labels)))
+    assert rows(langid.identify(odd_docs, langid.learn(odd_docs))) == rows(langid.identify(odd_docs, langid.learn(clashing)))
+    pairs = [rows(spotsigs.similar_pairs(d)[0]) if isinstance(spotsigs.similar_pairs(d), tuple) else rows(spotsigs.similar_pairs(d)) for d in (odd_docs, clashing)]
+    assert pairs[0] == pairs[1]
+
+
 def test_learning_without_labels(spark, no_docs, odd_docs):
     labels = spark.createDataFrame([(1, None, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
     scores = fm.score(odd_docs, fm.learn(odd_docs, labels)).collect()
