@@ -13,8 +13,8 @@ compares sets of fitting length only.
 
 Defined cases: null text counts as empty. The document after the last is the first; a
 single document follows itself. Documents are ordered by id, null ids last, ties by a
-hash of the text. Repeated rows are documents of their own. Empty tables give no rows.
-Extra columns are ignored.
+hash of the text. Repeated rows are documents of their own. Very long texts are fingerprinted whole.
+Empty tables give no rows. Extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from .common import cut, take
 
 CHAIN = 3
+ROWS_A_PART = 2000
+RANGES = 256
 #: Frequent function words of English, German, French and Spanish.
 ANCHORS = (
     "a an and are as at be been but by for from had has have he her his in is it its not of on or that the their this to was were which will with you "
@@ -49,7 +51,7 @@ def _segments(words: Column, chain: int) -> Column:
 
 
 def with_signatures(df: DataFrame, text: str, into: str, chain: int = CHAIN) -> DataFrame:
-    """df with column ``into``: the sorted distinct signatures (int) of column ``text``."""
+    """df with column ``into``: the sorted distinct signatures (64 bits) of column ``text``."""
     words, parts = f"_{into}_words", f"_{into}_parts"
     df = df.withColumn(words, normal(F.col(text))).withColumn(parts, _segments(F.col(words), chain))
     part = F.col(parts)
@@ -57,10 +59,10 @@ def with_signatures(df: DataFrame, text: str, into: str, chain: int = CHAIN) ->
     anchored = F.filter(F.arrays_zip(*[x.alias(f"w{i}") for i, x in enumerate(shifted)]), lambda z: (F.instr(z["w0"], " ") < F.length(z["w0"])) & z[f"w{chain - 1}"].isNotNull())
     hashed = F.transform(
         anchored,
-        lambda z: F.hash(F.substring_index(z["w0"], " ", -3), *[F.substring_index(z[f"w{i}"], " ", -2) for i in range(1, chain)]),
+        lambda z: F.xxhash64(F.substring_index(z["w0"], " ", -3), *[F.substring_index(z[f"w{i}"], " ", -2) for i in range(1, chain)]),
     )
     df = df.withColumn(into, F.sort_array(F.array_distinct(hashed)))
-    return df.withColumn(into, F.when(F.size(into) > 0, F.col(into)).otherwise(F.array(F.hash(words)))).drop(words, parts)
+    return df.withColumn(into, F.when(F.size(into) > 0, F.col(into)).otherwise(F.array(F.xxhash64(words)))).drop(words, parts)
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -73,28 +75,64 @@ def as_string(signatures: Column) -> Column:
     return F.array_join(signatures.cast("array<string>"), " ")
 
 
-def with_next(docs: DataFrame, rows_a_part: int = 2000, most_parts: int = 4096) -> DataFrame:
+def _place(value: Column, bounds: list[int], first: int = 0) -> Column:
+    """How many of the sorted bounds a value has reached, found by halving."""
+    if not bounds:
+        return F.lit(first)
+    half = len(bounds) // 2
+    return F.when(value < F.lit(bounds[half]), _place(value, bounds[:half], first)).otherwise(_place(value, bounds[half + 1 :], first + half + 1))
+
+
+def parts_of(docs: DataFrame, rows_a_part: int = ROWS_A_PART, ranges: int = RANGES) -> Column:
+    """A number for each row of docs (doc_id, tie) that grows with the order, some ``rows_a_part`` rows to a number.
+
+    Quantiles give up to ``ranges`` ranges of equally many rows, each cut into equal cells of ids, as
+    many as the table needs. An id that fills whole ranges by itself, and rows without an id, are cut into cells
+    of the tie, a hash.
+    """
+    rows, nulls, least, most = docs.select(F.count("*"), F.count_if(F.col("doc_id").isNull()), F.min("doc_id"), F.max("doc_id")).first()
+    cells = max(1, -(-(rows - nulls) // rows_a_part))
+    ranges = min(ranges, cells)
+    edges = [int(x) for x in docs.where("doc_id is not null").approxQuantile("doc_id", [i / ranges for i in range(1, ranges)], 0.25 / ranges)] if ranges > 1 else []
+    each = -(-cells // ranges)
+    # (first id, cells, whether of the tie) of the ranges in order
+    table = [(least or 0, each, False)]
+    for edge in sorted(set(edges)):
+        if (times := edges.count(edge)) > 1:
+            table.append((edge, times * each, True))
+            edge += 1
+        table.append((edge, each, False))
+    table = [x for x, after in zip(table, [*table[1:], None], strict=True) if after is None or after[0] > x[0]]
+    ends = [x[0] for x in table[1:]] + [(most or 0) + 1]
+    before = [sum(x[1] for x in table[:i]) for i in range(len(table) + 1)]
+    at = _place(F.col("doc_id"), [x[0] for x in table[1:]]) + 1
+    of = lambda values, kind: F.element_at(F.array(*[F.lit(x) for x in values]).cast(f"array<{kind}>"), at)
+    tie = F.col("tie") / 2.0**64 + 0.5  # 0 to 1
+    share = F.when(of([x[2] for x in table], "boolean"), tie).otherwise((F.col("doc_id").cast("double") - of([x[0] for x in table], "double")) / of([max(1, e - x[0]) for x, e in zip(table, ends, strict=True)], "double"))
+    cell = lambda part, n: F.least(F.greatest(F.floor(part * n), F.lit(0)), n - 1).cast("long")
+    without = F.lit(before[-1]) + cell(tie, F.lit(max(1, -(-nulls // rows_a_part))))
+    return F.when(F.col("doc_id").isNull(), without).otherwise(of(before[:-1], "long") + cell(share, of([x[1] for x in table], "long")))
+
+
+def with_next(docs: DataFrame, rows_a_part: int = ROWS_A_PART, ranges: int = RANGES) -> DataFrame:
     """docs (doc_id, text) with their signatures, and next_text and next_signatures of the following document.
 
-    Rows are dealt by quantiles of the id. The first row of each part is also put at
+    Rows are dealt to parts of the order. The first row of each part is also put at
     the end of the part before, so every row finds its follower in its own part. Texts
     are fingerprinted once, before they are moved.
     """
-    rows = max(1, docs.select(F.count("*")).first()[0])
-    parts = min(most_parts, -(-rows // rows_a_part))
-    edges = docs.where("doc_id is not null").approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.25 / parts) if parts > 1 else []
-    bounds = F.array(*[F.lit(int(x)) for x in sorted(set(edges))]).cast("array<long>")
-    part = F.when(F.col("doc_id").isNull(), F.lit(len(edges) + 1)).otherwise(F.size(F.filter(bounds, lambda b: b <= F.col("doc_id"))))
-    dealt = docs.withColumn("part", part).withColumn("tie", F.xxhash64("text")).withColumn("after", F.lit(0))
+    dealt = docs.withColumn("tie", F.xxhash64("text"))
+    dealt = dealt.withColumn("part", parts_of(dealt, rows_a_part, ranges)).withColumn("after", F.lit(0))
     order = ["after", F.col("doc_id").asc_nulls_last(), "tie"]
-    firsts = dealt.groupBy("part").agg(F.min(F.struct("doc_id", "tie")).alias("head")).select("part", "head.doc_id", "head.tie")
+    firsts = dealt.groupBy("part").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie")).alias("head")).select("part", "head.doc_id", "head.tie")
     ring = Window.orderBy("part")  # one row a part
     before = F.coalesce(F.lag("part").over(ring), F.max("part").over(Window.partitionBy(F.lit(1))))
-    firsts = cut(firsts.select("doc_id", "tie", before.alias("part")))
+    firsts = cut(firsts.select("part", "doc_id", "tie", before.alias("to")))
+    # not a stated broadcast: the heads grow with the table, so their size decides
     heads = (
-        dealt.drop("part")
-        .join(F.broadcast(firsts.select(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie"), "part")), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("tie") == F.col("_tie")))
-        .drop("_id", "_tie")
+        dealt.join(firsts.select(F.col("part").alias("_part"), F.col("doc_id").alias("_id"), F.col("tie").alias("_tie"), "to"), (F.col("part") == F.col("_part")) & F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("tie") == F.col("_tie")))
+        .drop("_part", "_id", "_tie", "part")
+        .withColumnRenamed("to", "part")
         .withColumn("after", F.lit(1))
     )
     follow = Window.partitionBy("part").orderBy(*order)

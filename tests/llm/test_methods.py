@@ -211,6 +211,27 @@ def test_parts_follow_each_other(docs, texts):
     assert got == {d: texts[ids[(i + 1) % len(ids)]] for i, d in enumerate(ids)}
 
 
+@pytest.mark.parametrize("ranges", [1, 4, 256])
+def test_parts_are_even_and_in_order_whatever_the_ids(spark, ranges):
+    """Dense ids, far ones, one id on a third of all rows, rows without an id."""
+    rows = [(i, f"t{i}") for i in range(400)] + [(10**9 + i * 10**7, f"u{i}") for i in range(200)] + [(300, f"v{i}") for i in range(400)] + [(None, f"n{i}") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    tied = docs.selectExpr("doc_id", "text", "xxhash64(text) tie")
+    got = tied.withColumn("part", spotsigs.parts_of(tied, 20, ranges)).collect()
+    order = sorted(got, key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["tie"]))
+    assert [r["part"] for r in order] == sorted(r["part"] for r in got)
+    if ranges == 256:
+        assert max(Counter(r["part"] for r in got).values()) < 200
+    following = {r["text"]: r["next_text"] for r in spotsigs.with_next(docs, 20, ranges).collect()}
+    texts = [r["text"] for r in order]
+    assert following == dict(zip(texts, [*texts[1:], texts[0]], strict=True))
+
+
+def test_texts_without_an_anchor_have_prints_of_their_own(spark):
+    docs = spark.range(200_000).selectExpr("id doc_id", "concat('zzz', id) text")
+    assert spotsigs.with_signatures(docs, "text", "s").select("s").distinct().count() == 200_000
+
+
 def test_similar_pairs_lose_none(docs, texts):
     members, pairs = spotsigs.similar_pairs(docs, 0.8)
     of = {r["doc_id"]: r["class"] for r in members.collect()}
