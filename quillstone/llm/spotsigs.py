@@ -118,8 +118,8 @@ def with_next(docs: DataFrame, rows_a_part: int = ROWS_A_PART, ranges: int = RAN
     """docs (doc_id, text) with their signatures, and next_text and next_signatures of the following document.
 
     Rows are dealt to parts of the order. The first row of each part is also put at
-    the end of the part before, so every row finds its follower in its own part. Texts
-    are fingerprinted once, before they are moved.
+    the end of the part before, so every row finds its follower in its own part. Only
+    texts are moved, once; they are fingerprinted where they come to lie.
     """
     dealt = docs.withColumn("tie", F.xxhash64("text"))
     dealt = dealt.withColumn("part", parts_of(dealt, rows_a_part, ranges)).withColumn("after", F.lit(0))
@@ -136,9 +136,9 @@ def with_next(docs: DataFrame, rows_a_part: int = ROWS_A_PART, ranges: int = RAN
         .withColumn("after", F.lit(1))
     )
     follow = Window.partitionBy("part").orderBy(*order)
+    moved = dealt.unionByName(heads).withColumn("next_text", F.lead("text").over(follow))
     return (
-        with_signatures(dealt.unionByName(heads), "text", "signatures")
-        .withColumn("next_text", F.lead("text").over(follow))
+        with_signatures(moved, "text", "signatures")
         .withColumn("next_signatures", F.lead("signatures").over(follow))
         .where("after = 0")
         .drop("part", "tie", "after")

@@ -95,7 +95,7 @@ def residual(damping: float = 0.85, iterations: int = STEPS) -> float:
     return damping**iterations
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, iterations: int = STEPS, cut_every: int = 8) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, iterations: int = STEPS, cut_every: int = 1) -> DataFrame:
     """Personalised PageRank by (kind, node): seeds (kind, node, mass), edges (kind, src, dst, weight).
 
     Masses are scaled to sum 1 by kind. Both kinds run in one job per step; sums are
