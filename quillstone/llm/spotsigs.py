@@ -27,6 +27,7 @@ from .common import cut, take
 CHAIN = 3
 ROWS_A_PART = 2000
 RANGES = 256
+MOST_HEADS = 200_000
 #: Frequent function words of English, German, French and Spanish.
 ANCHORS = (
     "a an and are as at be been but by for from had has have he her his in is it its not of on or that the their this to was were which will with you "
@@ -128,9 +129,11 @@ def with_next(docs: DataFrame, rows_a_part: int = ROWS_A_PART, ranges: int = RAN
     ring = Window.orderBy("part")  # one row a part
     before = F.coalesce(F.lag("part").over(ring), F.max("part").over(Window.partitionBy(F.lit(1))))
     firsts = cut(firsts.select("part", "doc_id", "tie", before.alias("to")))
-    # not a stated broadcast: the heads grow with the table, so their size decides
+    heads = firsts.select(F.col("part").alias("_part"), F.col("doc_id").alias("_id"), F.col("tie").alias("_tie"), "to")
+    if firsts.count() <= MOST_HEADS:  # some 8 MB; beyond, the planner joins by sort, with a bloom filter on the larger side
+        heads = F.broadcast(heads)
     heads = (
-        dealt.join(firsts.select(F.col("part").alias("_part"), F.col("doc_id").alias("_id"), F.col("tie").alias("_tie"), "to"), (F.col("part") == F.col("_part")) & F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("tie") == F.col("_tie")))
+        dealt.join(heads, (F.col("part") == F.col("_part")) & F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("tie") == F.col("_tie")))
         .drop("_part", "_id", "_tie", "part")
         .withColumnRenamed("to", "part")
         .withColumn("after", F.lit(1))

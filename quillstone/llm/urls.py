@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from .common import LOWER, UPPER, cut, lower_ascii, take
 
 STEPS = 86
+EDGES_A_PART = 200_000
 LINK = r"""(?i)href\s*=\s*["']?\s*(?:https?:)?//([^/?#"'\s<>]+)"""
 
 
@@ -95,23 +96,26 @@ def residual(damping: float = 0.85, iterations: int = STEPS) -> float:
     return damping**iterations
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, iterations: int = STEPS, cut_every: int = 1) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, iterations: int = STEPS, cut_every: int = 4) -> DataFrame:
     """Personalised PageRank by (kind, node): seeds (kind, node, mass), edges (kind, src, dst, weight).
 
     Masses are scaled to sum 1 by kind. Both kinds run in one job per step; sums are
-    combined before the shuffle, so a hub costs one row per task.
+    combined before the shuffle, so a hub costs one row per task. Tables are in as many parts as
+    their edges need, ``EDGES_A_PART`` to a part, whatever the number of shuffle partitions: a host graph is
+    small beside the pages, and every step would pay for empty parts.
     """
     total = seeds.groupBy("kind").agg(F.sum("mass").alias("total"))
-    start = cut(seeds.join(total, "kind").select("kind", "node", (F.col("mass") / F.col("total")).alias("mass")))
     out = edges.groupBy("kind", "src").agg(F.sum("weight").alias("out_weight"))
+    parts = 1 + edges.count() // EDGES_A_PART
+    start = cut(seeds.join(total, "kind").select("kind", "node", (F.col("mass") / F.col("total")).alias("mass")).coalesce(parts))
     steps = cut(
-        edges.join(out, ["kind", "src"]).select("kind", F.col("src").alias("node"), "dst", (F.col("weight") / F.col("out_weight")).alias("share"))
+        edges.join(out, ["kind", "src"]).select("kind", F.col("src").alias("node"), "dst", (F.col("weight") / F.col("out_weight")).alias("share")).coalesce(parts)
     )
     base = start.select("kind", "node", (F.col("mass") * (1 - damping)).alias("mass"))
     rank = start
     for step in range(iterations):
         moved = rank.join(steps, ["kind", "node"]).select("kind", F.col("dst").alias("node"), (F.col("mass") * F.col("share") * damping).alias("mass"))
-        rank = base.union(moved).groupBy("kind", "node").agg(F.sum("mass").alias("mass"))
+        rank = base.union(moved).coalesce(parts).groupBy("kind", "node").agg(F.sum("mass").alias("mass")).coalesce(parts)
         if (step + 1) % cut_every == 0:
             rank = cut(rank)
     return rank
