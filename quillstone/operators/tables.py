@@ -6,9 +6,11 @@ tables are handled together in one Arrow batch row; documents are independent.
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -18,18 +20,35 @@ _TABLE = re.compile(r"<table[^>]*>.*?</table>", re.S | re.I)
 _ROW = re.compile(r"<tr[^>]*>(.*?)</tr>", re.S | re.I)
 _CELL = re.compile(r"<(th|td)([^>]*)>(.*?)</\1>", re.S | re.I)
 _BREAK = re.compile(r"<!--\s*PageBreak\s*-->", re.I)
-_LABEL = re.compile(r"^\s*\(?\s*(?:[ivxlcdm]{1,8}|[a-z]|\d{1,3})\s*\)?\s*(?:\(\s*[a-z]\s*\))?\s*[.)]?\s*$", re.I)
 _PIPE = re.compile(r"(?:^[ \t]*\|.*\|[ \t]*$\n?){2,}", re.M)
 
-# --- fixed values: plan names that stand for the same column ---
-SAME_COLUMN = [
-    ["limits of covered expenses", "covered", "expenses", "expense", "limits", "covered expenses"],
-    ["sum insured", "insured amount", "sum assured"],
-    *[[name] for name in "silver gold diamond platinum bronze elite supreme premium ultimate classic prime deluxe".split()],
-    ["standard plan"],
-    ["basic plan"],
-]
+# --- fixed values: the row label pattern, names that stand for one column, words that mark a column's role ---
+ROW_LABEL = r"^\s*\(?\s*(?:([ivxlcdm]{1,8})|([A-Za-z])|(\d{1,3}))\s*\)?\s*(?:\(\s*[a-zA-Z]\s*\))?\s*[\.)]?\s*$"
+SAME_COLUMN = {
+    "limits of covered expenses": {"covered", "expenses", "expense", "limits", "covered expenses"},
+    "sum insured": {"sum insured", "insured amount", "sum assured"},
+    "silver": {"silver", "silver plan", "silver variant", "silver option"},
+    "gold": {"gold", "gold plan", "gold plus", "gold variant", "gold option"},
+    "diamond": {"diamond", "diamond plan"},
+    "platinum": {"platinum", "platinum plan", "platinum plus", "platinum variant"},
+    "bronze": {"bronze", "bronze plan"},
+    "elite": {"elite", "elite plan"},
+    "supreme": {"supreme", "supreme plan"},
+    "premium": {"premium", "premium plan"},
+    "ultimate": {"ultimate", "ultimate plan"},
+    "classic": {"classic", "classic plan"},
+    "standard": {"standard plan"},
+    "basic": {"basic plan"},
+    "prime": {"prime", "prime plan"},
+    "deluxe": {"deluxe", "deluxe plan"},
+}
+PLANS = ["SILVER", "GOLD", "DIAMOND", "PLATINUM"]
+DESCRIPTIONS = [
+    "expense", "benefit", "coverage", "covered", "description", "item", "particulars", "feature", "features",
+    "service", "services", "treatment", "procedure", "head", "details", "clause",
+]
 # --- end of fixed values ---
+_LABEL = re.compile(ROW_LABEL, re.I)
 
 
 @dataclass
@@ -47,102 +66,103 @@ def is_label(cell: str) -> bool:
     return 0 < len(cell.strip()) <= 10 and bool(_LABEL.match(cell))
 
 
-def cells(table: str) -> list[list[tuple[str, int, int, bool]]]:
-    """Rows of (content, rowspan, colspan, is header)."""
-    if "<tr" not in table.lower():
-        lines = [x.strip().strip("|").split("|") for x in table.splitlines() if x.strip()]
-        lines = [[c.strip() for c in x] for x in lines if not all(re.fullmatch(r"\s*:?-+:?\s*", c) for c in x)]
-        return [[(c, 1, 1, i == 0) for c in x] for i, x in enumerate(lines)]
-    out = []
-    for row in _ROW.findall(table):
-        found = []
-        for kind, attributes, content in _CELL.findall(row):
-            span = {k: int(v) for k, v in re.findall(r"(rowspan|colspan)\s*=\s*[\"']?(\d+)", attributes.lower())}
-            found.append((clean(content), max(1, span.get("rowspan", 1)), max(1, span.get("colspan", 1)), kind.lower() == "th"))
-        if found:
-            out.append(found)
-    return out
+class Cell(NamedTuple):
+    text: str
+    down: int = 1
+    across: int = 1
+    heads: bool = False
 
 
-def grid(rows: list[list[tuple[str, int, int, bool]]]) -> list[list[str]]:
-    """Every cell repeated over the places it spans."""
-    width = max((sum(c[2] for c in r) for r in rows), default=0)
-    hanging: dict[int, tuple[str, int]] = {}
-    out = []
-    for row in rows:
-        line, at, todo = [""] * width, 0, iter(row)
-        while at < width:
-            if at in hanging:
-                line[at], left = hanging[at]
-                hanging.pop(at)
-                if left > 1:
-                    hanging[at] = (line[at], left - 1)
-                at += 1
-                continue
-            cell = next(todo, None)
-            if cell is None:
-                at += 1
-                continue
-            text, down, across, _ = cell
-            for i in range(at, min(width, at + across)):
-                line[i] = text
-            if down > 1:
-                hanging[at] = (text, down - 1)
-            at += across
-        out.append(line)
-    return out
+def _html_cell(m: re.Match) -> Cell:
+    spans = dict(re.findall(r"(rowspan|colspan)\s*=\s*[\"']?(\d+)", m[2].lower()))
+    down, across = (max(1, int(spans.get(k, 1))) for k in ("rowspan", "colspan"))
+    return Cell(clean(m[3]), down, across, m[1].lower() == "th")
+
+
+def cells(table: str) -> list[list[Cell]]:
+    """The rows of an HTML or pipe table that have a cell; of a pipe table the first row is its heading."""
+    if "<tr" in table.lower():
+        rows = ([_html_cell(m) for m in _CELL.finditer(row)] for row in _ROW.findall(table))
+        return [r for r in rows if r]
+    lines = [[c.strip() for c in x.strip().strip("|").split("|")] for x in table.splitlines() if x.strip()]
+    lines = [x for x in lines if not all(re.fullmatch(r":?-+:?", c) for c in x)]
+    return [[Cell(c, heads=i == 0) for c in x] for i, x in enumerate(lines)]
+
+
+def grid(rows: list[list[Cell]]) -> list[list[str]]:
+    """Every cell repeated over the places it spans: along its row, and down its first column.
+
+    Places are taken in a map of (row, column), so a cell comes to lie in the first free
+    column of its row, and what would lie beyond the widest row is left out.
+    """
+    width = max((sum(c.across for c in r) for r in rows), default=0)
+    taken: dict[tuple[int, int], str] = {}
+    for y, row in enumerate(rows):
+        free = 0
+        for cell in row:
+            while (y, free) in taken:
+                free += 1
+            across = [(y, x) for x in range(free, free + cell.across)]
+            down = [(y + k, free) for k in range(1, cell.down)]
+            taken |= dict.fromkeys(across + down, cell.text)
+            free += cell.across
+    return [[taken.get((y, x), "") for x in range(width)] for y in range(len(rows))]
 
 
 def merge_rows(rows: list[list[str]]) -> list[list[str]]:
     """Consecutive rows with one label become one row of their distinct values."""
-    out: list[list[str]] = []
-    start = 0
-    while start < len(rows):
-        end = start + 1
-        while end < len(rows) and rows[end][:1] == rows[start][:1]:
-            end += 1
-        same = rows[start:end]
-        if len(same) == 1:
-            out.append(same[0])
-        else:
-            columns = [[v for v in dict.fromkeys(r[i].strip() for r in same if i < len(r)) if v] for i in range(len(same[0]))]
-            out.append([same[0][0], *(" ".join(c) for c in columns[1:])])
-        start = end
+    out = []
+    for _, group in itertools.groupby(rows, key=lambda r: r[0].strip() if r else ""):
+        first, *more = group
+        if more:
+            values = [dict.fromkeys(filter(None, (r[i].strip() for r in (first, *more) if i < len(r)))) for i in range(1, len(first))]
+            first = first[:1] + [" ".join(v) for v in values]
+        out.append(first)
     return out
 
 
+#: What a row of the grid is, by the first rule that holds: (name, rule over the row's cells and values and the table so far).
+_KINDS = (
+    ("title", lambda raw, line, g: g.title is None and len(line) > 1 and line[0] != "" and len(set(line)) == 1),
+    ("data", lambda raw, line, g: bool(g.headers or g.rows)),
+    ("data", lambda raw, line, g: not any(c.heads for c in raw)),
+    ("headers", lambda raw, line, g: _names_columns(line)),
+    ("data", lambda raw, line, g: True),
+)
+
+
+def _names_columns(line: list[str]) -> bool:
+    """Whether a row may be the headings: its first cell is no label, and not empty beside filled ones (a row that goes on from above)."""
+    first, rest = line[0].strip(), any(x.strip() for x in line[1:])
+    return not is_label(line[0]) and (bool(first) or not rest)
+
+
 def parse(table: str) -> Grid:
     """Title row, headers and merged data rows of one table."""
-    raw = cells(table)
-    found = Grid()
+    found, raw = Grid(), cells(table)
     for source, line in zip(raw, grid(raw), strict=True):
-        if len(set(line)) == 1 and line[0] and found.title is None and len(line) > 1:
+        kind = next(name for name, rule in _KINDS if rule(source, line, found))
+        if kind == "title":
             found.title = line[0]
-            continue
-        carried = not line[0].strip() and any(x.strip() for x in line[1:])
-        if not found.headers and not found.rows and any(c[3] for c in source) and not is_label(line[0]) and not carried:
+        elif kind == "headers":
             found.headers = line
-            continue
-        found.rows.append(line)
-    if not found.headers and found.rows:
-        first = found.rows[0]
-        if not is_label(first[0]) and not (not first[0].strip() and any(x.strip() for x in first[1:])):
-            found.headers, found.rows = first, found.rows[1:]
+        else:
+            found.rows.append(line)
+    if not found.headers and found.rows and _names_columns(found.rows[0]):
+        found.headers, *found.rows = found.rows
     found.rows = merge_rows(found.rows)
     return found
 
 
 def headers_alike(a: str, b: str) -> bool:
-    """Sorted words within one another, a shared column name, or Jaccard of at least a half."""
-    x, y = (set(re.sub(r"[\W_]+", " ", h.lower()).split()) for h in (a, b))
-    if not x or not y:
+    """One's sorted words within the other's, names of one column, or half of all words in common."""
+    low = a.lower(), b.lower()
+    x, y = (frozenset(re.findall(r"[^\W_]+", h)) for h in low)
+    if not (x and y):
         return False
-    left, right = " ".join(sorted(x)), " ".join(sorted(y))
-    if left in right or right in left:
-        return True
-    if any(any(n in a.lower() for n in names) and any(n in b.lower() for n in names) for names in SAME_COLUMN):
-        return True
-    return len(x & y) / len(x | y) >= 0.5
+    ordered = sorted((" ".join(sorted(w)) for w in (x, y)), key=len)
+    named = ({k for k, names in SAME_COLUMN.items() if any(n in h for n in names)} for h in low)
+    return ordered[0] in ordered[1] or bool(set.intersection(*named)) or 2 * len(x & y) >= len(x | y)
 
 
 def continues(first: Grid, second: Grid) -> bool:
@@ -156,6 +176,30 @@ def continues(first: Grid, second: Grid) -> bool:
     return same / a >= 0.75
 
 
+def carries_suffixes(first: Grid, last: list[str], row: list[str]) -> bool:
+    """Whether a page's first row only ends the plan cells of the row before the break: two of them filled, no label, next to no description."""
+    at = description_column(first.headers)
+    described = row[at].strip() if at is not None and at < len(row) else ""
+    return not row[0].strip() and len(described) <= 2 and sum(bool(row[i].strip()) for i in plan_columns(first.headers).values() if i < len(row)) >= 2
+
+
+def joined(parts: list[Grid]) -> Grid:
+    """The tables of one group as one: headings that differ from the first table's are rows, suffix rows go to the row before."""
+    first = parts[0]
+    rows = [list(r) for r in first.rows]
+    for g in parts[1:]:
+        more = [list(r) for r in g.rows]
+        if g.headers and first.headers and not all(x == y or headers_alike(x, y) for x, y in zip(g.headers, first.headers, strict=False)):
+            more.insert(0, list(g.headers))
+        if more and rows and first.headers and carries_suffixes(first, rows[-1], more[0]):
+            suffix, *more = more
+            for i in plan_columns(first.headers).values():
+                if i < len(rows[-1]) and i < len(suffix):
+                    rows[-1][i] = " ".join(x for x in (rows[-1][i].strip(), suffix[i].strip()) if x)
+        rows += more
+    return Grid(next((g.headers for g in parts if g.headers), []), merge_rows(rows), next((g.title for g in parts if g.title), None))
+
+
 def stitch(text: str) -> list[Grid]:
     """The tables of a text; those that a page break splits are joined, judged by the group's first table."""
     found = sorted([m for pattern in (_TABLE, _PIPE) for m in pattern.finditer(text)], key=lambda m: m.start())
@@ -170,35 +214,35 @@ def stitch(text: str) -> list[Grid]:
         else:
             groups.append([table])
         end = m.end()
-    out = []
-    for parts in groups:
-        rows = [r for i, g in enumerate(parts) for r in ([g.headers] if i and g.headers and parts[0].headers and not all(headers_alike(x, y) or x == y for x, y in zip(g.headers, parts[0].headers, strict=False)) else []) + g.rows]
-        out.append(Grid(next((g.headers for g in parts if g.headers), []), merge_rows(rows), next((g.title for g in parts if g.title), None)))
-    return out
+    return [joined(parts) for parts in groups]
 
 
-def description_column(headers: list[str], rows: list[list[str]]) -> int:
-    """The first column whose cells are mostly words, not numbers or labels."""
-    numeric = lambda s: bool(re.fullmatch(r"[\s₹$,.\d%/-]*(?:lakhs?|crores?)?", s, re.I))
-    for i in range(len(headers)):
-        column = [r[i] for r in rows if i < len(r) and r[i].strip()]
-        if column and sum(not numeric(c) and not is_label(c) for c in column) * 2 > len(column):
-            return i
-    return 0
+def description_column(headers: list[str]) -> int | None:
+    """The first heading with a describing word, else the first after column 0 that isn't mostly digits."""
+    low = [h.lower() for h in headers]
+    named = (i for i, h in enumerate(low) if any(w in h for w in DESCRIPTIONS))
+    wordy = (i for i, h in enumerate(headers) if i and sum(map(str.isdigit, h)) <= sum(map(str.isalpha, h)))
+    return next(itertools.chain(named, wordy), 1 if len(headers) > 1 else None)
 
 
-def plan_columns(headers: list[str]) -> list[int]:
-    names = "silver gold diamond platinum bronze elite supreme premium ultimate classic prime deluxe standard basic plan variant option".split()
-    return [i for i, h in enumerate(headers) if any(n in h.lower() for n in names)]
+def plan_columns(headers: list[str]) -> dict[str, int]:
+    """Column by plan name (of several columns of one plan the last); without any, all columns but the first and the description, by heading."""
+    named = ((next((p for p in PLANS if p in h.upper()), None), i) for i, h in enumerate(headers))
+    plans = {p: i for p, i in named if p}
+    others = [i for i in range(1, len(headers)) if i != description_column(headers)]
+    return plans or {headers[i].strip().upper() or f"COLUMN {i + 1}": i for i in others}
 
 
 def reader_text(g: Grid) -> str:
-    """One line a row: the description, then each other column as name: value."""
-    at = description_column(g.headers, g.rows) if g.headers else 0
+    """One line a row: label and description (never a plan's column), then each other column as name: value."""
+    plans = {i for name, i in plan_columns(g.headers).items() if name in PLANS}
+    at = description_column(g.headers)
     lines = [g.title] if g.title else []
-    for r in g.rows:
-        named = [f"{g.headers[i]}: {v}" if i < len(g.headers) and g.headers[i] else v for i, v in enumerate(r) if i != at and v]
-        lines.append(" | ".join([r[at] if at < len(r) else "", *named]).strip(" |"))
+    for r in filter(None, g.rows):
+        label = r[0].strip() if is_label(r[0]) else ""
+        own = at if at is not None and at not in plans and at < len(r) and r[at].strip() else min(bool(label), len(r) - 1)
+        others = ((g.headers[i] if i < len(g.headers) else "", v) for i, v in enumerate(r) if i != own and not (i == 0 and label) and v.strip())
+        lines.append(" | ".join([" ".join(x for x in (label, r[own]) if x.strip()), *(f"{name}: {v}" if name else v for name, v in others)]).strip(" |"))
     return "\n".join(lines)
 
 
@@ -223,7 +267,10 @@ def row_chunks(tables: DataFrame) -> DataFrame:
     whole = tables.select("doc_id", "table_no", F.lit(-1).alias("row_no"), F.lit("complete_table").alias("element_type"), F.col("normalised").alias("content"), F.lit(None).cast("map<string,string>").alias("column_data"))
     each = tables.select("doc_id", "table_no", "headers", F.posexplode("rows").alias("row_no", "r"))
     n = F.least(F.size("headers"), F.size("r"))
-    names = F.transform(F.slice("headers", F.lit(1), n), lambda h, i: F.concat(h, F.lit("#"), i))
+    # a heading that stands twice is numbered from its second place on, as a map holds a name once
+    own = F.slice("headers", F.lit(1), n)
+    before = lambda h, i: F.size(F.filter(F.slice(own, F.lit(1), i), lambda x: x == h))
+    names = F.transform(own, lambda h, i: F.when(before(h, i) > 0, F.concat(h, F.lit("#"), i)).otherwise(h))
     data = F.map_from_arrays(names, F.slice("r", F.lit(1), n))
     rows = each.select("doc_id", "table_no", "row_no", F.lit("table_row"), F.array_join("r", " | "), data)
     return whole.union(rows)

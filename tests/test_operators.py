@@ -128,7 +128,16 @@ def test_slides():
     text = "a" * 1150 + " " + "b" * 400
     assert [(s, len(c)) for _, s, c in chunks.slides()()(text)] == [(0, 1150), (1151, 400)]
     early = "a" * 300 + "\n" + "b" * 1500
-    assert [s for _, s, _ in chunks.slides()()(early)] == [0, 1100]
+    assert [s for _, s, _ in chunks.slides(gaps=True)()(early)] == [0, 1100]
+    # by default no text is lost
+    assert [(s, len(c)) for _, s, c in chunks.slides()()(early)] == [(0, 300), (301, 1200), (1501, 300)]
+    rng = random.Random(4)
+    for _ in range(20):
+        text = "".join(rng.choice(["a", "bc ", ". ", "\n", "d" * rng.randint(1, 60)]) for _ in range(rng.randint(1, 400)))
+        covered = set()
+        for _, s, c in chunks.slides(120, 10)()(text):
+            covered |= set(range(s, s + len(text[s:]) - len(text[s:].lstrip()) + len(c)))
+        assert all(i in covered or text[i].isspace() for i in range(len(text)))
 
 
 def test_sections_and_headers(spark):
@@ -159,10 +168,46 @@ def test_tables(spark):
     rows = tables.stitched(spark.createDataFrame([(1, HTML), (2, None)], "doc_id long, text string"))
     assert rows.count() == 3
     data = {(r["table_no"], r["row_no"]): r for r in tables.row_chunks(rows).collect()}
-    assert data[0, 0]["column_data"]["Gold#2"] == "200" and data[0, -1]["element_type"] == "complete_table"
+    assert data[0, 0]["column_data"] == {"Cover": "Room", "Silver Plan": "100 per day", "Gold": "200"} and data[0, -1]["element_type"] == "complete_table"
     assert "Silver Plan: 100 per day" in data[0, -1]["content"]
 
 
+def test_pages_that_break_inside_a_row():
+    page = "<table><tr><th>Benefit</th><th>Silver</th><th>Gold</th></tr><tr><td>Room</td><td>up to</td><td>up to</td></tr></table><!-- PageBreak --><table><tr><td></td><td>100</td><td>200</td></tr><tr><td>Care</td><td>5</td><td>6</td></tr></table>"
+    assert [g.rows for g in tables.stitch(page)] == [[["Room", "up to 100", "up to 200"], ["Care", "5", "6"]]]
+    assert tables.description_column(["No", "2024", "Benefit head"]) == 2 and tables.description_column(["No", "12", "Name"]) == 2 and tables.description_column(["No"]) is None
+    assert tables.plan_columns(["x", "Silver A", "Gold", "silver b"]) == {"SILVER": 3, "GOLD": 2}
+    assert tables.plan_columns(["No", "Benefit", "Year 1", ""]) == {"YEAR 1": 2, "COLUMN 4": 3}
+
+
+def test_scanned_tables_have_places_of_their_own():
+    from quillstone.functions import ocr
+
+    same = "<table><tr><td>1</td></tr></table>"
+    text = f"a {same} b {same} | x | y |\n<tr><td>z</td></tr> end"
+    found, rest = ocr.take_tables(text)
+    assert [text[t["start_pos"] : t["end_pos"]] == t["text"] for t in found] == [True] * 4 and len({t["start_pos"] for t in found}) == 4
+    for t in found:
+        rest = rest.replace(f"\n\n[TABLE_{t['id']}_PLACEHOLDER]\n\n", t["text"])
+    assert rest == text
+
+
+def test_bpe_windows_are_the_librarys_tokens():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    encoding, spans = chunks.bpe_encoding(), chunks.bpe_spans()()
+    for text in ("The quick brown fox, it's 12.50 now.", "naïve café 漢字 🙂 end", "", "a" + " " * 50 + "b"):
+        ids = whole.encode(text, add_special_tokens=False).ids
+        assert chunks.bpe_ids(encoding, text) == ids and len(spans(text)) == len(ids)
+        assert "".join(text[a:b] for a, b in spans(text)) == text
+    text = " ".join(f"word{i}" for i in range(500))
+    pieces = chunks.token_windows(100, 20, make_spans=chunks.bpe_spans())()(text)
+    assert len(pieces) > 5 and all(text[s : s + len(c)] == c and c.split()[0].startswith("word") for _, s, c in pieces)
+    assert {w for _, _, c in pieces for w in c.split()} == set(text.split())
+
+
 PARAMS = {"Market Capitalization": "cap", "Price to earning": "pe", "Sales": "sales", "Sales growth": "growth"}
 
 
