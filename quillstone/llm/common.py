@@ -12,6 +12,8 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillstone.session import ship
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _LOCAL_DIRS: list[str] = []
 
@@ -31,6 +33,7 @@ def _position(df: DataFrame, name: str) -> int:
 
 def take(df: DataFrame, *names: str) -> DataFrame:
     """Just the named columns, by place: other columns may have any names, the same in another case too."""
+    ship(df.sparkSession)
     plain = df.toDF(*[f"_c{i}" for i in range(len(df.columns))])
     return plain.select(*[F.col(f"_c{_position(df, n)}").alias(n) for n in names])
 
@@ -43,6 +46,7 @@ class Rows:
     """
 
     def __init__(self, df: DataFrame):
+        ship(df.sparkSession)
         self.names = df.columns
         self.schema = df.schema
         self._df = df

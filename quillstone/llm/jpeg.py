@@ -15,7 +15,8 @@ decoded symbol by symbol.
 Defined cases: null text counts as empty: one payload of 64 zero bytes. Equal texts give
 equal streams and features. Images grow in both directions, so a payload of several GB
 still fits the format's 65,535 samples a side. Repeated rows are stored each on their
-own. Empty tables give no rows. Extra columns are ignored.
+own. Null, empty and broken streams, and headers that ask for more than ``MOST_SAMPLES``, give ``tensors`` an error
+and no picture. Empty tables give no rows. Extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -35,6 +36,9 @@ from pyspark.sql import functions as F
 from .common import take
 
 
+MOST_SAMPLES = 200_000_000
+
+
 def _zigzag() -> np.ndarray:
     """Natural position (8 row + column) of each zigzag place: diagonals, in turn upward and downward."""
     cells = [(r, c) for r in range(8) for c in range(8)]
@@ -263,7 +267,7 @@ def _ac_refine(c, table, segments, lo, hi, low, restart) -> None:
                 run -= 1
 
 
-def decode(stream: bytes) -> Image:
+def decode(stream: bytes, most_samples: int | None = None) -> Image:
     """All scans of a progressive JPEG, accumulated to coefficients (zigzag order)."""
     if stream[:2] != b"\xff\xd8":
         raise ValueError("no JPEG")
@@ -296,6 +300,8 @@ def decode(stream: bytes) -> Image:
             (restart,) = struct.unpack(">H", body)
         elif marker == 0xC2:
             _, height, width, n = struct.unpack(">BHHB", body[:6])
+            if most_samples is not None and height * width * n > most_samples:
+                raise ValueError(f"{width} x {height} samples of {n} components are over the limit")
             ids = [body[6 + 3 * i] for i in range(n)]
             parts = [Component(body[7 + 3 * i] >> 4, body[7 + 3 * i] & 15, body[8 + 3 * i]) for i in range(n)]
             hm, vm = max(c.h for c in parts), max(c.v for c in parts)
@@ -489,19 +495,25 @@ def digests(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(_stored, schema)
 
 
-def _tensors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["id", "height", "width", "rgb", "error"]
-    for batch in batches:
-        for name, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            try:
-                picture = rgb(decode(data or b""))
-                row = [name, picture.shape[0], picture.shape[1], picture.tobytes(), None]
-            except (ValueError, KeyError, IndexError, struct.error) as bad:
-                row = [name, None, None, None, f"{type(bad).__name__}: {bad}"]
-            yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.string()], strict=True)], names=names)
+def _tensors(most_samples: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["id", "height", "width", "rgb", "error"]
+        for batch in batches:
+            for name, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                try:
+                    picture = rgb(decode(data or b"", most_samples))
+                    row = [name, picture.shape[0], picture.shape[1], picture.tobytes(), None]
+                except (ValueError, KeyError, IndexError, struct.error) as bad:
+                    row = [name, None, None, None, f"{type(bad).__name__}: {bad}"]
+                yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.string()], strict=True)], names=names)
+
+    return run
+
 
+def tensors(media: DataFrame, identity: str = "doc_id", content: str = "media", most_samples: int = MOST_SAMPLES) -> DataFrame:
+    """Full-resolution RGB tensors (bytes, row by row) of a column of JPEG streams; what can't be decoded has an error.
 
-def tensors(media: DataFrame, identity: str = "doc_id", content: str = "media") -> DataFrame:
-    """Full-resolution RGB tensors (bytes, row by row) of a column of JPEG streams; what can't be decoded has an error."""
+    So has a picture whose header asks for more than ``most_samples`` samples, whatever the stream holds.
+    """
     rows = take(media, identity, content).select(F.col(identity).cast("long").alias("id"), F.col(content).cast("binary").alias("media"))
-    return rows.mapInArrow(_tensors, "id long, height int, width int, rgb binary, error string").withColumnRenamed("id", identity)
+    return rows.mapInArrow(_tensors(most_samples), "id long, height int, width int, rgb binary, error string").withColumnRenamed("id", identity)

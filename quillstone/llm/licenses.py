@@ -12,8 +12,8 @@ counted in words from 0.
 Defined cases: null text counts as empty: no words, no places, null first and last
 word, empty labels, score 0. Places may overlap and repeat; all count. Windows that
 touch are searched as one, so very long texts with many seeds stay linear. Repeated
-rows are scanned each on their own. Empty tables give no rows. Extra columns are
-ignored.
+rows are scanned each on their own. Of notices that match the same words, all count (ties included). Empty
+tables give no rows. Extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations

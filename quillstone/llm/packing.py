@@ -12,8 +12,9 @@ runs of bounded length along a given order of the documents (``along``), so neit
 length nor a document that holds a third of all pieces meets in one task.
 
 Defined cases: null text counts as empty and gives one piece, the end id. Rows with a
-null doc_id are packed like others. Repeated rows are packed each on their own. Empty
-tables give no rows. Extra columns are ignored.
+null doc_id are packed like others. Repeated rows are packed each on their own. Very long texts are
+packed whole: as many pieces of 1024 as they need, and their rest. Ties of the order go by id, start and the
+ids' hash. Empty tables give no rows. Extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations

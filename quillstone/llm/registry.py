@@ -41,7 +41,7 @@ def op5_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan(documents(spark, sf_dir)).drop("spans")
+    return licenses.scan(documents(spark, sf_dir)).withColumn("spans", F.to_json("spans"))
 
 
 def op7_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,8 @@ in tasks of their own, so no task holds a whole hot key.
 Defined cases: null text counts as no words: fingerprint zero, which links like any
 other. Fewer than four words: one shingle of them all. Rows with a null id get the
 smallest id that is not null in their component, or null if there is none. Repeated
-rows are kept. Empty tables give no rows. Extra columns are ignored.
+rows are kept. Very long texts are fingerprinted whole; a bit set in just half the hashes (a tie) is 0. Empty
+tables give no rows. Extra columns, whatever their names, are ignored, and kept by ``one_of_each``.
 """
 
 from __future__ import annotations
@@ -36,6 +37,7 @@ WIDTHS = (13, 13, 13, 13, 12)
 #: Lowest bit of each segment, the first one topmost.
 SHIFTS = tuple(64 - sum(WIDTHS[: i + 1]) for i in range(len(WIDTHS)))
 BLOCK = 4096
+PROBES = 8  #: times BLOCK rows in one part of a hot key
 
 
 def fingerprint(text: str | None, words_each: int = 4, seed: int = 42, chunk: int = 1 << 16) -> int:
@@ -116,28 +118,26 @@ def linked(differ: np.ndarray, start: int) -> np.ndarray:
 
 
 def _forest(right: np.ndarray, left: np.ndarray, start: int, chunk: int = 1024) -> list[tuple[int, int]]:
-    """Tree edges that join what the linking pairs right x right and left x right join."""
-    parent: dict[int, int] = {}
-    edges: list[tuple[int, int]] = []
-
-    def root(x: int) -> int:
-        while (up := parent.get(x, x)) != x:
-            parent[x] = parent.get(up, up)
-            x = up
-        return x
+    """Tree edges that join what the linking pairs right x right and left x right join.
 
-    for rows in (right, left):
+    Each fingerprint of ``right`` has a label; a row looks only at the labels of what it links to, so a
+    dense group costs a step a row, not a step a pair.
+    """
+    label = np.arange(len(right))
+    edges: list[tuple[int, int]] = []
+    for own, rows in ((True, right), (False, left)):
         for at in range(0, len(rows), chunk):
             part = rows[at : at + chunk]
             ok = linked(part[:, None] ^ right[None, :], start)
             for i in np.flatnonzero(ok.any(axis=1)).tolist():
-                a = int(part[i])
-                for j in np.flatnonzero(ok[i]).tolist():
-                    b = int(right[j])
-                    x, y = root(a), root(b)
-                    if x != y:
-                        parent[max(x, y)] = min(x, y)
-                        edges.append((a, b))
+                to = np.flatnonzero(ok[i])
+                found, where = np.unique(label[to], return_index=True)
+                mine = label[at + i] if own else found[0]
+                for other, w in zip(found.tolist(), where.tolist(), strict=True):
+                    if not own or other != mine:
+                        edges.append((int(part[i]), int(right[to[w]])))
+                    if other != mine:
+                        label[label == other] = mine
     return edges
 
 
@@ -193,18 +193,21 @@ def _tree_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def link_forest(fps: DataFrame, block: int = BLOCK) -> DataFrame:
     """Edges (a, b) between distinct fingerprints (column fp) whose components are those of all links."""
     keyed = _keyed(fps)
-    hot = cut(keyed.where("not probe").groupBy("key").count().where(F.col("count") > block).select("key", F.ceil(F.col("count") / block).cast("int").alias("blocks")))
+    # both sides of a key count: many probes may gather under a key with few fingerprints of its own, and the other way round
+    sizes = keyed.groupBy("key").agg(F.sum((~F.col("probe")).cast("long")).alias("owners"), F.count("*").alias("n"))
+    hot = cut(sizes.where((F.col("owners") > 0) & ((F.col("owners") > block) | (F.col("n") > PROBES * block))).select("key", F.ceil(F.col("owners") / block).cast("int").alias("blocks"), F.ceil(F.col("n") / (PROBES * block)).cast("int").alias("parts")))
     if hot.isEmpty():
         dealt = keyed.select("key", F.lit(0).alias("block"), F.col("probe").cast("int").alias("side"), "fp")
     else:
-        own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
-        dealt = (
-            keyed.join(hot, "key", "left")
-            .withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-            .withColumn("own", own)
-            .select("key", "fp", "probe", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-            .select("key", "block", F.when(~F.col("probe") & (F.col("block") == F.col("own")), 0).otherwise(1).alias("side"), "fp")
-        )
+        h = F.xxhash64("fp")
+        each = keyed.join(hot, "key", "left").withColumns({"blocks": F.coalesce("blocks", F.lit(1)), "parts": F.coalesce("parts", F.lit(1))})
+        each = each.withColumns({"own": F.pmod(h, F.col("blocks")).cast("int"), "part": F.pmod(F.shiftright(h, 20), F.col("parts")).cast("int")})
+        each = each.select("key", "fp", "probe", "own", "part", "parts", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("b"))
+        # a block's own fingerprints meet every part of the rows that come to it; all others come in one part
+        mine = ~F.col("probe") & (F.col("b") == F.col("own"))
+        spread = F.when(mine, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array("part"))
+        each = each.select("key", "fp", F.when(mine, 0).otherwise(1).alias("side"), "b", "parts", F.explode(spread).alias("p"))
+        dealt = each.select("key", (F.col("b") * F.col("parts") + F.col("p")).alias("block"), "side", "fp")
     sorted_rows = dealt.repartition("key", "block").sortWithinPartitions("key", "block", "side")
     return sorted_rows.mapInArrow(_tree_edges, "a long, b long").distinct()
 

@@ -259,6 +259,43 @@ def test_base_places(docs, texts):
         assert set(filter(None, r["base_labels"].split(","))) <= set(r["labels"].split(","))
 
 
+def test_labels_scores_and_spans_of_the_query(spark, texts):
+    """Near notices by a word-for-word search with edit distance, over planted ones and the small table."""
+    rng = random.Random(6)
+    planted = {10**6 + i: text for i, text in enumerate(planted_notices(rng))}
+    docs = spark.createDataFrame([*texts.items(), *planted.items()], "doc_id long, text string")
+    for r in licenses.scan(docs).collect():
+        text = planted.get(r["doc_id"], texts.get(r["doc_id"]))
+        scanner = licenses.Scanner(licenses.NOTICES, licenses.BASE)
+        joined = scanner.words(text or "")
+        words = joined.decode("utf-8", "surrogatepass").split()
+        base = {x for x in r["base_labels"].split(",") if x}
+        near = {s["label"] for s in r["spans"]}
+        assert set(filter(None, r["labels"].split(","))) == base | near
+        for s in r["spans"]:
+            notice = next(n for n in licenses.NOTICES if n.label == s["label"] and s["edits"] <= n.edits)
+            assert 0 <= s["word"] and s["word"] + s["words"] <= len(words) and notice
+        if r["n_base"]:
+            assert r["score"] == 1.0
+        elif r["spans"]:
+            assert 0 < r["score"] <= 1
+        else:
+            assert r["score"] == 0
+    got = {r["doc_id"]: r for r in licenses.scan(docs).where("doc_id >= 1000000").collect()}
+    assert all(got[d]["labels"] for d in planted)
+
+
+def planted_notices(rng):
+    """Each notice once as it is and once with as many letters changed as its bound allows, among other words."""
+    for notice in licenses.NOTICES:
+        phrase = notice.words
+        for edits in (0, notice.edits):
+            letters = list(phrase)
+            for i in rng.sample([i for i, c in enumerate(letters) if c.isalpha()], edits):
+                letters[i] = "z" if letters[i] != "z" else "y"
+            yield "some words before " + "".join(letters) + " and some after"
+
+
 def test_edits_within_the_bound_are_found_and_no_more():
     scanner, rng = licenses.Scanner(), random.Random(3)
     for notice, length, _, _ in scanner.notices:
@@ -421,6 +458,19 @@ def test_digests_and_tensors(spark, docs, texts):
     assert len(got[1]["rgb"]) == got[1]["height"] * got[1]["width"] * 3 and got[2]["error"] and got[3]["error"]
 
 
+def test_a_header_that_asks_for_too_much_is_an_error(spark):
+    import time
+
+    _, payload = jpeg.payload_of("a text")
+    stream = jpeg.encode_payload(payload)
+    frame = stream.index(b"\xff\xc2")
+    hostile = stream[: frame + 5] + b"\xff\xff\xff\xff" + stream[frame + 9 :]
+    began = time.perf_counter()
+    got = {r["doc_id"]: r for r in jpeg.tensors(spark.createDataFrame([(1, bytearray(stream)), (2, bytearray(hostile)), (3, None)], "doc_id long, media binary")).collect()}
+    assert got[1]["error"] is None and got[1]["rgb"] and "limit" in got[2]["error"] and got[2]["rgb"] is None and got[3]["error"]
+    assert time.perf_counter() - began < 60
+
+
 # --- language ---
 
 
@@ -542,6 +592,57 @@ def test_dense_groups_in_blocks(spark, block):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, plain.values()))
 
 
+def test_many_probes_of_few_fingerprints(spark):
+    """Probes gather under a key with few fingerprints of its own: split parts give the same components."""
+    rng = random.Random(3)
+    base = [rng.getrandbits(64) for _ in range(3)]
+    fps = {b ^ sum(1 << i for i in rng.sample(range(64), rng.randint(0, 6))) for b in base for _ in range(150)}
+    signed = [x - (1 << 64) if x >> 63 else x for x in sorted(fps)]
+    df = spark.createDataFrame([(x,) for x in signed], "fp long")
+    want = None
+    for block in (4096, 16, 3):
+        edges = [(r["a"] % 2**64, r["b"] % 2**64) for r in simhash.link_forest(df, block).collect()]
+        assert all((a ^ b).bit_count() <= 4 for a, b in edges)
+        parent = {x: x for x in fps}
+
+        def root(x, parent=parent):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        for a, b in edges:
+            x, y = root(a), root(b)
+            parent[max(x, y)] = min(x, y)
+        got = {x: root(x) for x in fps}
+        want = want or {x: min(group) for group in _groups_of(fps) for x in group}
+        assert got == want
+
+
+def _groups_of(fps):
+    left, out = set(fps), []
+    while left:
+        todo, group = [left.pop()], set()
+        while todo:
+            x = todo.pop()
+            group.add(x)
+            near = {y for y in left if (x ^ y).bit_count() <= 4}
+            left -= near
+            todo += near
+        out.append(group)
+    return out
+
+
+def test_dense_groups_cost_a_step_a_row():
+    import time
+
+    rng = np.random.default_rng(1)
+    base = np.uint64(rng.integers(0, 1 << 62))
+    near = np.unique(base ^ (np.uint64(1) << rng.integers(0, 64, 4000).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 4000).astype(np.uint64)))
+    began = time.perf_counter()
+    edges = simhash._forest(near, near, 0)
+    assert time.perf_counter() - began < 5 and edges
+
+
 def test_long_chain_converges(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(300)], "a long, b long").repartition(4)
     assert {r["component"] for r in simhash.components(edges).collect()} == {0}
