@@ -349,7 +349,7 @@ def _shadowed(beside: DataFrame, found: DataFrame, keep) -> DataFrame:
     # a third document, besides the least: with fewer there is nobody else to meet
     others = beside.select("doc_id", "place", F.explode(F.array_compact(F.array(*[F.when(_side("packed", i) != 0, F.xxhash64("key", F.lit(i), _side("packed", i))) for i in (longest, longest + 1)]))).alias("side"))
     others = keep(others, "others")
-    several = others.groupBy("side").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("side")
+    several = keep(others.groupBy("side").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("side"), "sides")
     others = keep(others.join(several, "side", "left_semi"), "several")
     passages = found.select(F.col("doc_id").alias("d"), "start_word", (F.col("start_word") + F.col("n_words") - WORDS).alias("until"))
     left = others.join(passages, (F.col("doc_id") == F.col("d")) & F.col("place").between(F.col("start_word"), F.col("until")), "left_anti")
