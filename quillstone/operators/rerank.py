@@ -104,3 +104,26 @@ def context(chunks: DataFrame) -> DataFrame:
     turn = pick(F.col("element_type"), {"complete_table": 0, "table_row": 1, "table_cell": 2, "footnote": 3, "text": 4}, 4)
     rows = chunks.select("qid", F.struct(turn.alias("turn"), F.col("ord"), F.concat(F.lit("["), F.upper(F.coalesce("element_type", F.lit("text"))), F.lit("] "), F.col("content")).alias("line")).alias("x"))
     return rows.groupBy("qid").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["line"]), "\n\n").alias("context"))
+
+
+def rerank_failover(candidates: DataFrame, services: list[DataFrame], k: int) -> DataFrame:
+    """candidates (qid, id, rank, score) by the first service that answers a query, best ``k``; without an answer, in their own order.
+
+    Each service is (qid, idx, score): scores by the candidate's place from 0, as rerankers answer. Places
+    that no candidate has are left out. ``service`` is the number of the service used, null where none answered.
+    """
+    out = candidates.withColumn("idx", F.row_number().over(Window.partitionBy("qid").orderBy("rank", "id")) - 1)
+    answered = [s.select("qid").distinct().withColumn(f"has{i}", F.lit(True)) for i, s in enumerate(services)]
+    for i, s in enumerate(services):
+        out = out.join(answered[i], "qid", "left").join(s.select("qid", "idx", F.col("score").alias(f"by{i}")), ["qid", "idx"], "left")
+    used = F.coalesce(*[F.when(F.col(f"has{i}"), F.lit(i)) for i in range(len(services))], F.lit(None).cast("int"))
+    by = F.coalesce(*[F.when(F.col("service") == i, F.col(f"by{i}")) for i in range(len(services))], F.lit(None).cast("double"))
+    out = out.withColumn("service", used).withColumn("again", by).where("service is null or again is not null")
+    place = Window.partitionBy("qid").orderBy(F.when(F.col("service").isNull(), F.lit(0.0)).otherwise(-F.col("again")), "idx")
+    return out.withColumn("place", F.row_number().over(place)).where(F.col("place") <= k).select("qid", "id", "service", F.coalesce("again", "score").alias("score"), "place")
+
+
+def priority_batches(topics: DataFrame, size: int) -> DataFrame:
+    """topics (topic, priority) with their batch of ``size``, highest priority first, ties by name. A list of topics is short: one task ranks it."""
+    turn = Window.orderBy(F.col("priority").desc(), "topic")
+    return topics.withColumn("place", F.row_number().over(turn)).withColumn("batch", F.expr(f"(place - 1) div {size}"))

@@ -18,7 +18,7 @@ from quillstone.streaming import streams
 
 #: A keyword is a lower-cased word of at least 5 characters that stands in 2 to 50 documents; each text trusts its 8 most frequent of those.
 _KEYWORDS = r"""with t as (select doc_id text_id, unnest(list_distinct(list_filter(regexp_split_to_array(lower(text), '[ \t\n\r]+'), lambda w: length(w) >= 5))) k from documents where text is not null),
-f as (select k, count(*) df from t group by k having count(*) between 2 and 50),
+f as (select k, count(*) df from t group by k having count(*) >= 2 and count(*) <= greatest(2, 0.2 * (select count(*) from documents where text is not null))),
 m as (select text_id, k from (select text_id, k, row_number() over (partition by text_id order by df desc, k) r from t join f using (k)) where r <= 8),
 e as (select a.k k1, b.k k2, count(*) weight from m a join m b on a.text_id = b.text_id and a.k <> b.k group by all)"""
 
@@ -26,7 +26,9 @@ e as (select a.k k1, b.k k2, count(*) weight from m a join m b on a.text_id = b.
 def _members(spark, sf_dir):
     words = F.array_distinct(F.filter(F.split(F.lower("text"), r"[ \t\n\r]+"), lambda w: F.length(w) >= 5))
     t = table(spark, sf_dir, "documents").where("text is not null").select(F.col("doc_id").alias("text_id"), F.explode(words).alias("k"))
-    kept = t.groupBy("k").agg(F.count("*").alias("df")).where("df between 2 and 50")
+    # a bound that grows with the corpus: words of more than a fifth of the texts connect everything
+    n = table(spark, sf_dir, "documents").where("text is not null").count()
+    kept = t.groupBy("k").agg(F.count("*").alias("df")).where((F.col("df") >= 2) & (F.col("df") <= F.greatest(F.lit(2.0), F.lit(n) * F.lit(0.2))))
     trusted = Window.partitionBy("text_id").orderBy(F.col("df").desc(), "k")
     return t.join(kept, "k").withColumn("r", F.row_number().over(trusted)).where("r <= 8").select("text_id", "k")
 

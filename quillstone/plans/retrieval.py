@@ -378,3 +378,26 @@ def context_pack_budget(spark, sf_dir):
     w = Window.partitionBy("qid").orderBy("doc_id")
     docs = table(spark, sf_dir, "documents").where("text is not null").select(F.col("source").alias("qid"), "doc_id", F.col("n_chars").alias("size"))
     return search.pack_budget(docs.withColumn("rank", F.row_number().over(w)), 20000).select("qid", "rank", "size", "used")
+
+
+@register(
+    "rerank_failover",
+    _BM25
+    + """,
+c as (select qid, id, score, row_number() over (partition by qid order by rank, id) - 1 idx from bm where rank <= 30),
+u as (select *, case when qid % 3 = 0 then 0 when qid % 3 = 1 then 1 end service, case when qid % 3 = 0 then (idx * 7 % 31) / 31 when qid % 3 = 1 then 1 - idx / 100 end again from c where qid % 3 = 2 or idx < 25),
+pl as (select qid, id, service, coalesce(again, score) score, row_number() over (partition by qid order by case when service is null then 0.0 else -again end, idx) place from u)
+select * from pl where place <= 4""",
+)
+def rerank_failover(spark, sf_dir):
+    """Stand-in services: the first answers every third query, the second these and the next third; both see 25 of the 30 candidates."""
+    found = _bm25(spark, sf_dir, 30)
+    places = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.explode(F.sequence(F.lit(0), F.lit(24))).alias("idx"))
+    first = places.where("qid % 3 = 0").withColumn("score", (F.col("idx") * 7 % 31) / 31)
+    second = places.where("qid % 3 < 2").withColumn("score", 1 - F.col("idx") / 100)
+    return rerank.rerank_failover(found, [first, second], 4)
+
+
+@register("priority_batches", "with p as (select s_name topic, s_nationkey priority, row_number() over (order by s_nationkey desc, s_name) place from supplier) select topic, priority, place, (place - 1) // 25 batch from p")
+def priority_batches(spark, sf_dir):
+    return rerank.priority_batches(table(spark, sf_dir, "supplier").select(F.col("s_name").alias("topic"), F.col("s_nationkey").alias("priority")), 25)

@@ -221,7 +221,20 @@ def _chunked(make):
     return run
 
 
-register("chunk_token")(_chunked(C.token_windows))
+register("chunk_token")(_chunked(lambda: C.token_windows(make_spans=C.bpe_spans())))
+register("chunk_words")(_chunked(C.token_windows))
+
+
+@register("token_count")
+def token_count(spark, sf_dir):
+    """Tokens of the public byte-level vocabulary in each text."""
+    ship(spark)
+    return C.token_counts(_docs(spark, sf_dir))
+
+
+@register("url_quote", "select item_id, 'https://example.org/screen?query=' || replace(url_encode(text), '%2F', '/') || '&limit=100' url from benchmark")
+def url_quote(spark, sf_dir):
+    return table(spark, sf_dir, "benchmark").select("item_id", T.screen_url(F.col("text"), "https://example.org/screen").alias("url"))
 register("chunk_recursive")(_chunked(C.recursive))
 register("chunk_slide")(_chunked(C.slides))
 register("chunk_section")(_chunked(C.sections))

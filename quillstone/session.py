@@ -34,6 +34,29 @@ def local_session(cores: int | None = None, shuffle_partitions: int | None = Non
 
 
 _SHIPPED: set[str] = set()
+_LOCAL_DIRS: list[str] = []
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as the cluster names it in spark.checkpoint.dir.
+
+    A folder of our own is made only where the setting is absent and the master is a
+    single JVM, as in tests.
+    """
+    import atexit
+    import shutil
+    import tempfile
+
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    if not _LOCAL_DIRS:
+        _LOCAL_DIRS.append(tempfile.mkdtemp(prefix="quillstone-"))
+        atexit.register(shutil.rmtree, _LOCAL_DIRS[0], True)
+    return _LOCAL_DIRS[0]
 
 
 def ship(spark: SparkSession) -> None:

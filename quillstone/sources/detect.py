@@ -24,13 +24,13 @@ def document_type(content_type: Column, name: Column, content: Column) -> Column
     """By header, else extension, else first bytes, else txt."""
     kind = F.lower(content_type)
     head = F.upper(F.hex(F.substring(content, 1, 8)))
-    inside = lambda s: F.instr(F.hex(content), s.encode().hex().upper()) > 0
+    inside = lambda s: F.contains(content, F.lit(bytearray(s.encode())))  # noqa: E731  of bytes, so never across a half of one
     zipped = F.when(inside("word/"), "docx").when(inside("ppt/"), "pptx").when(inside("xl/"), "xlsx").otherwise("zip")
-    top = F.hex(F.substring(content, 1, 1000))
+    top = F.substring(content, 1, 1000)
     magic = F.when(head.startswith("25504446"), "pdf").when(head.startswith("504B0304"), zipped)
     for m in IMAGE_MAGIC:
         magic = magic.when(head.startswith(m), "image")
-    magic = magic.when((F.instr(top, b"From:".hex().upper()) > 0) | (F.instr(top, b"To:".hex().upper()) > 0), "eml").otherwise("txt")
+    magic = magic.when(F.contains(top, F.lit(bytearray(b"From:"))) | F.contains(top, F.lit(bytearray(b"To:"))), "eml").otherwise("txt")
     by_name = F.create_map(*[F.lit(x) for pair in EXTENSIONS.items() for x in pair])[extension(name)]
     by_header = F.lit(None).cast("string")
     for part, found in reversed(HEADER_PARTS):

@@ -26,11 +26,12 @@ def scan(spark: SparkSession, path: str, glob: str | None = None, largest: int =
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    files = reader.load(path)
-    big = F.col("length") > largest
     kind = document_type(F.lit(None).cast("string"), F.col("path"), F.col("content"))
     marked = F.when(F.lower("path").rlike(r"\.x?html?$"), "html").when(F.lower("path").endswith(".epub"), "epub").otherwise(kind)
-    return files.select("path", F.col("length").alias("size"), F.when(big, "oversize").otherwise(marked).alias("kind"), F.when(~big, F.col("content")).alias("content"))
+    # two scans: the length is pushed down, and a file over the source's 2 GB is never opened, as its content isn't asked for
+    read = reader.load(path).where(F.col("length") <= largest).select("path", F.col("length").alias("size"), marked.alias("kind"), "content")
+    big = reader.load(path).where(F.col("length") > largest).select("path", F.col("length").alias("size"), F.lit("oversize").alias("kind"), F.lit(None).cast("binary").alias("content"))
+    return read.unionByName(big)
 
 
 def _local(tag: str) -> str:

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillstone.session import shared_dir
+
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
@@ -72,8 +74,22 @@ def key_health(events: DataFrame) -> DataFrame:
 
 
 def drain(stream: DataFrame, mode: str = "complete") -> DataFrame:
-    """Runs a stream over what is there and gives its result table."""
-    name = f"drained_{uuid.uuid4().hex}"
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    """Runs a stream over what is there and gives its result table.
+
+    Results and the stream's state lie in the shared folder, a folder a batch, so a batch that is run
+    again replaces itself and nothing gathers on the driver. In mode complete the last batch is the result.
+    """
+    spark = stream.sparkSession
+    top = f"{shared_dir(spark)}/drained-{uuid.uuid4().hex}"
+    batches: list[int] = []
+
+    def keep(found: DataFrame, number: int) -> None:
+        found.write.mode("overwrite").parquet(f"{top}/out/{number}")
+        batches.append(number)
+
+    query = stream.writeStream.foreachBatch(keep).option("checkpointLocation", f"{top}/state").outputMode(mode).trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    wanted = sorted(set(batches))[-1:] if mode == "complete" else sorted(set(batches))
+    if not wanted:
+        return spark.createDataFrame([], stream.schema)
+    return spark.read.schema(stream.schema).parquet(*[f"{top}/out/{n}" for n in wanted])

@@ -354,3 +354,61 @@ def test_more_stores(spark, tmp_path):
     assert files.texts(spark, str(tmp_path / "t")).first()["content"] == "line" and files.listing(spark, str(tmp_path / "t"), "*.txt").count() == 1
     (tmp_path / "p.html").write_text("<title>T</title><script>x</script><p>a&amp;b</p>")
     assert files.pages(files.scan(spark, str(tmp_path), "*.html")).first()["content"] == "T\na&b"
+
+
+def test_marks_of_files_are_bytes(spark):
+    """Half-byte matches are none: these bytes hold the marks' hex digits only shifted by one digit."""
+    rows = [(bytes.fromhex("504B0304" + "0776F72642F0"), "zip"), (bytes.fromhex("0467 26F6 D3A0".replace(" ", "")), "txt"), (b"PK\x03\x04..word/x", "docx"), (b"X\nFrom: a", "eml")]
+    df = spark.createDataFrame([(bytearray(b), k) for b, k in rows], "b binary, k string")
+    assert all(r["k"] == r["x"] for r in df.withColumn("x", detect.document_type(F.lit(None).cast("string"), F.lit("a"), F.col("b"))).collect())
+
+
+def test_token_counts_are_the_librarys(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    got = {r["doc_id"]: r["tokens"] for r in chunks.token_counts(docs).collect()}
+    assert got == {d: len(whole.encode(t, add_special_tokens=False).ids) for d, t in texts.items()}
+
+
+def test_url_quoting_is_the_standard_one(spark):
+    from urllib.parse import quote
+
+    for text in ("a b/c?d=e&f", "Market Cap > 500 AND x*y~z", "ünï 漢", "", "+%20"):
+        assert one(spark, T.url_quoted(F.col("t")), text) == quote(text)
+
+
+def test_streams_drain_to_shared_files(spark, tmp_path):
+    from quillstone.streaming import streams
+
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    events.repartition(3).write.parquet(str(tmp_path / "in"))
+    stream = streams.event_stream(spark, str(tmp_path / "in"), "*.parquet")
+    capped = streams.drain(streams.rate_cap(stream), "append")
+    assert capped.count() == events.count() and capped.inputFiles()
+    assert streams.drain(streams.window_counts(stream)).groupBy().sum("n").first()[0] == events.count()
+
+
+def test_rate_cap_and_key_health_are_a_plain_replay(spark):
+    from quillstone.plans import catalog, library  # noqa: F401
+
+    rows = sorted(spark.read.parquet("/root/testdata/sf0.001/events.parquet").collect(), key=lambda r: (r["ts"], r["event_id"]))
+    begun, used, allowed, streak, until, healthy = {}, {}, {}, {}, {}, {}
+    for r in rows:
+        u, now = r["user_id"], r["ts"].timestamp()
+        if u not in begun or now - begun[u] >= 60:
+            begun[u], used[u] = now, 0
+        used[u] += 1
+        allowed[r["event_id"]] = used[u] <= 60
+        healthy[r["event_id"]] = streak.get(u, 0) < 3 and now >= until.get(u, 0)
+        if r["event_type"] == "error":
+            streak[u] = streak.get(u, 0) + 1
+            until[u] = now + 60 * min(2 * streak[u], 30)
+        else:
+            streak[u] = 0
+    run = lambda name: catalog.QUERIES[name].run(spark, "/root/testdata/sf0.001").collect()
+    assert {r["event_id"]: r["allowed"] for r in run("stream_rate_cap")} == allowed
+    assert {r["event_id"]: r["healthy"] for r in run("stream_key_health")} == healthy
