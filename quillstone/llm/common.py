@@ -4,18 +4,15 @@ from __future__ import annotations
 
 import contextlib
 import math
-import shutil
-import tempfile
 import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.session import ship
+from quillstone.session import shared_dir, ship
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_LOCAL_DIRS: list[str] = []
 
 
 def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
@@ -70,26 +67,6 @@ def lower_ascii(column: Column) -> Column:
     return F.translate(column, UPPER, LOWER)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the cluster names it in spark.checkpoint.dir.
-
-    A folder of our own is made only where the setting is absent and the master is a
-    single JVM, as in tests.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    master = spark.sparkContext.master
-    if not (master == "local" or master.startswith("local[")):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-    if not _LOCAL_DIRS:
-        _LOCAL_DIRS.append(tempfile.mkdtemp(prefix="quillstone-"))
-        import atexit
-
-        atexit.register(shutil.rmtree, _LOCAL_DIRS[0], True)
-    return _LOCAL_DIRS[0]
-
-
 def cut(df: DataFrame) -> DataFrame:
     """Eager, reliable checkpoint in the shared folder: survives lost executors and ends the lineage."""
     context = df.sparkSession.sparkContext
