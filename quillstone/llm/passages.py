@@ -12,7 +12,7 @@ Windows meet where the least hash and the shingle ``CONTEXT`` places beside it a
 texts share don't meet. Within such a group every window is paired with that of the
 least document id, where both, aligned at c, hold a stretch that is long enough: a passage
 in a thousand documents gives 999 pairs. A pair is verified from ``ENOUGH`` votes on: one for
-each function that agrees, one for each run of 12 shingles that ends or begins at c.
+each function that agrees, one for each run of 10 shingles that ends or begins at c.
 Windows that are unlike the least document's on a side (runs of ``SIDES`` shingles) meet the
 least of those that have the same run there, so a document that shares a line or a
 template only doesn't stand between two that share more. Where the verification still leaves a window
@@ -50,7 +50,7 @@ WORDS = 5
 SHORTEST = 46  #: shingles: 50 words
 HASHES = 5
 CONTEXT = 2
-SIDES = (12, 23)  #: shingles of the runs beside c; the longest fits a half of any run of SHORTEST that holds c
+SIDES = (10, 23)  #: shingles of the runs beside c; the longest fits a half of any run of SHORTEST that holds c
 ENOUGH = 2
 SIMILAR = 0.8
 GAP = 2 * WORDS
