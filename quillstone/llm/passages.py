@@ -148,12 +148,12 @@ def _minima(hashed: np.ndarray, longest: int) -> list[np.ndarray]:
     return out
 
 
-def _tops(minima: list[np.ndarray], first: np.ndarray, last: np.ndarray, shortest: int, reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _tops(minima: list[np.ndarray], first: np.ndarray, last: np.ndarray, shortest: int, reach: int, extents: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(c, before, beyond) of the compact windows: the nodes of the Cartesian trees over at least ``shortest`` places.
 
     ``first`` and ``last`` bound the text that each place belongs to. A node is the least of
     some stretch of exactly ``shortest`` places; how far it stays the least is found by
-    halving steps, up to ``reach`` places on either side.
+    halving steps, up to ``reach`` places on either side (0 where ``extents`` aren't asked for).
     """
     values, n = minima[0], len(minima[0])
     none = np.empty(0, np.int64)
@@ -169,7 +169,7 @@ def _tops(minima: list[np.ndarray], first: np.ndarray, last: np.ndarray, shortes
     c = start + ((least[start].view(np.int64) - start) & low)
     c = c[np.concatenate([[True], c[1:] != c[:-1]])]  # the least place never goes back as the stretch goes on
     own, before, beyond = values[c], np.zeros(len(c), np.int64), np.zeros(len(c), np.int64)
-    for k in range(len(minima) - 1, -1, -1):
+    for k in range(len(minima) - 1, -1, -1) if extents else ():
         step, table = 1 << k, minima[k]
         to = c - before - step
         before += step * ((to >= first[c]) & (before + step <= reach) & (table[np.maximum(to, 0)] > own))
@@ -234,7 +234,7 @@ def _windows(hashes: int, shortest: int, context: int, whole: bool):
             row = np.repeat(np.arange(len(sizes)), sizes)
             found = []
             for f in range(hashes):
-                c, before, beyond = _tops(_minima(mixed(tokens ^ SEEDS[f]), shortest), first, last, shortest, shortest)
+                c, before, beyond = _tops(_minima(mixed(tokens ^ SEEDS[f]), shortest), first, last, shortest, shortest, whole)
                 beside = c + context if f % 2 == 0 else c - context
                 inside = (beside >= first[c]) & (beside <= last[c])
                 c, beside, before, beyond = c[inside], beside[inside], before[inside], beyond[inside]
@@ -284,10 +284,17 @@ def _side(packed: str, i: int) -> Column:
 def _beside_first(met: DataFrame, keep) -> DataFrame:
     """Windows with those of the least document under their key; of keys of one document only, none."""
     firsts = met.groupBy("key").agg(F.min(F.struct("doc_id", "packed")).alias("first"), F.max("doc_id").alias("last")).where("last > first.doc_id")
-    firsts = keep(firsts.select("key", F.col("first.doc_id").alias("first_id"), F.col("first.packed").alias("first_packed"), "last"), "firsts")
+    firsts = keep(firsts.select("key", F.col("first.doc_id").alias("first_id"), F.col("first.packed").alias("first_packed")), "firsts")
     return met.join(firsts, "key").where(F.col("doc_id") != F.col("first_id"))
 
 
+def _groups(texts: DataFrame, keep, hashes: int, shortest: int, context: int) -> DataFrame:
+    """The table of windows beside their group's first, which all later steps read; what it is made from goes."""
+    with contextlib.ExitStack() as release:
+        passing = lambda df, like: release.enter_context(spilled(df, like))
+        return keep(_beside_first(_met(texts, passing, hashes, shortest, context), passing), "beside")
+
+
 def _pairs(beside: DataFrame, keep, shortest: int, similar: float, enough: int) -> DataFrame:
     """(doc_id, first_id): documents to verify, from agreeing windows that overlap when aligned at c.
 
@@ -312,8 +319,7 @@ def candidates(docs: DataFrame, hashes: int = HASHES, shortest: int = SHORTEST,
     """(doc_id, first_id): pairs of documents to verify at first, first_id < doc_id."""
     with contextlib.ExitStack() as tables:
         keep = lambda df, like: tables.enter_context(spilled(df, like))
-        met = _met(_texts(docs), keep, hashes, shortest, context)
-        return cut(_pairs(_beside_first(met, keep), keep, shortest, similar, enough))
+        return cut(_pairs(_groups(_texts(docs), keep, hashes, shortest, context), keep, shortest, similar, enough))
 
 
 def _grams(shortest: int):
@@ -515,6 +521,9 @@ def _verified(shortest: int, similar: float):
                 for doc_id, first_id, text, first_text in zip(*(part.column(i).to_pylist() for i in range(4)), strict=True):
                     if first_id != now:
                         now, theirs = first_id, shingles(first_text)
+                    if text == first_text:  # the whole of an exact copy
+                        rows += [(doc_id, first_id, 0, len(theirs) + WORDS - 1, 1.0)] * (len(theirs) >= shortest)
+                        continue
                     for lo, hi, likeness in stretches(shingles(text), theirs, shortest, similar):
                         rows.append((doc_id, first_id, lo, hi - lo + WORDS, likeness))
                 cols = list(zip(*rows, strict=True)) or [[]] * 5
@@ -535,8 +544,7 @@ def repeats(docs: DataFrame, hashes: int = HASHES, shortest: int = SHORTEST, con
 
     with contextlib.ExitStack() as tables:
         keep = lambda df, like: tables.enter_context(spilled(df, like))
-        met = _met(texts, keep, hashes, shortest, context)
-        beside = _beside_first(met, keep)
+        beside = _groups(texts, keep, hashes, shortest, context)
         with contextlib.ExitStack() as release:
             pairs = keep(_pairs(beside, lambda df, like: release.enter_context(spilled(df, like)), shortest, similar, enough), "pairs")
         found = keep(verified(pairs), "found")
