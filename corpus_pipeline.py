@@ -19,7 +19,7 @@ from quillstone.session import ship
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, so without a language, go."""
+    """Documents that are in none of the learned languages go; where lang is null it becomes the predicted one."""
     ship(spark)
     return langid.identified(docs, langid.learn(docs))
 
