@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quillstone.session import ship
 
-from . import fm, jpeg, langid, licenses, mixing, packing, passages, simhash, spotsigs, urls
+from . import fm, jpeg, langid, licenses, mixing, negatives, packing, passages, simhash, spotsigs, urls, vafile
 from .common import documents
 
 
@@ -62,6 +62,14 @@ def op10_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.repeats(documents(spark, sf_dir))
 
 
+def op11_va_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vafile.compress(documents(spark, sf_dir, "embeddings"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.hard_negatives(documents(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -88,6 +96,8 @@ OPERATORS = (
     op8_cross_parsing,
     op9_simhash_pigeonring,
     op10_compact_windows,
+    op11_va_file,
+    op13_hard_negatives,
     pipeline,
 )
 
@@ -97,4 +107,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_trust": urls.oracle()}
+    return {"op1_url_trust": urls.oracle(), "op11_va_file": vafile.oracle(), "op13_hard_negatives": negatives.oracle()}
