@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quillstone.session import ship
 
-from . import fm, jpeg, langid, licenses, mixing, negatives, packing, passages, simhash, spotsigs, urls, vafile
+from . import attention, fm, jpeg, langid, licenses, mixing, negatives, packing, passages, simhash, spotsigs, urls, vafile
 from .common import documents
 
 
@@ -66,6 +66,10 @@ def op11_va_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vafile.compress(documents(spark, sf_dir, "embeddings"))
 
 
+def op12_attention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return attention.score(documents(spark, sf_dir))
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.hard_negatives(documents(spark, sf_dir, "embeddings"))
 
@@ -97,6 +101,7 @@ OPERATORS = (
     op9_simhash_pigeonring,
     op10_compact_windows,
     op11_va_file,
+    op12_attention,
     op13_hard_negatives,
     pipeline,
 )
