@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from quillstone.plans import finance, graphs, retrieval, texts  # noqa: F401
+from quillstone.plans import finance, graphs, pipelines, retrieval, texts  # noqa: F401

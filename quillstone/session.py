@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Settings that change results, so they hold on any cluster.
 SEMANTICS = {
@@ -75,3 +75,11 @@ def ship(spark: SparkSession) -> None:
             packed.write(path, f"{root.name}/{path.relative_to(root)}")
     spark.sparkContext.addPyFile(str(target))
     _SHIPPED.add(application)
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Eager, reliable checkpoint in the shared folder: what several steps read is worked out once, and lost executors are survived."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_dir(df.sparkSession))
+    return df.checkpoint(eager=True)
