@@ -7,6 +7,9 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillstone.operators.solvers import Graph, eigenvectors, harmonic, poisson
+from quillstone.session import cut
+
 
 def adjacency(member: DataFrame) -> DataFrame:
     """member (text_id, k) to symmetric (k1, k2, weight): texts that hold both keywords."""
@@ -106,3 +109,42 @@ def drop_near_copies(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
     a, b = sizes.select(F.col("id").alias("a"), F.col("tokens").alias("ta")), sizes.select(F.col("id").alias("b"), F.col("tokens").alias("tb"))
     gone = pairs.join(a, "a").join(b, "b").select(F.when(F.col("ta") >= F.col("tb"), F.col("a")).otherwise(F.col("b")).alias("id")).distinct()
     return sizes.join(gone, "id", "left_anti")
+
+
+def spectral_clusters(graph: Graph, k: int, form: str = "normalized", extra: int = 5, **kind) -> DataFrame:
+    """(id, cluster) of every node: k-means over the k + extra smallest eigenvectors; for "normalized" each node's coordinates have length one."""
+    found = eigenvectors(graph, k + extra, form, **kind).vectors
+    if form == "normalized":
+        length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
+        found = found.withColumn("length", length).select("node", F.when(F.col("length") > 0, F.transform("v", lambda x: x / F.col("length"))).otherwise(F.col("v")).alias("v"))
+    return k_means(found.select(F.col("node").alias("id"), "v"), k)
+
+
+def learn_labels(graph: Graph, seeds: DataFrame, method: str = "laplace", at_once: int = 16, **kind) -> DataFrame:
+    """(node, label, u) of every node: the label whose column is greatest, ties to the least label; without seeds no rows.
+
+    seeds (node, label); a node with several labels counts as the least. "laplace": each label's column is harmonic,
+    1 at its own seeds and 0 at the others'. "poisson": each column solves the Poisson equation whose source is, at
+    the seeds, 1 for its own less the label's share of all seeds. Columns are solved ``at_once``.
+    """
+    if method not in ("laplace", "poisson"):
+        raise ValueError(f"unknown method {method!r}")
+    own = cut(seeds.where("label is not null").groupBy("node").agg(F.min("label").alias("label")).join(graph.degrees.select("node"), "node", "left_semi"))
+    counts = {r["label"]: r["n"] for r in own.groupBy("label").agg(F.count("*").alias("n")).collect()}  # a row for each label
+    labels, whole = sorted(counts), sum(counts.values())
+    best = None
+    for i in range(0, len(labels), at_once):
+        part = labels[i : i + at_once]
+        names = [f"c{i + j}" for j in range(len(part))]
+        hit = [(F.col("label") == F.lit(x)).cast("double") for x in part]
+        if method == "laplace":
+            solved = harmonic(graph, own.select("node", *[h.alias(c) for h, c in zip(hit, names, strict=True)]), names, **kind)
+        else:
+            solved = poisson(graph, own.select("node", *[(h - F.lit(counts[x] / whole)).alias(c) for h, c, x in zip(hit, names, part, strict=True)]), names, **kind)
+        # rounded, so that solver noise decides no tie; the least label of the greatest value
+        each = [F.struct(F.round(c, 9).alias("u"), F.lit(-(i + j)).alias("turn"), F.lit(x).alias("label")) for j, (c, x) in enumerate(zip(names, part, strict=True))]
+        top = solved.values.select("node", (F.greatest(*each) if len(each) > 1 else each[0]).alias("best"))
+        best = top if best is None else best.join(top.withColumnRenamed("best", "other"), "node").select("node", F.greatest("best", "other").alias("best"))
+    if best is None:
+        return own.select("node", "label", F.lit(0.0).alias("u"))
+    return best.select("node", "best.label", "best.u")
