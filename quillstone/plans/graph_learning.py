@@ -5,13 +5,16 @@ Every row is asked for its neighbours; a pivot index saves comparing all pairs w
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quillstone.functions import pivots
 from quillstone.operators import graph as G
 from quillstone.operators import solvers
 from quillstone.plans.catalog import register
+from quillstone.plans.graphs import _KEYWORDS, _numbered_members
 from quillstone.plans.retrieval import STEP, _sim
+from quillstone.session import cut
 from quillstone.sources.tables import table
 
 NEIGHBOURS = 10
@@ -83,3 +86,72 @@ def _learned(method: str):
 
 for _method in ("laplace", "poisson"):
     register(f"{_method}_learning")(_learned(_method))
+
+
+# --- texts and keywords: neighbours either way, trusted and negative texts ---
+
+NEAR, FAR, OF_TEXT = 5, 15, 5
+
+
+def _keywords(spark, sf_dir):
+    """(id, k, v): the mean of the unit vectors of the texts that hold a keyword, for keywords of at least two such texts.
+
+    A keyword's number is 16 times the least text that holds it, plus its place there, so no two have the same.
+    """
+    members = _numbered_members(spark, sf_dir)
+    rows = _rows(spark, sf_dir).select(F.col("id").alias("text_id"), F.col("v").cast("array<double>").alias("v"))
+    length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
+    parts = members.join(rows, "text_id").withColumn("length", length).where("length > 0")
+    parts = parts.select("k", F.expr("text_id * 16 + r").alias("at"), "text_id", F.posexplode(F.transform("v", lambda x: x / F.col("length"))).alias("i", "x"))
+    means = parts.groupBy("k", "i").agg(F.round(F.avg("x"), 9).alias("x"), F.min("at").alias("id"), F.count("*").alias("n")).where("n >= 2")
+    return means.groupBy("k", "id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda p: p["x"]).alias("v"))
+
+
+_VECTORS = (
+    _KEYWORDS.replace("m as (select text_id, k from (", "m as (select text_id, k, r from (")
+    + """,
+u as (select vec_id text_id, list_transform(embedding::double[], lambda x: x / sqrt(list_sum(list_transform(embedding::double[], lambda y: y * y)))) v from embeddings),
+pt as (select k, text_id * 16 + r as kid, unnest(v) x, unnest(range(len(v))) i from m join u using (text_id)),
+mv as (select k, i, round(avg(x), 9) x, min(kid) id from pt group by k, i having count(*) >= 2),
+kv as materialized (select k, id, list(x order by i) v from mv group by k, id),
+sk as materialized (select k, kv.id kid, vec_id text_id, round(list_cosine_similarity(kv.v, embedding::double[]), 6) score from kv, embeddings)"""
+)
+
+
+@register(
+    "keyword_trust",
+    _VECTORS
+    + f""",
+a as (select k, text_id, score, row_number() over (partition by kid order by score desc, text_id) n, row_number() over (partition by kid order by score, text_id) f from sk)
+select k, text_id, 0 label, n as rank, score from a where n <= {NEAR} union all select k, text_id, 1, f, score from a where f <= {FAR}""",
+)
+def keyword_trust(spark, sf_dir):
+    """Of each keyword the nearest texts, and the farthest: those nearest to the opposite of its vector."""
+    own = cut(_keywords(spark, sf_dir))
+    index = pivots.build(_rows(spark, sf_dir))
+    near = pivots.search(own.select("id", "v"), index, NEAR).found.withColumn("label", F.lit(0))
+    far = pivots.search(own.select("id", F.transform("v", lambda x: -x).alias("v")), index, FAR).found.withColumns({"score": -F.col("score") + F.lit(0.0), "label": F.lit(1)})
+    found = near.unionByName(far).withColumnRenamed("id", "text_id")
+    return found.join(own.select(F.col("id").alias("qid"), "k"), "qid").select("k", "text_id", "label", "rank", "score")
+
+
+@register(
+    "text_keywords",
+    _VECTORS
+    + f""",
+a as (select text_id, k, score, row_number() over (partition by text_id order by score desc, kid) as rank from sk),
+t as (select *, acos(greatest(-1.0, least(1.0, score))) d from a where rank <= {OF_TEXT}),
+w as (select *, d * d dd, max(d * d) over (partition by text_id) far from t),
+p as (select *, case when far > 0 then exp(-4 * dd / far) else 1.0 end weight from w)
+select text_id, k, rank, score, round(weight / sum(weight) over (partition by text_id), 6) prob from p""",
+)
+def text_keywords(spark, sf_dir):
+    """Of each text the nearest keywords by angle, and their share of the text."""
+    own = cut(_keywords(spark, sf_dir))
+    found = pivots.search(_rows(spark, sf_dir), pivots.build(own.select("id", "v")), OF_TEXT).found.withColumnRenamed("qid", "text_id")
+    square = F.pow(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("score")))), 2)
+    text = Window.partitionBy("text_id")
+    found = found.withColumn("dd", square).withColumn("far", F.max("dd").over(text))
+    found = found.withColumn("weight", F.when(F.col("far") > 0, F.exp(-4 * F.col("dd") / F.col("far"))).otherwise(F.lit(1.0)))
+    found = found.withColumn("prob", F.round(F.col("weight") / F.sum("weight").over(text), 6))
+    return found.join(own.select("id", "k"), "id").select("text_id", "k", "rank", "score", "prob")

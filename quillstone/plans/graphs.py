@@ -14,9 +14,9 @@ from quillstone.plans.catalog import register
 from quillstone.session import ship
 from quillstone.sources import stores
 from quillstone.sources.tables import table
-from quillstone.streaming import streams
+from quillstone.streaming import ordered, streams
 
-#: A keyword is a lower-cased word of at least 5 characters that stands in 2 to 50 documents; each text trusts its 8 most frequent of those.
+#: A keyword is a lower-cased word of at least 5 characters that stands in at least 2 documents and at most a fifth of them; each text trusts its 8 most frequent of those.
 _KEYWORDS = r"""with t as (select doc_id text_id, unnest(list_distinct(list_filter(regexp_split_to_array(lower(text), '[ \t\n\r]+'), lambda w: length(w) >= 5))) k from documents where text is not null),
 f as (select k, count(*) df from t group by k having count(*) >= 2 and count(*) <= greatest(2, 0.2 * (select count(*) from documents where text is not null))),
 m as (select text_id, k from (select text_id, k, row_number() over (partition by text_id order by df desc, k) r from t join f using (k)) where r <= 8),
@@ -24,13 +24,18 @@ e as (select a.k k1, b.k k2, count(*) weight from m a join m b on a.text_id = b.
 
 
 def _members(spark, sf_dir):
+    return _numbered_members(spark, sf_dir).select("text_id", "k")
+
+
+def _numbered_members(spark, sf_dir):
+    """(text_id, k, r): the keywords that each text trusts, by place."""
     words = F.array_distinct(F.filter(F.split(F.lower("text"), r"[ \t\n\r]+"), lambda w: F.length(w) >= 5))
     t = table(spark, sf_dir, "documents").where("text is not null").select(F.col("doc_id").alias("text_id"), F.explode(words).alias("k"))
     # a bound that grows with the corpus: words of more than a fifth of the texts connect everything
     n = table(spark, sf_dir, "documents").where("text is not null").count()
     kept = t.groupBy("k").agg(F.count("*").alias("df")).where((F.col("df") >= 2) & (F.col("df") <= F.greatest(F.lit(2.0), F.lit(n) * F.lit(0.2))))
     trusted = Window.partitionBy("text_id").orderBy(F.col("df").desc(), "k")
-    return t.join(kept, "k").withColumn("r", F.row_number().over(trusted)).where("r <= 8").select("text_id", "k")
+    return t.join(kept, "k").withColumn("r", F.row_number().over(trusted)).where("r <= 8").select("text_id", "k", "r")
 
 
 def _strong(spark, sf_dir):
@@ -211,3 +216,34 @@ def stream_rate_cap(spark, sf_dir):
 @register("stream_key_health")
 def stream_key_health(spark, sf_dir):
     return streams.drain(streams.key_health(streams.event_stream(spark, sf_dir)), "append")
+
+
+_CLOSED = "select * from events where ts <= (select max(ts) from events) - interval 1 hour"
+
+
+@register(
+    "stream_ordered_health",
+    f"""with o as (select *, event_type in ('error', 'rate_error') bad, row_number() over (partition by user_id order by ts, event_id) i from ({_CLOSED})),
+g as (select *, sum(case when bad then 0 else 1 end) over (partition by user_id order by i rows between unbounded preceding and 1 preceding) island from o),
+s as (select *, count(*) filter (bad) over (partition by user_id, coalesce(island, 0) order by i rows between unbounded preceding and 1 preceding) streak from g),
+u as (select *, case when bad then epoch_us(ts) / 1e6 + 60 * least(2 * (streak + 1), 30) end until from s),
+l as (select *, last_value(until ignore nulls) over (partition by user_id order by i rows between unbounded preceding and 1 preceding) cool from u)
+select user_id, event_id, streak < 3 and epoch_us(ts) / 1e6 >= coalesce(cool, 0) healthy from l""",
+)
+def stream_ordered_health(spark, sf_dir):
+    """Each key's state just before each event that the watermark has passed, in the order of time."""
+    found = streams.drain(ordered.in_order(streams.event_stream(spark, sf_dir), ordered.KEY_HEALTH), "append")
+    return found.withColumnRenamed("answer", "healthy")
+
+
+@register(
+    "stream_ordered_cap",
+    f"""with recursive o as (select *, row_number() over (partition by user_id order by ts, event_id) i from ({_CLOSED})),
+r as (select user_id, event_id, i, ts begun, 1 used from o where i = 1
+  union all select o.user_id, o.event_id, o.i, case when o.ts - r.begun >= interval 60 seconds then o.ts else r.begun end, case when o.ts - r.begun >= interval 60 seconds then 1 else r.used + 1 end
+  from r join o on o.user_id = r.user_id and o.i = r.i + 1)
+select user_id, event_id, used <= 60 allowed from r""",
+)
+def stream_ordered_cap(spark, sf_dir):
+    found = streams.drain(ordered.in_order(streams.event_stream(spark, sf_dir), ordered.RATE_CAP), "append")
+    return found.withColumnRenamed("answer", "allowed")

@@ -114,27 +114,30 @@ def eml(data: bytes) -> list[Row]:
 
 
 def pdf(data: bytes) -> list[Row]:
-    """Pages of simple PDFs: the shown strings of each content stream. Fonts with codes of their own are not mapped."""
-    out: list[Row] = []
+    """Pages with text; in a file without a page tree, every content stream is one."""
+    from quillstone.sources import pdf as P
+
+    try:
+        found = P.pages(data)
+    except P.Unreadable as bad:
+        if "encrypted" in str(bad):
+            raise
+        found = _loose_streams(data)
+    return [(i, "page", x) for i, x in enumerate(found, 1) if x]
+
+
+def _loose_streams(data: bytes) -> list[str]:
+    from quillstone.sources import pdf as P
+
+    out = []
     for m in re.finditer(rb"stream\r?\n(.*?)\r?\nendstream", data, re.S):
-        raw = m.group(1)
         try:
-            raw = zlib.decompress(raw)
+            body = zlib.decompress(m.group(1))
         except zlib.error:
-            pass
-        if b"BT" not in raw:
-            continue
-        shown = []
-        for op in re.finditer(rb"\[((?:[^\]\\]|\\.)*)\]\s*TJ|\(((?:[^()\\]|\\.)*)\)\s*(?:Tj|')|(T\*|Td|TD|ET)", raw, re.S):
-            if op.group(3):
-                shown.append(b"\n")
-            else:
-                strings = [op.group(2)] if op.group(2) is not None else re.findall(rb"\(((?:[^()\\]|\\.)*)\)", op.group(1))
-                shown += [re.sub(rb"\\([()\\])", rb"\1", s) for s in strings]
-        content = re.sub(r"\n{2,}", "\n", b"".join(shown).decode("latin-1")).strip()
-        if content:
-            out.append((len(out) + 1, "page", content))
-    return out
+            body = m.group(1)
+        if b"BT" in body:
+            out.append(P.shown(body, {}))
+    return [x for x in out if x]
 
 
 def image(data: bytes) -> list[Row]:
@@ -160,16 +163,20 @@ def epub(data: bytes) -> list[Row]:
 PARSERS = {"html": html, "epub": epub, "txt": txt, "docx": docx, "pptx": pptx, "xlsx": xlsx, "eml": eml, "pdf": pdf, "image": image}
 
 
+def parsed(kind: str, data: bytes | None) -> list[tuple]:
+    """(kind, number, part, content, error) of a file; what can't be read is one row with an error."""
+    try:
+        rows = [(kind, n, part, content, None) for n, part, content in PARSERS[kind](data or b"")]
+        return rows or [(kind, None, None, None, "no content")]
+    except (KeyError, ValueError, IndexError, TypeError, zipfile.BadZipFile, ElementTree.ParseError, LookupError, zlib.error) as bad:
+        return [(kind, None, None, None, f"{type(bad).__name__}: {bad}")]
+
+
 def _pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["path", "kind", "number", "part", "content", "error"]
     for batch in batches:
         for path, kind, data in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            try:
-                rows = [(path, kind, n, part, content, None) for n, part, content in PARSERS[kind](data or b"")]
-                rows = rows or [(path, kind, None, None, None, "no content")]
-            except (KeyError, ValueError, IndexError, zipfile.BadZipFile, ElementTree.ParseError, LookupError) as bad:
-                rows = [(path, kind, None, None, None, f"{type(bad).__name__}: {bad}")]
-            cols = list(zip(*rows, strict=True))
+            cols = list(zip(*[(path, *row) for row in parsed(kind, data)], strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if i == 2 else pa.string()) for i, c in enumerate(cols)], names=names)
 
 
