@@ -54,7 +54,7 @@ SIDES = (10, 23)  #: shingles of the runs beside c; the longest fits a half of a
 ENOUGH = 2
 SIMILAR = 0.8
 GAP = 2 * WORDS
-LOOK_BACK = 500  #: runs that a chain may leave out on end
+LOOK_BACK = 500  #: runs overlapping in the earlier text that a chain may leave out on end
 _PLACE_BITS, _SIDE_BITS = 24, 13
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -386,36 +386,70 @@ def _followed(a: np.ndarray, b: np.ndarray, places: np.ndarray, in_b: np.ndarray
     return np.array(at, np.int64)
 
 
-def _chained(p: list[int], q: list[int], n: list[int]) -> tuple[list[int], int]:
-    """The runs (places p in one text, q in the other, n long) of the weightiest chain in the order of both, and its shared places.
+class _Greatest:
+    """The greatest value among those put at places up to a given one, ties to the lesser number; log n a step."""
 
-    A gap costs little here, so a chain goes on where less than a tenth of the gap is shared on either side of it.
+    def __init__(self, size: int):
+        self.tree: list[tuple[float, int]] = [(-np.inf, 0)] * (size + 1)
+
+    def put(self, place: int, value: tuple[float, int]) -> None:
+        place += 1
+        while place < len(self.tree):
+            if value > self.tree[place]:
+                self.tree[place] = value
+            place += place & -place
+
+    def up_to(self, place: int) -> tuple[float, int]:
+        place, best = place + 1, (-np.inf, 0)
+        while place:
+            best = max(best, self.tree[place])
+            place &= place - 1
+        return best
+
+
+def _chains(p: np.ndarray, q: np.ndarray, n: np.ndarray) -> tuple[list[tuple[list[int], int]], list[int]]:
+    """(chains, rest): chains of runs (places p in one text, q in the other, n long) in the order of both, each with its shared places, the weightiest first.
+
+    A gap costs little here, so a chain goes on where less than a tenth of the gap is shared on either side of it,
+    however many runs it leaves out. Of runs that overlap the next one in the other text the last ``LOOK_BACK`` are looked at. All chains come from one
+    table; the rest are runs whose way back leads into a weightier chain, which may be linked otherwise without it.
     """
-    weight, shared, back = [], [], []
-    starts, ends, lengths = np.array(p), np.array(p) + np.array(n), np.array(n)
-    other, others = np.array(q), np.array(q) + lengths
+    ends, others = p + n, q + n
+    sorted_others = np.unique(others)
+    place_of, before_of = np.searchsorted(sorted_others, others).tolist(), (np.searchsorted(sorted_others, q, "right") - 1).tolist()
+    weight, shared, back = n.astype(float), n.tolist(), [-1] * len(p)
+    apart = _Greatest(len(sorted_others))
     for j in range(len(p)):
-        weight.append(float(n[j]))
-        shared.append(n[j])
-        back.append(-1)
+        # runs that end in both texts before this one begins
+        worth, i = apart.up_to(before_of[j])
+        worth, i = worth - 0.1 * (p[j] + q[j]), -i
         lo = max(0, j - LOOK_BACK)
-        if lo == j:
-            continue
-        before = np.array(weight[lo:j])
-        apart = other[j] - others[lo:j]  # less than 0: b's sides overlap, as where a says twice what b says once
-        worth = before - 0.1 * (starts[j] - ends[lo:j] + np.maximum(apart, 0)) + np.minimum(apart, 0)
-        worth[(other[lo:j] >= other[j]) | (others[lo:j] >= others[j])] = -1.0
-        i = int(worth.argmax())
-        if worth[i] > 0:
-            weight[j] += float(worth[i])
-            shared[j] += shared[lo + i]
-            back[j] = lo + i
-    j = int(np.argmax(weight))
-    total, chain = shared[j], []
-    while j >= 0:
-        chain.append(j)
-        j = back[j]
-    return chain[::-1], total
+        if lo < j:  # runs that this one overlaps, as where a says twice what b says once
+            over = others[lo:j] - q[j]
+            there = (over > 0) & (q[lo:j] < q[j]) & (others[lo:j] < others[j])
+            if there.any():
+                each = np.where(there, weight[lo:j] - 0.1 * (p[j] - ends[lo:j]) - over, -np.inf)
+                best = int(each.argmax())
+                if each[best] > worth:
+                    worth, i = float(each[best]), lo + best
+        if worth > 0:
+            weight[j] += worth
+            shared[j] += shared[i]
+            back[j] = i
+        apart.put(place_of[j], (weight[j] + 0.1 * (ends[j] + others[j]), -j))
+    found, used, rest = [], [False] * len(p), []
+    for j in np.argsort(-weight, kind="stable").tolist():
+        chain, i = [], j
+        while i >= 0 and not used[i]:
+            chain.append(i)
+            i = back[i]
+        if i < 0 and chain:
+            found.append((chain[::-1], shared[j]))
+            for i in chain:
+                used[i] = True
+        elif chain:
+            rest.append(j)
+    return found, [j for j in sorted(rest) if not used[j]]
 
 
 def _longest(at: np.ndarray, to: np.ndarray, similar: float) -> tuple[int, int, int]:
@@ -475,12 +509,9 @@ def stretches(a: np.ndarray, b: np.ndarray, shortest: int = SHORTEST, similar: f
     starts = np.concatenate([[0], breaks])
     lengths = np.diff(np.concatenate([starts, [len(places)]]))
     while len(starts) and lengths.sum() >= fewest:
-        if len(starts) == 1:
-            chain, total = [0], int(lengths[0])
-        else:
-            chain, total = _chained(places[starts].tolist(), in_b[starts].tolist(), lengths.tolist())
-        inside = np.concatenate([np.arange(starts[i], starts[i] + lengths[i]) for i in chain])
-        todo = [inside] if total >= fewest else []
+        chains, rest = _chains(places[starts], in_b[starts], lengths)
+        chains = [chain for chain, total in chains if total >= fewest]
+        todo = [np.concatenate([np.arange(starts[i], starts[i] + lengths[i]) for i in chain]) for chain in chains]
         while todo:
             part = todo.pop()
             if len(part) < fewest or places[part[-1]] - places[part[0]] + 1 < shortest:
@@ -499,11 +530,9 @@ def stretches(a: np.ndarray, b: np.ndarray, shortest: int = SHORTEST, similar: f
             elif gaps.any():  # shingles that repeat count once, so it may differ after all; its parts may do
                 middle = lo + int(gaps.argmax()) + 1
                 todo += [part[lo:middle], part[middle : hi + 1]]
-        keep = np.ones(len(starts), bool)
-        keep[chain] = False
-        starts, lengths = starts[keep], lengths[keep]
-        if total < fewest:
+        if not chains:
             break
+        starts, lengths = starts[rest], lengths[rest]
     return sorted(found)
 
 
