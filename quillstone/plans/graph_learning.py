@@ -140,10 +140,10 @@ def keyword_trust(spark, sf_dir):
     _VECTORS
     + f""",
 a as (select text_id, k, score, row_number() over (partition by text_id order by score desc, kid) as rank from sk),
-t as (select *, acos(greatest(-1.0, least(1.0, score))) d from a where rank <= {OF_TEXT}),
-w as (select *, d * d dd, max(d * d) over (partition by text_id) far from t),
-p as (select *, case when far > 0 then exp(-4 * dd / far) else 1.0 end weight from w)
-select text_id, k, rank, score, round(weight / sum(weight) over (partition by text_id), 6) prob from p""",
+tt as (select *, acos(greatest(-1.0, least(1.0, score))) d from a where rank <= {OF_TEXT}),
+ww as (select *, d * d dd, max(d * d) over (partition by text_id) far from tt),
+pp as (select *, case when far > 0 then exp(-4 * dd / far) else 1.0 end weight from ww)
+select text_id, k, rank, score, round(weight / sum(weight) over (partition by text_id), 6) prob from pp""",
 )
 def text_keywords(spark, sf_dir):
     """Of each text the nearest keywords by angle, and their share of the text."""
