@@ -11,6 +11,22 @@ from quillstone.operators.solvers import Graph, eigenvectors, harmonic, poisson
 from quillstone.session import cut
 
 
+def trusted_keywords(texts: DataFrame, shortest: int = 5, least: int = 2, share: float = 0.2, each: int = 8) -> DataFrame:
+    """(text_id, k, r) of texts (text_id, text): the ``each`` keywords that most texts hold, of those in every text, by place.
+
+    A keyword is a lower-cased word of at least ``shortest`` characters in at least ``least`` texts and at most ``share`` of
+    them (or ``least``, if that is more): a bound that grows with the corpus, as words in most texts would connect everything.
+    Ties go by word. Texts that are null hold none and don't count.
+    """
+    texts = texts.where("text is not null")
+    words = F.array_distinct(F.filter(F.split(F.lower("text"), r"[ \t\n\r]+"), lambda w: F.length(w) >= shortest))
+    t = texts.select("text_id", F.explode(words).alias("k"))
+    n = texts.agg(F.count("*").alias("n"))  # one row, so the plan holds the count and no job runs before it
+    kept = t.groupBy("k").agg(F.count("*").alias("df")).where(F.col("df") >= least).crossJoin(F.broadcast(n)).where(F.col("df") <= F.greatest(F.lit(float(least)), F.col("n") * F.lit(share))).drop("n")
+    trusted = Window.partitionBy("text_id").orderBy(F.col("df").desc(), "k")
+    return t.join(kept, "k").withColumn("r", F.row_number().over(trusted)).where(F.col("r") <= each).select("text_id", "k", "r")
+
+
 def adjacency(member: DataFrame) -> DataFrame:
     """member (text_id, k) to symmetric (k1, k2, weight): texts that hold both keywords."""
     a, b = member.select("text_id", F.col("k").alias("k1")), member.select("text_id", F.col("k").alias("k2"))

@@ -35,7 +35,7 @@ class Graph:
         self.edges = both.repartition("b").persist(StorageLevel.MEMORY_AND_DISK)
         degree = self.edges.groupBy(F.col("a").alias("node")).agg(F.sum("weight").alias("degree"))
         if nodes is not None:
-            degree = nodes.select("node").distinct().join(degree, "node", "left").withColumn("degree", F.coalesce("degree", F.lit(0.0)))
+            degree = nodes.select("node").distinct().join(degree, "node", "outer").withColumn("degree", F.coalesce("degree", F.lit(0.0)))
         self.degrees = cut(degree)
 
     def __enter__(self) -> Graph:
@@ -50,6 +50,21 @@ class Graph:
         return self.edges.join(vectors.select(F.col("node").alias("b"), *columns), "b").groupBy(F.col("a").alias("node")).agg(*sums)
 
 
+    def parts(self, most: int = 200) -> DataFrame:
+        """(node, part): the least node that can be reached. Least labels go to neighbours, and each label to its own label, so that long ways take few rounds."""
+        now = cut(self.degrees.select("node", F.col("node").alias("part")))
+        for _ in range(most):
+            near = self.edges.join(now.select(F.col("node").alias("b"), "part"), "b").groupBy(F.col("a").alias("node")).agg(F.min("part").alias("near"))
+            after = now.join(near, "node", "left").select("node", "part", F.least("part", F.coalesce("near", "part")).alias("next"))
+            jump = now.select(F.col("node").alias("next"), F.col("part").alias("further"))
+            after = cut(after.join(jump, "next").select("node", "part", F.least("next", "further").alias("next")))
+            moved = not after.where("next <> part").isEmpty()
+            now = after.select("node", F.col("next").alias("part"))
+            if not moved:
+                return now
+        raise RuntimeError(f"no end of parts after {most} rounds")
+
+
 # --- eigenvectors ---
 
 FORMS = ("combinatorial", "randomwalk", "normalized")
@@ -260,13 +275,17 @@ def harmonic(graph: Graph, given: DataFrame, columns: list[str], tolerance: floa
 
 
 def poisson(graph: Graph, sources: DataFrame, columns: list[str], tolerance: float = 1e-8, most: int = 500) -> Solved:
-    """values (node, columns) with (D - W) u = source, for ``sources`` (node, columns) that add up to zero on each connected part.
+    """values (node, columns) with (D - W) u = source for ``sources`` (node, columns).
 
+    Only sources that add up to zero on a connected part have a solution there; what a part has over is taken off its nodes by degree.
     Of all solutions the one whose mean, weighted by degree, is zero on each part. Sources at nodes without neighbours are left out.
     """
     root = F.sqrt("degree")
+    given = graph.degrees.where("degree > 0").join(sources.select("node", *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(f"s_{c}") for c in columns]), "node", "left").join(graph.parts(), "node")
+    over = given.groupBy("part").agg(F.sum("degree").alias("whole"), *[F.sum(f"s_{c}").alias(f"o_{c}") for c in columns])
+    balanced = given.join(over, "part").select("node", *[(F.coalesce(f"s_{c}", F.lit(0.0)) - F.col("degree") * F.coalesce(f"o_{c}", F.lit(0.0)) / F.col("whole")).alias(f"s_{c}") for c in columns])
     right = lambda c: F.when(F.col("degree") > 0, F.coalesce(F.col(f"s_{c}"), F.lit(0.0)) / root).otherwise(F.lit(0.0))
-    rows = graph.degrees.join(sources.select("node", *[F.col(c).cast("double").alias(f"s_{c}") for c in columns]), "node", "left")
+    rows = cut(graph.degrees.join(balanced, "node", "left"))
     state = rows.select("node", "degree", *[F.lit(0.0).alias(f"x_{c}") for c in columns], *[right(c).alias(f"r_{c}") for c in columns], *[right(c).alias(f"p_{c}") for c in columns])
 
     def product(now: DataFrame) -> DataFrame:

@@ -29,13 +29,8 @@ def _members(spark, sf_dir):
 
 def _numbered_members(spark, sf_dir):
     """(text_id, k, r): the keywords that each text trusts, by place."""
-    words = F.array_distinct(F.filter(F.split(F.lower("text"), r"[ \t\n\r]+"), lambda w: F.length(w) >= 5))
-    t = table(spark, sf_dir, "documents").where("text is not null").select(F.col("doc_id").alias("text_id"), F.explode(words).alias("k"))
-    # a bound that grows with the corpus: words of more than a fifth of the texts connect everything
-    n = table(spark, sf_dir, "documents").where("text is not null").count()
-    kept = t.groupBy("k").agg(F.count("*").alias("df")).where((F.col("df") >= 2) & (F.col("df") <= F.greatest(F.lit(2.0), F.lit(n) * F.lit(0.2))))
-    trusted = Window.partitionBy("text_id").orderBy(F.col("df").desc(), "k")
-    return t.join(kept, "k").withColumn("r", F.row_number().over(trusted)).where("r <= 8").select("text_id", "k", "r")
+    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("text_id"), "text")
+    return G.trusted_keywords(texts)
 
 
 def _strong(spark, sf_dir):

@@ -62,9 +62,10 @@ def test_shuffled_files_and_a_restart_give_the_sorted_answer(spark, tmp_path, ma
 def test_events_behind_the_watermark_are_dropped(spark, tmp_path):
     rows = given(5, 100)
     folder, out, state = (str(tmp_path / x) for x in ("in", "out", "state"))
-    put(spark, rows[20:], folder, 0)
-    put(spark, rows[:20], folder, 1)  # hours before what the first file closed
-    put(spark, [(9999, BEGIN + datetime.timedelta(hours=20), 9, "view", 1.0, None)], folder, 2)
+    put(spark, rows[20:60], folder, 0)
+    put(spark, rows[60:], folder, 1)
+    put(spark, rows[:20], folder, 2)  # hours before what the first file closed: the watermark of one batch holds for the rows of the next but one
+    put(spark, [(9999, BEGIN + datetime.timedelta(hours=20), 9, "view", 1.0, None)], folder, 3)
     run(spark, folder, out, state, ordered.KEY_HEALTH, "1 minute")
     got = {r["event_id"]: r["answer"] for r in spark.read.parquet(out).collect()}
     assert got == replay(rows[20:], ordered.KEY_HEALTH)
