@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstone.functions import text as T
+from quillstone.session import ship
 
 # --- fixed values: weights by element type and boosts by question type ---
 WEIGHTS = {"complete_table": 1.0, "table_row": 0.9, "table_cell": 0.8, "footnote": 1.2, "text": 0.7}
@@ -127,3 +131,49 @@ def priority_batches(topics: DataFrame, size: int) -> DataFrame:
     """topics (topic, priority) with their batch of ``size``, highest priority first, ties by name. A list of topics is short: one task ranks it."""
     turn = Window.orderBy(F.col("priority").desc(), "topic")
     return topics.withColumn("place", F.row_number().over(turn)).withColumn("batch", F.expr(f"(place - 1) div {size}"))
+
+
+#: (question, texts) to (place in the texts, score) of those a service answers for; it raises when it can't be reached.
+Scorer = Callable[[str, list[str]], list[tuple[int, float]]]
+
+
+def word_likeness(question: str, texts: list[str]) -> list[tuple[int, float]]:
+    """The scorer of last resort: Jaccard of lower-cased words; needs no service and never fails."""
+    own = set(question.lower().split())
+    sets = [set(t.lower().split()) for t in texts]
+    return [(i, len(own & s) / len(own | s) if own and s else 0.0) for i, s in enumerate(sets)]
+
+
+def _scored(scorers: list[tuple[str, Scorer]], top: int):
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["rank", "id"], kind="stable")
+        answer, used = [], None
+        for name, scorer in scorers:
+            try:
+                answer, used = scorer(rows["question"].iloc[0] or "", [t or "" for t in rows["content"]]), name
+                break
+            except Exception:  # noqa: BLE001  whatever a service raises, the next one is asked
+                continue
+        ids = rows["id"].tolist()
+        best = sorted(((-float(s), i) for i, s in dict(answer).items() if 0 <= i < len(ids)))
+        if used is None:
+            best = [(0.0, i) for i in range(len(ids))]
+        best = best[:top]
+        score = [None if used is None else -s for s, _ in best]
+        return pd.DataFrame({"qid": [rows["qid"].iloc[0]] * len(best), "id": [ids[i] for _, i in best], "service": [used] * len(best), "score": pd.array(score, "Float64"), "place": range(1, len(best) + 1)}).astype({"qid": "int64", "id": "int64", "place": "int32"})
+
+    return run
+
+
+def rerank_by(candidates: DataFrame, scorers: dict[str, Scorer], k: int, default: Scorer | None = word_likeness) -> DataFrame:
+    """(qid, id, service, score, place) of candidates (qid, question, id, rank, content): the best ``k`` a question by the first service that answers.
+
+    A question's candidates go to a service in one call, in the order of their ranks; a service that raises
+    is left for the next one, at last for ``default``. Candidates that the answering service leaves out are left out, as
+    services that return their best few do. Where nothing answers, they keep their order and have no score. Ties go by
+    rank. A group is one question's candidates, a bounded list.
+    """
+    ship(candidates.sparkSession)
+    order = [*scorers.items(), *([("words", default)] if default else [])]
+    rows = candidates.select(F.col("qid").cast("long").alias("qid"), "question", F.col("id").cast("long").alias("id"), F.col("rank").cast("int").alias("rank"), "content")
+    return rows.groupBy("qid").applyInPandas(_scored(order, k), "qid long, id long, service string, score double, place int")

@@ -401,3 +401,30 @@ def rerank_failover(spark, sf_dir):
 @register("priority_batches", "with p as (select s_name topic, s_nationkey priority, row_number() over (order by s_nationkey desc, s_name) place from supplier) select topic, priority, place, (place - 1) // 25 batch from p")
 def priority_batches(spark, sf_dir):
     return rerank.priority_batches(table(spark, sf_dir, "supplier").select(F.col("s_name").alias("topic"), F.col("s_nationkey").alias("priority")), 25)
+
+
+def _by_length(question: str, texts: list[str]) -> list[tuple[int, float]]:
+    """A service for the query below: likes texts of the question's length, answers for its best eight only, and can't be reached for questions of odd length."""
+    if len(question) % 2:
+        raise ConnectionError("not reached")
+    scored = [(i, round(1 / (1 + abs(len(t) - len(question))), 6)) for i, t in enumerate(texts)]
+    return sorted(scored, key=lambda x: (-x[1], x[0]))[:8]
+
+
+@register(
+    "rerank_services",
+    _BM25
+    + f""",
+c as (select qid, id, row_number() over (partition by qid order by rank, id) idx, i.text question, d.text content from bm join documents d on id = doc_id join benchmark i on qid = item_id where rank <= 30),
+s as (select qid, id, idx, case when length(question) % 2 = 0 then 'length' else 'words' end service,
+  case when length(question) % 2 = 0 then round(1 / (1 + abs(length(content) - length(question))), 6)
+    else len(list_intersect({_SET('question')}, {_SET('content')})) / len(list_distinct(list_concat({_SET('question')}, {_SET('content')}))) end score from c),
+p as (select qid, id, service, round(score, 6) score, row_number() over (partition by qid order by score desc, idx) place from s)
+select * from p where place <= case when service = 'length' then 8 else 10 end""",
+)
+def rerank_services(spark, sf_dir):
+    """A service in batches, with words as the last resort for the questions it doesn't answer."""
+    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("question"))
+    found = _bm25(spark, sf_dir, 30).join(texts, "id").join(items, "qid")
+    return rerank.rerank_by(found, {"length": _by_length}, 10).withColumn("score", F.round("score", 6))
