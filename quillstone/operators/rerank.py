@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstone.functions import text as T
+from quillstone.operators.numbering import numbered
 from quillstone.session import ship
 
 # --- fixed values: weights by element type and boosts by question type ---
@@ -128,9 +129,8 @@ def rerank_failover(candidates: DataFrame, services: list[DataFrame], k: int) ->
 
 
 def priority_batches(topics: DataFrame, size: int) -> DataFrame:
-    """topics (topic, priority) with their batch of ``size``, highest priority first, ties by name. A list of topics is short: one task ranks it."""
-    turn = Window.orderBy(F.col("priority").desc(), "topic")
-    return topics.withColumn("place", F.row_number().over(turn)).withColumn("batch", F.expr(f"(place - 1) div {size}"))
+    """topics (topic, priority) with their batch of ``size``, highest priority first, ties by name."""
+    return numbered(topics, [], [F.col("priority").desc(), F.col("topic")]).withColumn("batch", F.expr(f"(place - 1) div {size}"))
 
 
 #: (question, texts) to (place in the texts, score) of those a service answers for; it raises when it can't be reached.

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from quillstone.functions import text as T
 from quillstone.functions import vectors as V
 from quillstone.operators import rerank, search
+from quillstone.operators.numbering import numbered
 from quillstone.plans.catalog import register
 from quillstone.session import ship
 from quillstone.sources.tables import table
@@ -375,9 +376,8 @@ u as (select *, sum(size) over (partition by qid order by rank rows unbounded pr
 select qid, rank, size, used::bigint used from u where used <= 20000""",
 )
 def context_pack_budget(spark, sf_dir):
-    w = Window.partitionBy("qid").orderBy("doc_id")
     docs = table(spark, sf_dir, "documents").where("text is not null").select(F.col("source").alias("qid"), "doc_id", F.col("n_chars").alias("size"))
-    return search.pack_budget(docs.withColumn("rank", F.row_number().over(w)), 20000).select("qid", "rank", "size", "used")
+    return numbered(docs, ["qid"], [F.col("doc_id")], "rank", "size", "used").where("used <= 20000").select("qid", "rank", "size", "used")
 
 
 @register(
@@ -415,12 +415,12 @@ def _by_length(question: str, texts: list[str]) -> list[tuple[int, float]]:
     "rerank_services",
     _BM25
     + f""",
-c as (select qid, id, row_number() over (partition by qid order by rank, id) idx, i.text question, d.text content from bm join documents d on id = doc_id join benchmark i on qid = item_id where rank <= 30),
-s as (select qid, id, idx, case when length(question) % 2 = 0 then 'length' else 'words' end service,
+rc as (select qid, id, row_number() over (partition by qid order by rank, id) idx, i.text question, d.text content from bm join documents d on id = doc_id join benchmark i on qid = item_id where rank <= 30),
+rs as (select qid, id, idx, case when length(question) % 2 = 0 then 'length' else 'words' end service,
   case when length(question) % 2 = 0 then round(1 / (1 + abs(length(content) - length(question))), 6)
-    else len(list_intersect({_SET('question')}, {_SET('content')})) / len(list_distinct(list_concat({_SET('question')}, {_SET('content')}))) end score from c),
-p as (select qid, id, service, round(score, 6) score, row_number() over (partition by qid order by score desc, idx) place from s)
-select * from p where place <= case when service = 'length' then 8 else 10 end""",
+    else len(list_intersect({_SET('question')}, {_SET('content')})) / len(list_distinct(list_concat({_SET('question')}, {_SET('content')}))) end score from rc),
+rp as (select qid, id, service, round(score, 6) score, row_number() over (partition by qid order by score desc, idx) place from rs)
+select * from rp where place <= case when service = 'length' then 8 else 10 end""",
 )
 def rerank_services(spark, sf_dir):
     """A service in batches, with words as the last resort for the questions it doesn't answer."""

@@ -8,6 +8,7 @@ from quillstone.functions import ocr as O
 from quillstone.functions import text as T
 from quillstone.operators import chunks as C
 from quillstone.operators import knowledge as K
+from quillstone.operators.numbering import numbered
 from quillstone.plans.catalog import register
 from quillstone.session import ship
 from quillstone.sources import detect as D
@@ -145,11 +146,8 @@ def importance_score(spark, sf_dir):
 select doc_id, importance::double importance, row_number() over (partition by source order by importance desc, doc_id desc) chunk_id from i""",
 )
 def importance_rank(spark, sf_dir):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("source").orderBy(F.col("importance").desc(), F.col("doc_id").desc())
     kept = _docs(spark, sf_dir).where("length(trim(text)) >= 300").select("doc_id", "source", T.importance(F.col("text"), "table").alias("importance"))
-    return kept.select("doc_id", "importance", F.row_number().over(w).alias("chunk_id"))
+    return numbered(kept, ["source"], [F.col("importance").desc(), F.col("doc_id").desc()], "chunk_id").drop("source")
 
 
 _ENTITY = ", ".join(f"struct_pack(kind := '{k}', found := list_distinct(regexp_extract_all(text, {_quoted([p])[0]})))" for k, p in T.ENTITIES.items())

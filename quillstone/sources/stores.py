@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillstone.operators.numbering import numbered
+
 BATCH = 95
 
 
@@ -23,8 +25,7 @@ def with_ids(rows: DataFrame, key: str) -> DataFrame:
 
 
 def batch_numbers(rows: DataFrame, group: str, order: str, size: int = BATCH) -> DataFrame:
-    w = Window.partitionBy(group).orderBy(order)
-    return rows.withColumn("batch", F.floor((F.row_number().over(w) - 1) / size))
+    return numbered(rows, [group], [F.col(order)], "_place").withColumn("batch", F.floor((F.col("_place") - 1) / size)).drop("_place")
 
 
 def batches_ok(batches: DataFrame, share: float = 0.8) -> DataFrame:
