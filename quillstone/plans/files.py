@@ -38,7 +38,7 @@ def _written(spark, sf_dir, read):
         remove(spark, folder)
 
 
-_NAME = F.regexp_extract("path", r"/(\d+)\.[a-z]+$", 1).cast("long").alias("doc_id")
+_NAME = r"cast(regexp_extract(path, '/([0-9]+)[.][a-z]+$', 1) as long) as doc_id"
 _EXPECTED = f"""with w as (select doc_id, {KINDS}[1 + doc_id % {len(KINDS)}] kind, regexp_extract_all(text, '[^\\s\\pZ\\p{{Cc}}]+') w from documents where text is not null),
 l as (select *, list_transform(range(0, (len(w) + {WORDS - 1}) // {WORDS}), lambda i: array_to_string(w[i * {WORDS} + 1 : i * {WORDS} + {WORDS}], ' ')) ln from w),
 p as (select *, array_to_string(ln[p * {PAGE} + 1 : p * {PAGE} + {PAGE}], chr(10)) pl from (select *, unnest(range(0, (len(ln) + {PAGE - 1}) // {PAGE})) p from l)),
@@ -60,7 +60,7 @@ rd as (select doc_id, kind, number, part, content, null as error from e union al
 @register("document_files", _EXPECTED + " select doc_id, kind, number, part, length(content) chars, substr(sha256(content), 1, 16) hash, error from rd")
 def document_files(spark, sf_dir):
     """A row for each page, slide, sheet, paragraph and mail part."""
-    read = lambda folder: spark.read.format("document").load(folder).select(_NAME, "kind", "number", "part", F.length("content").cast("long").alias("chars"), F.substring(F.sha2(F.col("content").cast("binary"), 256), 1, 16).alias("hash"), "error")
+    read = lambda folder: spark.read.format("document").load(folder).select(F.expr(_NAME), "kind", "number", "part", F.length("content").cast("long").alias("chars"), F.substring(F.sha2(F.col("content").cast("binary"), 256), 1, 16).alias("hash"), "error")
     return _written(spark, sf_dir, read)
 
 
