@@ -8,6 +8,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
+from quillstone.functions import ocr as O
 from quillstone.functions import text as T
 from quillstone.operators import chunks, graph, rerank, screener, search, tables, trees
 from quillstone.sources import detect, files, stores
@@ -412,3 +413,14 @@ def test_rate_cap_and_key_health_are_a_plain_replay(spark):
     run = lambda name: catalog.QUERIES[name].run(spark, "/root/testdata/sf0.001").collect()
     assert {r["event_id"]: r["allowed"] for r in run("stream_rate_cap")} == allowed
     assert {r["event_id"]: r["healthy"] for r in run("stream_key_health")} == healthy
+
+
+def test_importance_of_a_long_table_and_a_long_number(spark):
+    """Rows whose patterns overflowed the stack of a task, which ended the executor."""
+    rows = [(0, "|a b" * 30000 + "|"), (1, "1" + ".1" * 30000 + " all of it"), (2, "|a|"), (3, "|a|b|"), (4, "1.2.3 one\n1.2. two\n4.5\n\nthree")]
+    df = spark.createDataFrame(rows, "id long, text string")
+    got = {r["id"]: (r["i"], r["l"], r["a"]) for r in df.select("id", T.importance(F.col("text")).alias("i"), T.re_count(F.col("text"), T.LISTS).alias("l"), F.size(T.re_all(F.col("text"), T.LISTS)).alias("a")).collect()}
+    assert got[0] == pytest.approx((6 * 1.4, 0, 0)) and got[1] == pytest.approx((1.5 * 1.4, 1, 1))
+    assert got[2][0] == pytest.approx(1.0 * (1 + 0.003 * 0.2)) and got[3][0] == pytest.approx(6.0 * (1 + 0.005 * 0.2))
+    assert got[4][1:] == (2, 2)
+    assert one(spark, O.clean_markdown(F.col("t")), "1" + ".1" * 30000 + " All of it\n1.2 B").endswith(".1 All of it\n### 1.2 B")
