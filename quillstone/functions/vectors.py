@@ -26,29 +26,55 @@ def _packed(df: DataFrame, per: int, prefix: str, with_group: bool) -> DataFrame
     )
 
 
+#: Scores are rounded to 6 places: what lies further than this under a rounded score stays under it.
+STEP = 1.1e-6
+
+
 def _scores(k: int, same_group: bool, skip_self: bool, smallest: float):
+    """Pairs of packs (r_ids, r_groups, r_flat, q_ids, q_groups, q_flat[, q_reach]) to the k best rows of each query.
+
+    ``q_reach``: a score of each query that k other rows have reached, so lower ones are left out; NaN: none yet.
+    """
+
     def unit(flat, n: int) -> np.ndarray:
         m = np.asarray(flat, np.float64).reshape(n, -1)
         return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
 
+    def best(ids, groups, rows, q_ids, q_groups, queries, reach) -> tuple[np.ndarray, ...]:
+        s = queries @ rows.T
+        if not (np.isfinite(rows).all() and np.isfinite(queries).all()):
+            s[np.isnan(s)] = -np.inf
+        if same_group:
+            s[q_groups[:, None] != groups[None, :]] = -np.inf
+        if skip_self:
+            s[q_ids[:, None] == ids[None, :]] = -np.inf
+        least = np.full(len(s), smallest)
+        if reach is not None:
+            least = np.fmax(least, reach)
+        open_ = np.flatnonzero(np.isnan(reach)) if reach is not None else np.arange(len(s))
+        if k and len(ids) > k and len(open_):
+            part = s if len(open_) == len(s) else s[open_]
+            least[open_] = np.maximum(least[open_], np.partition(part, len(ids) - k, axis=1)[:, len(ids) - k])
+        at, to = np.divmod(np.flatnonzero((s >= (least - STEP)[:, None]).ravel()), len(ids))
+        score = np.round(s[at, to], 6) + 0.0
+        kept = (score >= smallest) & (score > -np.inf)
+        at, to, score = at[kept], to[kept], score[kept]
+        if k:
+            order = np.lexsort((ids[to], -score, at))
+            at, to, score = at[order], to[order], score[order]
+            kept = np.arange(len(at)) - np.searchsorted(at, at) < k
+            at, to, score = at[kept], to[kept], score[kept]
+        return q_ids[at], ids[to], score
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                ids, groups, flat, q_ids, q_groups, q_flat = (np.asarray(batch.column(j)[i].values) for j in range(6))
-                s = np.round(unit(q_flat, len(q_ids)) @ unit(flat, len(ids)).T, 6) + 0.0
-                ok = s >= smallest
-                if same_group:
-                    ok &= q_groups[:, None] == groups[None, :]
-                if skip_self:
-                    ok &= q_ids[:, None] != ids[None, :]
-                found: list[tuple] = []
-                for r in range(len(q_ids)):
-                    at = np.flatnonzero(ok[r])
-                    if k and len(at) > k:
-                        at = at[np.lexsort((ids[at], -s[r, at]))[:k]]
-                    found += zip([q_ids[r]] * len(at), ids[at].tolist(), s[r, at].tolist(), strict=True)
-                cols = list(zip(*found, strict=True)) or [[]] * 3
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["qid", "id", "score"])
+                ids, groups, flat, q_ids, q_groups, q_flat, *more = (np.asarray(batch.column(j)[i].values) for j in range(batch.num_columns))
+                rows, queries = unit(flat, len(ids)), unit(q_flat, len(q_ids))
+                for j in range(0, len(q_ids), QUERY_BLOCK):
+                    part = slice(j, j + QUERY_BLOCK)
+                    found = best(ids, groups, rows, q_ids[part], q_groups[part], queries[part], more[0][part] if more else None)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(found, (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["qid", "id", "score"])
 
     return run
 

@@ -65,3 +65,33 @@ def test_packs_are_bounded_however_large_a_block(spark, monkeypatch):
     assert sum(sizes) == 600 and max(sizes) < 110
     got = pivots.search(rows.where("id < 3"), index, 4).found
     assert sorted((r["qid"], r["id"]) for r in got.collect()) == [(q, i) for q in range(3) for i in range(4)]
+
+
+def test_best_rows_of_a_pair_of_packs(monkeypatch):
+    """Against a full sort: ties by id, values without a number, a reach, groups; a whole pack is no sort of all its pairs."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    ids, own = rng.permutation(900), rng.integers(-1, 2, (900, 3)).astype(float)
+    own[7, 1], own[8] = np.nan, 0.0
+    groups = ids % 2
+    q_ids, q_groups, asked = ids[:40], groups[:40], own[:40]
+    reach = np.where(q_ids % 3 == 0, 0.5, np.nan)
+    lists = [pa.array([x.ravel().tolist()]) for x in (ids, groups, own, q_ids, q_groups, asked, reach)]
+    batch = pa.RecordBatch.from_arrays(lists, names=list("abcdefg"))
+    sorted_rows = []
+    monkeypatch.setattr(V.np, "lexsort", lambda keys, real=np.lexsort: sorted_rows.append(len(keys[0])) or real(keys))
+    for same, skip, smallest in ((False, False, -2.0), (True, True, 0.2)):
+        out = list(V._scores(6, same, skip, smallest)(iter([batch])))
+        got = sorted((q, -s, i) for b in out for q, i, s in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        want = []
+        for q, g, x, least in zip(q_ids.tolist(), q_groups, asked, reach, strict=True):
+            score = np.round(pivots.unit(x) @ pivots.unit(own).T, 6) + 0.0
+            rows = [(-s, i) for s, i, h in zip(score.tolist(), ids.tolist(), groups, strict=True) if s >= max(smallest, np.nan_to_num(least, nan=-2.0)) and (not same or g == h) and not (skip and i == q)]
+            want += [(q, s, i) for s, i in sorted(rows)[:6]]
+        assert got == sorted(want)
+    plain = rng.standard_normal((4000, 16))
+    lists = [pa.array([x.ravel().tolist()]) for x in (np.arange(4000), np.zeros(4000, int), plain, np.arange(100), np.zeros(100, int), plain[:100])]
+    sorted_rows.clear()
+    list(V._scores(10, False, False, -2.0)(iter([pa.RecordBatch.from_arrays(lists, names=list("abcdef"))])))
+    assert sum(sorted_rows) < 100 * 20
