@@ -117,6 +117,18 @@ def _turned(matrix: np.ndarray, width: int):
     return run
 
 
+def _both_turned(matrix: np.ndarray):
+    """Rows (node, y, p) with y and p times the matrix."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [_numbers(batch.column(i), len(matrix)) @ matrix for i in (1, 2)]
+            lists = [pa.ListArray.from_arrays(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1], pa.array(x.ravel())) for x in out]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *lists], names=["node", "y", "p"])
+
+    return run
+
+
 def _inverse_root(gram: np.ndarray, least: float) -> np.ndarray:
     """A matrix that makes columns with this Gram matrix orthonormal; directions shorter than ``least`` (squared) are left out."""
     values, vectors = np.linalg.eigh((gram + gram.T) / 2)
@@ -135,8 +147,55 @@ def _product(graph: Graph, rows: DataFrame, start: int, block: int, combinatoria
     return rows.join(moved, "node", "left").select("node", "q", F.array(*got).alias("y"), "degree")
 
 
+#: Filter steps in one job; what a filter may stretch the greatest direction by before its columns are made orthonormal again; its steps at most.
+CHAIN, STRETCH, FILTER = 4, 1e5, 64
+
+
+def _matrix(graph: Graph, combinatorial: bool) -> DataFrame:
+    """(a, b, weight, loop): the matrix with its diagonal, which has a row for every node, kept by b."""
+    if combinatorial:
+        ways = graph.edges.select("a", "b", "weight")
+    else:
+        of = lambda x: graph.degrees.select(F.col("node").alias(x), F.sqrt("degree").alias(f"root_{x}"))
+        ways = graph.edges.join(of("a"), "a").join(of("b"), "b").select("a", "b", (F.col("weight") / F.col("root_a") / F.col("root_b")).alias("weight"))
+    own = graph.degrees.select(F.col("node").alias("a"), F.col("node").alias("b"), (-F.col("degree") if combinatorial else F.lit(0.0)).alias("weight"), F.lit(True).alias("loop"))
+    return ways.withColumn("loop", F.lit(False)).unionByName(own).repartition("b").persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def _filtered(matrix: DataFrame, rows: DataFrame, size: int, low: float, high: float, top: float, degree: int) -> DataFrame:
+    """(node, y) for rows (node, y): the Chebyshev polynomial that keeps [low, high] small and lets all above it grow, times y.
+
+    A step is one join and one sum by node, which takes the vector before along with the loops. Columns are made
+    orthonormal again before the greatest drowns the others; the recurrence holds for any combination of the columns.
+    """
+    now, before = [f"c{i}" for i in range(size)], [f"p{i}" for i in range(size)]
+    mid, half = (low + high) / 2, (high - low) / 2
+    every = max(1, int(np.log(STRETCH) / max(np.arccosh(max(1.0, (top - mid) / half)), 1e-9)))
+    table, since, step = rows.select("node", *[F.col("y")[i].alias(c) for i, c in enumerate(now)], *[F.lit(0.0).alias(p) for p in before]), 0, 0
+    while step < degree:
+        chain = min(CHAIN, every, degree - step)
+        if since + chain > every:
+            gram = _gram(table.select(F.array().cast("array<double>").alias("q"), F.array(*now).alias("y")), 0, size)
+            values, vectors = np.linalg.eigh((gram + gram.T) / 2)
+            turn = vectors / np.sqrt(np.maximum(values, max(1e-13 * values[-1], 1e-300)))
+            dtype = dict(table.dtypes)["node"]
+            arrays = table.select("node", F.array(*now).alias("y"), F.array(*before).alias("p")).mapInArrow(_both_turned(turn), f"node {dtype}, y array<double>, p array<double>")
+            table, since = arrays.select("node", *[F.col("y")[i].alias(c) for i, c in enumerate(now)], *[F.col("p")[i].alias(c) for i, c in enumerate(before)]), 0
+        for _ in range(chain):
+            factor = (2.0 if step else 1.0) / half
+            sums = [F.sum(F.lit(factor) * F.col("weight") * F.col(c) - F.when(F.col("loop"), F.lit(factor * mid) * F.col(c) + F.col(p)).otherwise(0.0)).alias(c) for c, p in zip(now, before, strict=True)]
+            kept = [F.sum(F.when(F.col("loop"), F.col(c)).otherwise(0.0)).alias(p) for c, p in zip(now, before, strict=True)]
+            table = matrix.join(table.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(*sums, *kept)
+            step, since = step + 1, since + 1
+        table = cut(table)
+    return table.select("node", F.array(*now).alias("y"))
+
+
 def eigenvectors(graph: Graph, k: int, form: str = "normalized", tolerance: float = 1e-6, steps: int = 12, restarts: int = 20, seed: int = 7) -> Eigen:
-    """The k smallest eigenvalues and vectors of a graph's Laplacian, by restarted block Krylov subspaces.
+    """The k smallest eigenvalues and vectors of a graph's Laplacian, by block Krylov subspaces, restarted through a Chebyshev filter.
+
+    A filter's bounds and its number of steps follow from the values found so far. Its steps need no inner products and
+    carry no subspace along, so values close to each other, as large neighbour graphs have them, take far fewer and lighter steps.
 
     ``form``: D - W; "randomwalk", D**-1 (D - W), whose vectors have length one; "normalized", with D**-1/2 on
     both sides. A node without neighbours is an eigenvector of its own, with value 0 in D - W and 1 in the other forms.
@@ -157,8 +216,8 @@ def eigenvectors(graph: Graph, k: int, form: str = "normalized", tolerance: floa
     # numbers by hash of node and place, so that the start does not depend on the partitioning
     draw = lambda i: F.pmod(F.xxhash64("node", F.lit(seed), F.lit(i)), F.lit(1 << 30)) / float(1 << 29) - 1
     rows = graph.degrees.select("node", nothing.alias("q"), F.array(*[draw(i) for i in range(size)]).alias("y"), "degree")
-    products = 0
-    for _ in range(restarts):
+    products, matrix = 0, None
+    for restart in range(restarts):
         width, fresh, projected = 0, size, np.zeros((0, 0))
         while True:
             rows = cut(rows)
@@ -180,13 +239,13 @@ def eigenvectors(graph: Graph, k: int, form: str = "normalized", tolerance: floa
             if not root.shape[1]:
                 break
             # twice: the second time takes out what rounding left of the columns before
-            matrix = np.concatenate([-inside @ root, root])
-            gram = _gram(rows.select("node", "q", "y", "degree").mapInArrow(_turned(matrix, width), schema), width, root.shape[1])
+            turn = np.concatenate([-inside @ root, root])
+            gram = _gram(rows.select("node", "q", "y", "degree").mapInArrow(_turned(turn, width), schema), width, root.shape[1])
             again = _inverse_root(gram[width:] - gram[:width].T @ gram[:width], 1e-8)
-            matrix = matrix @ again
-            matrix[:width] -= gram[:width] @ again
+            turn = turn @ again
+            turn[:width] -= gram[:width] @ again
             fresh = again.shape[1]
-            rows = rows.select("node", "q", "y", "degree").mapInArrow(_turned(matrix, width), schema)
+            rows = rows.select("node", "q", "y", "degree").mapInArrow(_turned(turn, width), schema)
             rows = _product(graph, rows.select("node", F.concat("q", "y").alias("q"), "degree"), width, fresh, combinatorial)
             width, products = width + fresh, products + 1
         values, small = np.linalg.eigh((projected + projected.T) / 2)
@@ -201,6 +260,15 @@ def eigenvectors(graph: Graph, k: int, form: str = "normalized", tolerance: floa
         if residuals.max() < bound:
             break
         rows, size = measured.select("node", nothing.alias("q"), F.col("q").alias("y"), "degree"), len(best)
+        low, high = (-2 * (stats["most"] or 1.0) if combinatorial else -1.0), np.sort(values)[-size - 1] if len(values) > size else -np.inf
+        if restart + 1 < restarts and high > low:
+            apart = np.arccosh(1 + 2 * max(theta[k - 1] - high, 0) / (high - low))
+            degree = int(min(FILTER, max(8, np.arccosh(max(2.0, 4 * residuals.max() / bound)) / max(apart, 1e-9))))
+            matrix = _matrix(graph, combinatorial) if matrix is None else matrix
+            rows = _filtered(matrix, rows, size, low, high, theta[0], degree).join(graph.degrees, "node").select("node", nothing.alias("q"), "y", "degree")
+            products += degree
+    if matrix is not None:
+        matrix.unpersist()
     vectors = measured.select("node", "degree", F.slice("q", 1, k).alias("v"))
     if form == "randomwalk":
         scaled = vectors.select("node", F.transform("v", lambda x: F.when(F.col("degree") > 0, x / F.sqrt("degree")).otherwise(x)).alias("v"))

@@ -69,6 +69,25 @@ def test_eigenvectors_are_those_of_dense_numpy(spark, form, n, isolated, cluster
         assert np.linalg.norm(vectors - basis @ (basis.T @ vectors)) < 1e-5 * scale / max(rest, 1e-3)
 
 
+def test_values_close_to_each_other_take_few_steps(spark):
+    """A neighbour graph of points without clusters, whose values have small gaps."""
+    rng = np.random.default_rng(8)
+    points = rng.standard_normal((700, 24))
+    far = ((points[:, None] - points[None]) ** 2).sum(axis=2)
+    near = np.argsort(far, axis=1)[:, 1:9]
+    w = np.zeros((700, 700))
+    np.put_along_axis(w, near, rng.uniform(0.2, 1, near.shape), axis=1)
+    w = np.maximum(w, w.T)
+    with solvers.Graph(as_edges(spark, w)) as graph:
+        got = solvers.eigenvectors(graph, 13, "normalized", tolerance=1e-3, steps=4, restarts=5)
+        vectors = matrix_of(got.vectors)
+    lap = dense(w, "normalized")
+    assert got.residuals.max() < 1e-3
+    assert got.values == pytest.approx(np.linalg.eigvalsh(lap)[:13], abs=1e-3)
+    assert vectors.T @ vectors == pytest.approx(np.eye(13), abs=1e-8)
+    assert np.linalg.norm(lap @ vectors - vectors * got.values, axis=0).max() < 1.1e-3
+
+
 def test_more_vectors_than_nodes_and_none(spark):
     edges = spark.createDataFrame([(1, 2, 1.0), (2, 3, 2.0)], "a long, b long, weight double")
     with solvers.Graph(edges) as graph:
