@@ -43,6 +43,17 @@ def top_adjacent(edges: DataFrame, k: int) -> DataFrame:
     return edges.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def first_adjacent(words: DataFrame, groups: list[str], each: int = 3) -> DataFrame:
+    """(k1, k2, rank) of words (k, groups): the ``each`` least other words that share a word's group.
+
+    Only the first ``each`` + 1 words of a group can be among them, so a group's pairs grow with its words, not with their square.
+    """
+    few = words.withColumn("place", F.dense_rank().over(Window.partitionBy(*groups).orderBy("k"))).where(F.col("place") <= each + 1)
+    pairs = words.select(*groups, F.col("k").alias("k1")).join(few.select(*groups, F.col("k").alias("k2")), groups).where("k1 <> k2")
+    w = Window.partitionBy("k1").orderBy("k2")
+    return pairs.select("k1", "k2", F.row_number().over(w).alias("rank")).where(F.col("rank") <= each)
+
+
 def cap_connections(scores: DataFrame, texts: int, share: float = 0.2) -> DataFrame:
     """scores (text_id, k, u): keywords with more than share * texts connections keep the best, ties kept."""
     most = int(texts * share)

@@ -85,13 +85,12 @@ select qid, text_id, list_sort(list(distinct via)) via from (select * from dir u
 def graph_search(spark, sf_dir):
     w = table(spark, sf_dir, "embeddings").select((F.col("vec_id") % 50).alias("text_id"), F.col("vec_id").alias("k"), "label")
     q = w.where("k % 20 = 0").withColumnRenamed("k", "qid")
-    rank_text, rank_word = Window.partitionBy("k").orderBy("text_id"), Window.partitionBy("k1").orderBy("k2")
-    a, b = w.select("text_id", "label", F.col("k").alias("k1")), w.select("text_id", "label", F.col("k").alias("k2"))
+    rank_text = Window.partitionBy("k").orderBy("text_id")
     return G.search(
         q.select("qid", "text_id"),
         q.select("qid", "label", ((F.col("text_id") + 1) % 50).alias("text_id")).join(w, ["label", "text_id"]).select("qid", "k"),
         w.select("k", "text_id", F.row_number().over(rank_text).alias("rank")),
-        a.join(b, ["label", "text_id"]).where("k1 <> k2").select("k1", "k2").withColumn("rank", F.row_number().over(rank_word)),
+        G.first_adjacent(w, ["label", "text_id"]),
     )
 
 

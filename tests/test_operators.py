@@ -424,3 +424,17 @@ def test_importance_of_a_long_table_and_a_long_number(spark):
     assert got[2][0] == pytest.approx(1.0 * (1 + 0.003 * 0.2)) and got[3][0] == pytest.approx(6.0 * (1 + 0.005 * 0.2))
     assert got[4][1:] == (2, 2)
     assert one(spark, O.clean_markdown(F.col("t")), "1" + ".1" * 30000 + " All of it\n1.2 B").endswith(".1 All of it\n### 1.2 B")
+
+
+def test_first_adjacent_words_of_small_and_large_groups(spark):
+    """As all pairs have them; a group of 40,000 words, whose pairs would be 1.6 billion, is no more than its words."""
+    rows = [(i, i % 3 or None, 0) for i in range(40)] + [(5, 1, 0), (7, 2, 1), (8, 2, 1)]
+    got = sorted((r["k1"], r["k2"], r["rank"]) for r in graph.first_adjacent(spark.createDataFrame(rows, "k long, label long, text_id long"), ["label", "text_id"]).collect())
+    want = []
+    for k in sorted({r[0] for r in rows}):
+        near = sorted(b[0] for a in rows for b in rows if a[0] == k and b[0] != k and a[1] is not None and a[1:] == b[1:])
+        want += [(k, b, i + 1) for i, b in enumerate(near[:3])]
+    assert got == want
+    large = spark.range(40000).select(F.col("id").alias("k"), F.lit(1).alias("label"), F.lit(2).alias("text_id"))
+    found = graph.first_adjacent(large, ["label", "text_id"])
+    assert found.agg(F.count("*"), F.max("k2"), F.max("rank")).first()[:] == (120000, 3, 3)
