@@ -94,12 +94,12 @@ def ranked(scored: DataFrame, k: int) -> DataFrame:
 def hybrid(first: DataFrame, second: DataFrame, contents: DataFrame, k: int) -> DataFrame:
     """(qid, id, place): the first list's 2k, deduplicated by the first 200 characters, then unseen rows of the second, up to 3k; the first k.
 
-    Lists are (qid, id, rank); contents are (id, text).
+    Lists are (qid, id, rank), a bounded number of rows a query; contents are (id, text).
     """
     heads = contents.select("id", F.substring("text", 1, 200).alias("head"))
     both = first.where(F.col("rank") <= 2 * k).select("qid", "id", F.lit(0).alias("list"), "rank").union(second.where(F.col("rank") <= 2 * k).select("qid", "id", F.lit(1), "rank"))
     seen = Window.partitionBy("qid", "head").orderBy("list", "rank")
-    once = both.join(heads, "id").withColumn("again", F.row_number().over(seen)).where("again = 1")
+    once = heads.join(F.broadcast(both), "id").withColumn("again", F.row_number().over(seen)).where("again = 1")
     place = Window.partitionBy("qid").orderBy("list", "rank")
     return once.withColumn("place", F.row_number().over(place)).where(F.col("place") <= F.least(F.lit(k), F.lit(3 * k))).select("qid", "id", "place")
 
