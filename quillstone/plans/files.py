@@ -17,10 +17,14 @@ from quillstone.sources.tables import table
 
 KINDS = list(ENCODERS)
 WORDS = 12
+#: Texts that one task makes into files, whatever parts the table comes in.
+TEXTS = 2000
 
 
 def _lines(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where("text is not null").withColumn("w", F.expr(r"regexp_extract_all(text, '([^\\s\\p{Z}\\p{Cc}]+)', 1)"))
+    docs = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", "text")
+    # a table's parts may be few and large, and making a file takes milliseconds
+    docs = docs.repartition(max(spark.sparkContext.defaultParallelism, -(-docs.count() // TEXTS)), "doc_id").withColumn("w", F.expr(r"regexp_extract_all(text, '([^\\s\\p{Z}\\p{Cc}]+)', 1)"))
     lines = F.transform(F.sequence(F.lit(0), F.floor((F.size("w") - 1) / WORDS).cast("int")), lambda i: F.array_join(F.slice("w", i * WORDS + 1, F.lit(WORDS)), " "))
     content = F.when(F.size("w") > 0, F.array_join(lines, "\n")).otherwise(F.lit(""))
     kind = F.element_at(F.array(*map(F.lit, KINDS)), (F.col("doc_id") % len(KINDS) + 1).cast("int"))
@@ -38,6 +42,11 @@ def _written(spark, sf_dir, read):
         remove(spark, folder)
 
 
+def _reader(spark):
+    """Files of a text each: about a thousand a task, as each takes milliseconds."""
+    return spark.read.format("document").option("open", 64 << 10)
+
+
 _NAME = r"cast(regexp_extract(path, '/([0-9]+)[.][a-z]+$', 1) as long) as doc_id"
 _EXPECTED = f"""with w as (select doc_id, {KINDS}[1 + doc_id % {len(KINDS)}] kind, regexp_extract_all(text, '[^\\s\\pZ\\p{{Cc}}]+') w from documents where text is not null),
 l as (select *, list_transform(range(0, (len(w) + {WORDS - 1}) // {WORDS}), lambda i: array_to_string(w[i * {WORDS} + 1 : i * {WORDS} + {WORDS}], ' ')) ln from w),
@@ -60,7 +69,7 @@ rd as (select doc_id, kind, number, part, content, null as error from e union al
 @register("document_files", _EXPECTED + " select doc_id, kind, number, part, length(content) chars, substr(sha256(content), 1, 16) hash, error from rd")
 def document_files(spark, sf_dir):
     """A row for each page, slide, sheet, paragraph and mail part."""
-    read = lambda folder: spark.read.format("document").load(folder).select(F.expr(_NAME), "kind", "number", "part", F.length("content").cast("long").alias("chars"), F.substring(F.sha2(F.col("content").cast("binary"), 256), 1, 16).alias("hash"), "error")
+    read = lambda folder: _reader(spark).load(folder).select(F.expr(_NAME), "kind", "number", "part", F.length("content").cast("long").alias("chars"), F.substring(F.sha2(F.col("content").cast("binary"), 256), 1, 16).alias("hash"), "error")
     return _written(spark, sf_dir, read)
 
 
@@ -69,7 +78,7 @@ def document_kinds(spark, sf_dir):
     """Two kinds of files only: the others are left out of the list and never opened."""
 
     def read(folder):
-        rows = spark.read.format("document").load(folder).where("kind in ('pdf', 'docx')")
+        rows = _reader(spark).load(folder).where("kind in ('pdf', 'docx')")
         return rows.groupBy("kind").agg(F.countDistinct("path").alias("files"), F.count("content").alias("parts"), F.sum(F.length("content").cast("long")).alias("chars"))
 
     return _written(spark, sf_dir, read)
@@ -78,5 +87,5 @@ def document_kinds(spark, sf_dir):
 @register("document_list", "select count(*) files, count(distinct doc_id) names from documents where text is not null")
 def document_list(spark, sf_dir):
     """A list by path and size opens no file."""
-    read = lambda folder: spark.read.format("document").schema("path string, size long").load(folder).where("size >= 0").agg(F.count("*").alias("files"), F.countDistinct("path").alias("names"))
+    read = lambda folder: _reader(spark).schema("path string, size long").load(folder).where("size >= 0").agg(F.count("*").alias("files"), F.countDistinct("path").alias("names"))
     return _written(spark, sf_dir, read)

@@ -2,7 +2,7 @@
 
 Reading gives a row for each page, slide, sheet, paragraph or mail part. Planning lists the files and packs them into
 partitions of about ``split`` bytes by their sizes, so neither one large folder nor many small files make uneven
-tasks. Filters on path and size, and on a kind that a file's name tells, are applied to the list: what
+tasks; the option ``open`` states what opening a file costs, in bytes, and is less where all are small and near. Filters on path and size, and on a kind that a file's name tells, are applied to the list: what
 they leave out is never opened. With a schema of path and size only (``.schema("path string, size long")``), no file is opened.
 
 Writing makes a file of each row (name, kind, content): ``df.write.format("document").mode("append").save(folder)``; the
@@ -29,8 +29,8 @@ from quillstone.sources.detect import EXTENSIONS, IMAGE_MAGIC, LARGEST
 SCHEMA = "path string, size long, kind string, number int, part string, content string, error string"
 WRITTEN = "name string, kind string, content string"
 SPLIT = 64 << 20
-#: What opening a file costs, in bytes read.
-OPEN = 1 << 20
+#: What opening a file costs, in bytes read; and what naming one costs that isn't opened.
+OPEN, NAMED = 1 << 20, 1 << 10
 _BY_NAME = EXTENSIONS | {".html": "html", ".htm": "html", ".xhtml": "html", ".epub": "epub"}
 _MARKS = [(b"%PDF", "pdf"), *((bytes.fromhex(x), "image") for x in IMAGE_MAGIC)]
 
@@ -75,6 +75,7 @@ class DocumentReader(DataSourceReader):
         self.path = options["path"]
         self.glob = options.get("glob", "*")
         self.split = int(options.get("split", SPLIT))
+        self.open = int(options.get("open", OPEN))
         self.largest = int(options.get("largest", LARGEST))
         self.columns = schema.names
         self.filters: list[tuple[str, type, object]] = []
@@ -105,10 +106,14 @@ class DocumentReader(DataSourceReader):
         found = [(f.path, f.size) for f in infos if f.type == fs.FileType.File and not any(x.startswith(("_", ".")) for x in below(f.path)) and fnmatch.fnmatch(f.base_name, self.glob)]
         return sorted(f for f in found if self._wanted(*f))
 
+    @property
+    def opened(self) -> bool:
+        return any(c not in ("path", "size") for c in self.columns)
+
     def partitions(self) -> list[Files]:
         out, now, filled = [], [], 0
         for path, size in self.listed():
-            cost = min(size, self.largest) + OPEN
+            cost = min(size, self.largest) + self.open if self.opened else NAMED
             if now and filled + cost > self.split:
                 out.append(Files(now))
                 now, filled = [], 0
@@ -119,10 +124,9 @@ class DocumentReader(DataSourceReader):
     def read(self, partition: Files) -> Iterator[tuple]:
         from quillstone.sources import files
 
-        opened = any(c not in ("path", "size") for c in self.columns)
         store, _ = _store(self.path)
         for path, size in partition.files:
-            if not opened:
+            if not self.opened:
                 rows = [(None, None, None, None, None)]
             elif size > self.largest:
                 rows = [("oversize", None, None, None, None)]

@@ -7,6 +7,7 @@ import pytest
 
 from quillstone.sources import document, encode, files, pdf
 from quillstone.sources.document import DocumentReader, Files
+from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 LINES = ["Größe & <Maß> 漢字", "second line", "3 | 4 🙂"] * 9
@@ -152,3 +153,31 @@ def test_a_list_opens_nothing(spark, tmp_path):
     assert listed.count() >= 1
     with pytest.raises(Exception, match="unknown|no columns"):
         spark.read.format("document").schema("other string").load(str(tmp_path / "gone")).collect()
+
+
+def test_files_are_made_in_even_parts(spark, monkeypatch):
+    """A table of one part is dealt before its texts become files."""
+    from quillstone.plans import files as plans
+
+    monkeypatch.setattr(plans, "TEXTS", 20)
+    sizes = [r["count"] for r in plans._lines(spark, "/root/testdata/sf0.001").groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) > 5 and max(sizes) < 0.4 * sum(sizes)
+
+
+def test_small_files_share_a_task(monkeypatch):
+    found = [(f"/x/{i}.txt", 3000) for i in range(20_000)]
+    monkeypatch.setattr(DocumentReader, "listed", lambda self: found)
+    parts = lambda *names: DocumentReader({"path": "/x", "open": str(64 << 10)}, StructType([StructField(n, StringType()) for n in names])).partitions()
+    named, opened = parts("path", "size"), parts("path", "content")
+    assert len(named) == 1 and 10 < len(opened) < 40
+    assert all([f for p in x for f in p.files] == found for x in (named, opened))
+
+
+@pytest.mark.parametrize("lines", [[], [""], ["a", "é ü", "x" * 300], ["a\rb", "c"]])
+def test_mail_is_what_the_library_writes(lines):
+    from email.message import EmailMessage
+
+    mail = EmailMessage()
+    mail["From"], mail["To"], mail["Subject"] = "sender@example.org", "reader@example.org", "Document 12"
+    mail.set_content("\n".join(lines) or "\n", cte="base64")
+    assert encode.ENCODERS["eml"]("12", lines) == mail.as_bytes()
