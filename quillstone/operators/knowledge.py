@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quillstone.functions import text as T
 from quillstone.operators import chunks
 from quillstone.operators.graph import propagate_labels
+from quillstone.session import cut
 
 
 def representatives(distances: DataFrame, budget: int) -> DataFrame:
@@ -84,7 +85,7 @@ def policy_graph(docs: DataFrame) -> dict[str, DataFrame]:
     """Sections, entities and mentions of documents: episodes, entities, mentions tables."""
     episodes = chunks.split_with(docs, chunks.sections()).select(F.concat_ws("_", "doc_id", "chunk").alias("episode"), "doc_id", "chunk", "content")
     named = episodes.select("episode", F.explode(T.entities(F.col("content"))).alias("kind", "names")).select("episode", "kind", F.explode("names").alias("name"))
-    mentions = named.distinct()
+    mentions = cut(named.distinct())  # entities are looked for once
     return {"episodes": episodes, "entities": mentions.select("kind", "name").distinct(), "mentions": mentions}
 
 
