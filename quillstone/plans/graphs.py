@@ -11,7 +11,7 @@ from quillstone.operators import graph as G
 from quillstone.operators import tables as B
 from quillstone.operators import trees as R
 from quillstone.plans.catalog import register
-from quillstone.session import ship
+from quillstone.session import cut, ship
 from quillstone.sources import stores
 from quillstone.sources.tables import table
 from quillstone.streaming import ordered, streams
@@ -143,7 +143,7 @@ def pic_clusters(spark, sf_dir):
 @register("label_propagation")
 def label_propagation(spark, sf_dir):
     seeds = table(spark, sf_dir, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("node"), "label", F.lit(1.0).alias("u"))
-    return G.strongest(G.propagate_labels(_neighbours(spark, sf_dir), seeds))
+    return G.strongest(G.propagate_labels(cut(_neighbours(spark, sf_dir)), seeds))  # the search runs once, not in every round
 
 
 # --- decision trees: inline documents ---
