@@ -10,16 +10,18 @@ written to the shared folder, so a lost executor costs one step.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillstone.session import cut, ship
+from quillstone.session import cut, remove, shared_dir, ship
 
 
 class Graph:
@@ -43,6 +45,13 @@ class Graph:
 
     def __exit__(self, *_) -> None:
         self.edges.unpersist()
+        if "blocks" in self.__dict__:
+            self.blocks.packs.unpersist()
+
+    @cached_property
+    def blocks(self) -> Blocks:
+        """The graph in blocks, made when the first linear system needs it."""
+        return Blocks(self)
 
     def times(self, vectors: DataFrame, columns: list[str]) -> DataFrame:
         """(node, columns): the weight matrix times each column of vectors; nodes without neighbours have no row."""
@@ -289,30 +298,137 @@ class Solved:
     steps: int
 
 
-def _conjugate_gradients(state: DataFrame, columns: list[str], product, tolerance: float, most: int) -> Solved:
-    """state (node, degree, x_c, r_c, p_c and what ``product`` reads): residuals r of the start x, directions p.
+#: Blocks of nodes that a graph is cut into, if that many are of a size between the least and the greatest number of nodes.
+BLOCKS, LEAST_BLOCK, GREATEST_BLOCK = 12, 2048, 32_768
+
+
+def _pack(key: tuple, ways: pa.Table) -> pa.Table:
+    """The edges (i, j, weight) from one block to another: the rows i that have any, where each one's edges start, and of each edge the place of j among the j that occur."""
+    i, j, weight = (ways.column(c).to_numpy() for c in ("i", "j", "weight"))
+    order = np.lexsort((j, i))
+    rows, starts = np.unique(i[order], return_index=True)
+    place = np.unique(j, return_inverse=True)[1].ravel()[order]
+    data = [rows.astype("<i4"), starts.astype("<i8"), place.astype("<i4"), weight[order].astype("<f8")]
+    return pa.table([pa.array([key[0].as_py()], pa.int64()), pa.array([key[1].as_py()], pa.int64()), *[pa.array([x.tobytes()], pa.binary()) for x in data]], names=["block", "other", "rows", "starts", "place", "weight"])
+
+
+class Blocks:
+    """A graph in blocks: ``nodes`` (node, block, at), each block's places from 0, and ``packs``, the edges of a row's block with one other block.
+
+    As edges stand both ways, the rows of a pack are also the values that the other block needs from this one: a value moves once for each block that
+    needs it, and at most once for each edge. A pack is small matrices for numpy, so a product makes no row for an edge.
+    """
+
+    def __init__(self, graph: Graph):
+        count = graph.degrees.count()
+        each = min(max(-(-count // BLOCKS), LEAST_BLOCK), GREATEST_BLOCK)
+        self.count = max(1, -(-count // each))
+        dealt = graph.degrees.select("node", F.pmod(F.xxhash64("node"), F.lit(self.count)).cast("long").alias("block"))
+        self.nodes = cut(dealt.withColumn("at", (F.row_number().over(Window.partitionBy("block").orderBy("node")) - 1).cast("long")))
+        ends = [self.nodes.select(F.col("node").alias(x), F.col("block").alias(name), F.col("at").alias(at)) for x, name, at in (("a", "block", "i"), ("b", "other", "j"))]
+        ways = graph.edges.join(ends[1], "b").join(ends[0], "a").select("block", "other", "i", "j", "weight")
+        packs = ways.groupBy("block", "other").applyInArrow(_pack, "block long, other long, rows binary, starts binary, place binary, weight binary")
+        self.packs = packs.repartition(self.count, "block").sortWithinPartitions("block").persist(StorageLevel.MEMORY_AND_DISK)
+
+
+# A block's state is one array of the scale s, the solution x, the residual r, the direction p and the product ap, each with a row for a node and a column for a right side.
+
+
+def _begun(width: int):
+    """Rows (block, at, scale, right) of a block to its state."""
+
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        order = np.argsort(rows.column("at").to_numpy())
+        s, r = (np.asarray(rows.column(c).combine_chunks().flatten(), np.float64).reshape(-1, width)[order] for c in ("scale", "right"))
+        return pa.table([pa.array([key[0].as_py()], pa.int64()), pa.array([np.stack([s, np.zeros_like(r), r, r, np.zeros_like(r)]).tobytes()], pa.binary())], names=["block", "data"])
+
+    return run
+
+
+def _matrices(data: pa.Scalar, width: int) -> np.ndarray:
+    return np.frombuffer(data.as_buffer(), "<f8").reshape(5, -1, width)
+
+
+def _stepped(width: int, factors: tuple[np.ndarray, np.ndarray, np.ndarray] | None):
+    """(block, other, data) of a block's packs and its state: for each other block the directions it needs, and the block's own state after the step, under -1."""
+
+    def run(packs: pa.Table, states: pa.Table) -> pa.Table:
+        block = states.column("block")[0].as_py()
+        s, x, r, p, ap = _matrices(states.column("data")[0], width)
+        if factors is not None:
+            a, b, moves = factors
+            x, r = x + a * p, r - a * ap
+            p = np.where(moves, r + b * p, p)
+        out, scaled = [(block, -1, np.stack([s, x, r, p, ap]).tobytes())], s * p
+        for other, rows in zip(packs.column("other").to_pylist(), packs.column("rows"), strict=True):
+            out.append((other, block, scaled[np.frombuffer(rows.as_buffer(), "<i4")].tobytes()))
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["block", "other", "data"])
 
-    ``product`` gives state with ap_c. All columns go in step, each with factors of its own. A step is one product, one
-    table and one sum; the next residual's norm follows from the sums, and is summed afresh in the next step.
+    return run
+
+
+def _multiplied(width: int):
+    """(block, data, sums) of a block's packs and what was sent to it: its state with the product, and the inner products of r r, p ap, r ap and ap ap."""
+
+    def run(packs: pa.Table, sent: pa.Table) -> pa.Table:
+        came = dict(zip(sent.column("other").to_pylist(), sent.column("data"), strict=True))
+        s, x, r, p, _ = _matrices(came[-1], width)
+        y = np.zeros_like(p)
+        of = packs.column("other").to_numpy()
+        for k in np.argsort(of):  # in one order, so that sums don't depend on how rows arrive
+            rows, starts, place, weight = (np.frombuffer(packs.column(c)[int(k)].as_buffer(), t) for c, t in (("rows", "<i4"), ("starts", "<i8"), ("place", "<i4"), ("weight", "<f8")))
+            values = np.frombuffer(came[int(of[k])].as_buffer(), "<f8").reshape(-1, width)
+            y[rows] += np.add.reduceat(weight[:, None] * values[place], starts, axis=0)
+        ap = p - s * y
+        sums = np.concatenate([(u * v).sum(axis=0) for u, v in ((r, r), (p, ap), (r, ap), (ap, ap))])
+        data = [pa.array([sent.column("block")[0].as_py()], pa.int64()), pa.array([np.stack([s, x, r, p, ap]).tobytes()], pa.binary()), pa.array([sums.tolist()], pa.list_(pa.float64()))]
+        return pa.table(data, names=["block", "data", "sums"])
+
+    return run
+
+
+def _solutions(width: int):
+    """(block, at, x) of states."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                x = _matrices(data, width)[1]
+                flat = pa.ListArray.from_arrays(np.arange(len(x) + 1, dtype=np.int32) * width, pa.array(x.ravel()))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), block)), pa.array(np.arange(len(x))), flat], names=["block", "at", "x"])
+
+    return run
+
+
+def _conjugate_gradients(graph: Graph, start: DataFrame, columns: list[str], tolerance: float, most: int) -> Solved:
+    """values (node, x) with (1 - S W S) x = right for ``start`` (node, scale, right: a number for each column), S the scales, which are 0 where nothing is unknown.
+
+    All columns go in step, each with factors of its own. A step is one product, one
+    table and one sum; the next residual's norm follows from the sums, and is summed afresh in the next step. Tables but the last are removed again.
     """
-    first: dict[str, float] = {}
+    spark, width, blocks = start.sparkSession, len(columns), graph.blocks
+    top = f"{shared_dir(spark)}/gradients-{uuid.uuid4().hex}"
+    begun = start.join(blocks.nodes, "node").select("block", "at", "scale", "right").groupBy("block").applyInArrow(_begun(width), "block long, data binary")
+    packs = blocks.packs.groupBy("block")
+    state, factors, first = begun, None, None
     for step in range(most + 1):
-        table = cut(product(state))
-        sums = [F.sum(F.col(f"{a}_{c}") * F.col(f"{b}_{c}")).alias(f"{a}{b}_{c}") for c in columns for a, b in (("r", "r"), ("p", "ap"), ("r", "ap"), ("ap", "ap"))]
-        got = table.agg(*sums).first()
-        norms = {c: float(got[f"rr_{c}"] or 0.0) for c in columns}
-        first = first or norms
-        open_ = [c for c in columns if norms[c] > tolerance**2 * first[c] and (got[f"pap_{c}"] or 0) > 0]
-        if not open_ or step == most:
-            left = {c: (norms[c] / first[c]) ** 0.5 if first[c] > 0 else 0.0 for c in columns}
-            return Solved(table, left, step)
-        out = {}
-        for c in open_:
-            a = norms[c] / got[f"pap_{c}"]
-            after = max(0.0, norms[c] - 2 * a * got[f"rap_{c}"] + a * a * got[f"apap_{c}"])
-            x, r, p, ap = (F.col(f"{v}_{c}") for v in ("x", "r", "p", "ap"))
-            out |= {f"x_{c}": x + F.lit(a) * p, f"r_{c}": r - F.lit(a) * ap, f"p_{c}": r - F.lit(a) * ap + F.lit(after / norms[c]) * p}
-        state = table.withColumns(out).drop(*[f"ap_{c}" for c in columns])
+        needs = blocks.packs.select("block", "other", "rows").groupBy("block")
+        sent = needs.cogroup(state.groupBy("block")).applyInArrow(_stepped(width, factors), "block long, other long, data binary")
+        packs.cogroup(sent.groupBy("block")).applyInArrow(_multiplied(width), "block long, data binary, sums array<double>").write.option("compression", "none").parquet(f"{top}/{step}")
+        table = spark.read.schema("block long, data binary, sums array<double>").parquet(f"{top}/{step}")
+        if step:
+            remove(spark, f"{top}/{step - 1}")
+        got = [r["sums"] for r in table.select("block", "sums").orderBy("block").collect()]  # a row for each block
+        rr, pap, rap, apap = np.sum(got, axis=0).reshape(4, width) if got else np.zeros((4, width))
+        first = rr if first is None else first
+        moves = (rr > tolerance**2 * first) & (pap > 0)
+        if not moves.any() or step == most:
+            left = {c: float((n / f) ** 0.5) if f > 0 else 0.0 for c, n, f in zip(columns, rr, first, strict=True)}
+            found = table.select("block", "data").mapInArrow(_solutions(width), "block long, at long, x array<double>")
+            return Solved(cut(blocks.nodes.join(found, ["block", "at"]).select("node", "x")), left, step)
+        a = np.where(moves, rr / np.where(moves, pap, 1.0), 0.0)
+        factors = a, np.where(moves, np.maximum(0.0, rr - 2 * a * rap + a * a * apap) / np.where(moves, rr, 1.0), 0.0), moves
+        state = table.select("block", "data")
     raise AssertionError
 
 
@@ -326,20 +442,12 @@ def harmonic(graph: Graph, given: DataFrame, columns: list[str], tolerance: floa
     fixed = given.select("node", *[F.col(c).cast("double").alias(f"f_{c}") for c in columns])
     rows = cut(graph.degrees.join(fixed, "node", "left"))
     w = graph.times(rows.select("node", *[F.coalesce(f"f_{c}", F.lit(0.0)).alias(f"f_{c}") for c in columns]), [f"f_{c}" for c in columns])
-    start = rows.join(w.toDF("node", *[f"b_{c}" for c in columns]), "node", "left")
     free = lambda c, value: F.when(F.col(f"f_{c}").isNull() & (F.col("degree") > 0), value).otherwise(F.lit(0.0))
-    right = {c: free(c, F.coalesce(f"b_{c}", F.lit(0.0)) / root) for c in columns}
-    state = start.select("node", "degree", *[f"f_{c}" for c in columns], *[F.lit(0.0).alias(f"x_{c}") for c in columns], *[v.alias(f"r_{c}") for c, v in right.items()], *[v.alias(f"p_{c}") for c, v in right.items()])
-
-    def product(now: DataFrame) -> DataFrame:
-        moved = graph.times(now.select("node", *[free(c, F.col(f"p_{c}") / root).alias(f"p_{c}") for c in columns]), [f"p_{c}" for c in columns])
-        moved = moved.toDF("node", *[f"w_{c}" for c in columns])
-        ap = {f"ap_{c}": free(c, F.col(f"p_{c}") - F.coalesce(f"w_{c}", F.lit(0.0)) / root) for c in columns}
-        return now.join(moved, "node", "left").withColumns(ap).drop(*[f"w_{c}" for c in columns])
-
-    solved = _conjugate_gradients(state, columns, product, tolerance, most)
-    value = lambda c: F.coalesce(F.col(f"f_{c}"), F.when(F.col("degree") > 0, F.col(f"x_{c}") / root), F.lit(0.0))
-    return Solved(solved.values.select("node", *[value(c).alias(c) for c in columns]), solved.residuals, solved.steps)
+    start = rows.join(w.toDF("node", *[f"b_{c}" for c in columns]), "node", "left")
+    start = start.select("node", F.array(*[free(c, 1 / root) for c in columns]).alias("scale"), F.array(*[free(c, F.coalesce(f"b_{c}", F.lit(0.0)) / root) for c in columns]).alias("right"))
+    solved = _conjugate_gradients(graph, start, columns, tolerance, most)
+    value = lambda i, c: F.coalesce(F.col(f"f_{c}"), F.when(F.col("degree") > 0, F.col("x")[i] / root), F.lit(0.0))
+    return Solved(rows.join(solved.values, "node").select("node", *[value(i, c).alias(c) for i, c in enumerate(columns)]), solved.residuals, solved.steps)
 
 
 def poisson(graph: Graph, sources: DataFrame, columns: list[str], tolerance: float = 1e-8, most: int = 500) -> Solved:
@@ -352,19 +460,11 @@ def poisson(graph: Graph, sources: DataFrame, columns: list[str], tolerance: flo
     given = graph.degrees.where("degree > 0").join(sources.select("node", *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(f"s_{c}") for c in columns]), "node", "left").join(graph.parts(), "node")
     over = given.groupBy("part").agg(F.sum("degree").alias("whole"), *[F.sum(f"s_{c}").alias(f"o_{c}") for c in columns])
     balanced = given.join(over, "part").select("node", *[(F.coalesce(f"s_{c}", F.lit(0.0)) - F.col("degree") * F.coalesce(f"o_{c}", F.lit(0.0)) / F.col("whole")).alias(f"s_{c}") for c in columns])
-    right = lambda c: F.when(F.col("degree") > 0, F.coalesce(F.col(f"s_{c}"), F.lit(0.0)) / root).otherwise(F.lit(0.0))
-    rows = cut(graph.degrees.join(balanced, "node", "left"))
-    state = rows.select("node", "degree", *[F.lit(0.0).alias(f"x_{c}") for c in columns], *[right(c).alias(f"r_{c}") for c in columns], *[right(c).alias(f"p_{c}") for c in columns])
-
-    def product(now: DataFrame) -> DataFrame:
-        scaled = [F.when(F.col("degree") > 0, F.col(f"p_{c}") / root).otherwise(F.lit(0.0)).alias(f"p_{c}") for c in columns]
-        moved = graph.times(now.select("node", *scaled), [f"p_{c}" for c in columns]).toDF("node", *[f"w_{c}" for c in columns])
-        ap = {f"ap_{c}": F.when(F.col("degree") > 0, F.col(f"p_{c}") - F.coalesce(f"w_{c}", F.lit(0.0)) / root).otherwise(F.lit(0.0)) for c in columns}
-        return now.join(moved, "node", "left").withColumns(ap).drop(*[f"w_{c}" for c in columns])
-
-    solved = _conjugate_gradients(state, columns, product, tolerance, most)
-    value = lambda c: F.when(F.col("degree") > 0, F.col(f"x_{c}") / root).otherwise(F.lit(0.0))
-    return Solved(solved.values.select("node", *[value(c).alias(c) for c in columns]), solved.residuals, solved.steps)
+    linked = lambda value: F.when(F.col("degree") > 0, value / root).otherwise(F.lit(0.0))
+    rows = graph.degrees.join(balanced, "node", "left")
+    start = rows.select("node", F.array(*[linked(F.lit(1.0)) for _ in columns]).alias("scale"), F.array(*[linked(F.coalesce(f"s_{c}", F.lit(0.0))) for c in columns]).alias("right"))
+    solved = _conjugate_gradients(graph, start, columns, tolerance, most)
+    return Solved(graph.degrees.join(solved.values, "node").select("node", *[linked(F.col("x")[i]).alias(c) for i, c in enumerate(columns)]), solved.residuals, solved.steps)
 
 
 def argmax(columns: list[str]) -> Column:

@@ -218,3 +218,32 @@ def test_trusted_keywords_by_hand(spark):
     assert [x for x in of(share=1.0, each=1)] == [(i, "every", 1) for i in range(10)]
     assert of(share=0.0) == [(2, "paired", 1), (5, "paired", 1)] and of(least=3) == [(0, "third", 1), (1, "third", 1), (2, "third", 1)]
     assert of(least=1, share=0.1, shortest=7) == [(i, f"single{i}", 1) for i in range(10)]
+
+
+def test_a_value_moves_once_for_each_block_that_needs_it(spark, monkeypatch):
+    """A product with the graph in several blocks: packs hold the edges whole, and systems have their answers, also where a hub meets all and a node is alone."""
+    monkeypatch.setattr(solvers, "LEAST_BLOCK", 16)
+    monkeypatch.setattr(solvers, "BLOCKS", 4)
+    rng = np.random.default_rng(12)
+    w = np.triu(rng.uniform(0.1, 1, (150, 150)) * (rng.random((150, 150)) < 0.05), 1)
+    w[0, 1:140] = 0.3
+    w = w + w.T
+    w[149], w[:, 149] = 0, 0
+    nodes = spark.createDataFrame([(int(i),) for i in range(150)], "node long")
+    edges = spark.createDataFrame([(int(i), int(j), float(w[i, j])) for i, j in zip(*np.nonzero(w), strict=True)], "a long, b long, weight double")
+    with solvers.Graph(edges, nodes) as graph:
+        assert graph.blocks.count == 4
+        block = {r["node"]: r["block"] for r in graph.blocks.nodes.collect()}
+        packs = graph.blocks.packs.collect()
+        assert len({(r["block"], r["other"]) for r in packs}) == len(packs) <= 16
+        assert sum(len(r["weight"]) // 8 for r in packs) == np.count_nonzero(w)
+        assert sum(len(r["rows"]) // 4 for r in packs) == len({(i, block[j]) for i, j in zip(*map(np.ndarray.tolist, np.nonzero(w)), strict=True)})
+        given = spark.createDataFrame([(1, 1.0, None), (2, 0.0, 2.0), (77, None, -1.0)], "node long, a double, b double")
+        got = {r["node"]: (r["a"], r["b"]) for r in solvers.harmonic(graph, given, ["a", "b"], 1e-9).values.collect()}
+    assert len(got) == 150
+    for column, fixed in enumerate(({1: 1.0, 2: 0.0}, {2: 2.0, 77: -1.0})):
+        lap, right = np.diag(w.sum(axis=1)) - w, np.zeros(150)
+        lap[149, 149] = 1
+        for at, value in fixed.items():
+            lap[at], lap[at, at], right[at] = 0, 1, value
+        assert [got[i][column] for i in range(150)] == pytest.approx(np.linalg.solve(lap, right), abs=1e-7)
