@@ -3,6 +3,7 @@
 import datetime
 import random
 
+import pandas as pd
 import pytest
 
 from quillstone.streaming import ordered, streams
@@ -85,3 +86,61 @@ def test_machines():
         answers.append(ok)
     assert answers == [True, False, True, True, False, True]
     assert ordered.KEY_HEALTH.idle((2, 5.0)) is None and ordered.KEY_HEALTH.idle((0, 5.0)) == 5.0
+
+
+def test_events_wait_in_packs():
+    """A bucket's events of a batch are few values of the state, whatever their keys, and come out in order, those that the watermark has not passed later."""
+
+    class State:
+        def __init__(self):
+            self.values = []
+
+        def appendList(self, values):  # noqa: N802
+            self.values += values
+
+        def put(self, values):
+            self.values = list(values)
+
+        update = put
+
+        def exists(self):
+            return bool(self.values)
+
+        def get(self):
+            return iter(self.values) if self is waiting else self.values or None
+
+        def clear(self):
+            self.values = []
+
+    class Handle:
+        timers = []
+
+        def getListState(self, name, schema):  # noqa: N802
+            return waiting
+
+        def getValueState(self, name, schema):  # noqa: N802
+            return State()
+
+        def registerTimer(self, ms):  # noqa: N802
+            self.timers.append(ms)
+
+    class Times:
+        def __init__(self, ms):
+            self.ms = ms
+
+        def getCurrentWatermarkInMs(self):  # noqa: N802
+            return self.ms
+
+    waiting, rows = State(), given(9, 25_000)
+    machine = ordered.InOrder(ordered.RATE_CAP)
+    machine.init(Handle())
+    us = {r[0]: (r[1] - BEGIN) // datetime.timedelta(microseconds=1) for r in rows}
+    shuffled = random.Random(2).sample(rows, len(rows))
+    machine.handleInputRows((1,), iter([pd.DataFrame({"us": [us[r[0]] for r in shuffled], "event_id": [str(r[0]) for r in shuffled], "user_id": [str(r[2]) for r in shuffled], "event_type": [r[3] for r in shuffled]})]), None)
+    assert len(waiting.values) == 3
+    first = [r for f in machine.handleExpiredTimer((1,), Times(3 * 3600 * 1000), None) for r in f.to_dict("records")]
+    assert all(us[r["event_id"]] <= 3 * 3600 * 10**6 for r in first) and 0 < len(waiting.values) < 3
+    last = [r for f in machine.handleExpiredTimer((1,), Times(7 * 3600 * 1000), None) for r in f.to_dict("records")]
+    assert waiting.values == [] and [r["event_id"] for r in first + last] == [r[0] for r in rows]
+    assert {r["event_id"]: r["answer"] for r in first + last} == replay(rows, ordered.RATE_CAP)
+    assert [r["user_id"] for r in first + last] == [r[2] for r in rows]
