@@ -91,6 +91,8 @@ for _method in ("laplace", "poisson"):
 # --- texts and keywords: neighbours either way, trusted and negative texts ---
 
 NEAR, FAR, OF_TEXT = 5, 15, 5
+#: Vectors of more numbers than this, or of different numbers, are summed number by number.
+WIDEST = 256
 
 
 def _keywords(spark, sf_dir):
@@ -102,6 +104,11 @@ def _keywords(spark, sf_dir):
     rows = _rows(spark, sf_dir).select(F.col("id").alias("text_id"), F.col("v").cast("array<double>").alias("v"))
     length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
     parts = members.join(rows, "text_id").withColumn("length", length).where("length > 0")
+    sizes = rows.agg(F.min(F.size("v")), F.max(F.size("v"))).first()
+    if sizes[0] == sizes[1] and 0 < sizes[0] <= WIDEST:  # one row for a text's keyword, not one for each of its numbers
+        each = [F.round(F.avg(F.col("v")[i] / F.col("length")), 9) for i in range(sizes[0])]
+        means = parts.groupBy("k").agg(F.array(*each).alias("v"), F.min(F.expr("text_id * 16 + r")).alias("id"), F.count("*").alias("n"))
+        return means.where("n >= 2").select("k", "id", "v")
     parts = parts.select("k", F.expr("text_id * 16 + r").alias("at"), "text_id", F.posexplode(F.transform("v", lambda x: x / F.col("length"))).alias("i", "x"))
     means = parts.groupBy("k", "i").agg(F.round(F.avg("x"), 9).alias("x"), F.min("at").alias("id"), F.count("*").alias("n")).where("n >= 2")
     return means.groupBy("k", "id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda p: p["x"]).alias("v"))
