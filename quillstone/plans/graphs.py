@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from quillstone.functions import pivots
 from quillstone.functions import text as T
 from quillstone.functions import vectors as V
 from quillstone.operators import graph as G
@@ -142,8 +143,12 @@ def pic_clusters(spark, sf_dir):
 
 @register("label_propagation")
 def label_propagation(spark, sf_dir):
+    """The labels of every 20th row, spread over the graph of each row's nearest rows."""
+    rows = _vectors(spark, sf_dir)
+    near = pivots.search(rows, pivots.build(rows), 8, skip_self=True).found
+    edges = G.laplace_edges(near.select(F.col("qid").alias("a"), F.col("id").alias("b"), (1 - F.col("score")).alias("d")))
     seeds = table(spark, sf_dir, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("node"), "label", F.lit(1.0).alias("u"))
-    return G.strongest(G.propagate_labels(cut(_neighbours(spark, sf_dir)), seeds))  # the search runs once, not in every round
+    return G.strongest(G.propagate_labels(cut(edges), seeds))  # the search runs once, not in every round
 
 
 # --- decision trees: inline documents ---
