@@ -1,9 +1,8 @@
 """Linear algebra on large weighted graphs: eigenvectors of their Laplacians, harmonic functions, Poisson equations.
 
-A graph is an edge table; a vector is a table with a row for each node. One product of the
-matrix with a block of vectors is a join with the edges and a sum by node. The edges are kept by the node that
-the vectors are joined by, so a product shuffles the sums only. All else
-(inner products, small dense problems) are sums of a fixed number of values. The driver holds
+A graph is an edge table; a vector is a table with a row for each node. For products with many vectors or in
+many steps, nodes are dealt to blocks, and the edges between two blocks are small matrices: a step is one exchange of what
+blocks need of each other, and its inner products are sums of a fixed number of values a block. The driver holds
 matrices whose size is the number of vectors, never a vector. Every step's vectors are
 written to the shared folder, so a lost executor costs one step.
 """
@@ -11,7 +10,7 @@ written to the shared folder, so a lost executor costs one step.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -21,7 +20,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillstone.session import cut, remove, shared_dir, ship
+from quillstone.session import cut, remove, shared_dir, ship, sweep
 
 
 class Graph:
@@ -50,7 +49,7 @@ class Graph:
 
     @cached_property
     def blocks(self) -> Blocks:
-        """The graph in blocks, made when the first linear system needs it."""
+        """The graph in blocks, made when the first product needs it."""
         return Blocks(self)
 
     def times(self, vectors: DataFrame, columns: list[str]) -> DataFrame:
@@ -74,6 +73,84 @@ class Graph:
         raise RuntimeError(f"no end of parts after {most} rounds")
 
 
+# --- the graph in blocks ---
+
+#: Blocks of nodes that a graph is cut into, if that many are of a size between the least and the greatest number of nodes.
+BLOCKS, LEAST_BLOCK, GREATEST_BLOCK = 12, 2048, 32_768
+#: Bytes that steps move before the shuffle files behind them are let go.
+SWEEP = 1 << 28
+
+
+def _pack(key: tuple, ways: pa.Table) -> pa.Table:
+    """The edges (i, j, weight) from one block to another: the rows i that have any, where each one's edges start, and of each edge the place of j among the j that occur."""
+    i, j, weight = (ways.column(c).to_numpy() for c in ("i", "j", "weight"))
+    order = np.lexsort((j, i))
+    rows, starts = np.unique(i[order], return_index=True)
+    place = np.unique(j, return_inverse=True)[1].ravel()[order]
+    data = [rows.astype("<i4"), starts.astype("<i8"), place.astype("<i4"), weight[order].astype("<f8")]
+    return pa.table([pa.array([key[0].as_py()], pa.int64()), pa.array([key[1].as_py()], pa.int64()), *[pa.array([x.tobytes()], pa.binary()) for x in data]], names=["block", "other", "rows", "starts", "place", "weight"])
+
+
+class Blocks:
+    """A graph in blocks: ``nodes`` (node, block, at), each block's places from 0, and ``packs``, the edges of a row's block with one other block.
+
+    As edges stand both ways, the rows of a pack are also the values that the other block needs from this one: a value moves once for each block that
+    needs it, and at most once for each edge. A pack is small matrices for numpy, so a product makes no row for an edge.
+    """
+
+    def __init__(self, graph: Graph):
+        count = graph.degrees.count()
+        each = min(max(-(-count // BLOCKS), LEAST_BLOCK), GREATEST_BLOCK)
+        self.count = max(1, -(-count // each))
+        dealt = graph.degrees.select("node", F.pmod(F.xxhash64("node"), F.lit(self.count)).cast("long").alias("block"))
+        self.nodes = cut(dealt.withColumn("at", (F.row_number().over(Window.partitionBy("block").orderBy("node")) - 1).cast("long")))
+        ends = [self.nodes.select(F.col("node").alias(x), F.col("block").alias(name), F.col("at").alias(at)) for x, name, at in (("a", "block", "i"), ("b", "other", "j"))]
+        ways = graph.edges.join(ends[1], "b").join(ends[0], "a").select("block", "other", "i", "j", "weight")
+        packs = ways.groupBy("block", "other").applyInArrow(_pack, "block long, other long, rows binary, starts binary, place binary, weight binary")
+        self.moved = 0
+        self.packs = packs.repartition(self.count, "block").sortWithinPartitions("block").persist(StorageLevel.MEMORY_AND_DISK)
+
+    def step(self, state: DataFrame, stepped: Callable, multiplied: Callable, path: str) -> tuple[DataFrame, np.ndarray]:
+        """One product: each block's (packs, state) to what it sends, then its (packs, what came) to its next state, written to ``path``, and the sum of all blocks' sums."""
+        spark, packs = state.sparkSession, self.packs.groupBy("block")
+        needs = self.packs.select("block", "other", "rows").groupBy("block")
+        sent = needs.cogroup(state.groupBy("block")).applyInArrow(stepped, "block long, other long, data binary")
+        packs.cogroup(sent.groupBy("block")).applyInArrow(multiplied, "block long, data binary, moved long, sums binary").write.option("compression", "none").parquet(path)
+        table = spark.read.schema("block long, data binary, moved long, sums binary").parquet(path)
+        got = sorted(table.select("block", "moved", "sums").collect())  # a row for each block, in one order, so that sums don't depend on how rows arrive
+        self.moved += sum(r["moved"] for r in got)
+        if self.moved > SWEEP:
+            self.moved = 0
+            sweep(spark)
+        return table, np.sum([np.frombuffer(r["sums"], "<f8") for r in got], axis=0)
+
+
+def _sent(block: int, own: np.ndarray, values: np.ndarray, packs: pa.Table) -> pa.Table:
+    """(block, other, data): a block's own state under -1, and of the values of its nodes those that each other block needs."""
+    blocks, others, data = [block], [-1], [own.tobytes()]
+    for other, rows in zip(packs.column("other").to_pylist(), packs.column("rows"), strict=True):
+        blocks.append(other)
+        others.append(block)
+        data.append(values[np.frombuffer(rows.as_buffer(), "<i4")].tobytes())
+    return pa.table([pa.array(blocks, pa.int64()), pa.array(others, pa.int64()), pa.array(data, pa.binary())], names=["block", "other", "data"])
+
+
+def _neighbours_sum(packs: pa.Table, came: dict[int, pa.Scalar], count: int, width: int) -> np.ndarray:
+    """The weight matrix times what came to a block of so many nodes."""
+    y, of = np.zeros((count, width)), packs.column("other").to_numpy()
+    for k in np.argsort(of):  # in one order, so that sums don't depend on how rows arrive
+        rows, starts, place, weight = (np.frombuffer(packs.column(c)[int(k)].as_buffer(), t) for c, t in (("rows", "<i4"), ("starts", "<i8"), ("place", "<i4"), ("weight", "<f8")))
+        values = np.frombuffer(came[int(of[k])].as_buffer(), "<f8").reshape(-1, width)
+        y[rows] += np.add.reduceat(weight[:, None] * values[place], starts, axis=0)
+    return y
+
+
+def _kept(sent: pa.Table, state: np.ndarray, sums: np.ndarray, came: dict[int, pa.Scalar]) -> pa.Table:
+    """(block, data, moved, sums): a block's next state, the bytes that came to it and its part of the sums."""
+    moved = sum(len(x.as_buffer()) for x in came.values())
+    return pa.table([pa.array([sent.column("block")[0].as_py()], pa.int64()), pa.array([state.tobytes()], pa.binary()), pa.array([moved], pa.int64()), pa.array([sums.tobytes()], pa.binary())], names=["block", "data", "moved", "sums"])
+
+
 # --- eigenvectors ---
 
 FORMS = ("combinatorial", "randomwalk", "normalized")
@@ -89,201 +166,145 @@ class Eigen:
     products: int
 
 
-def _numbers(column: pa.Array, width: int) -> np.ndarray:
-    return np.asarray(column.flatten()).reshape(len(column), width)
-
-
-def _grams(width: int, block: int):
-    """Of rows q (width numbers), y (block numbers): the sums of the outer products of (q, y) with y."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((width + block, block))
-        for batch in batches:
-            q, y = _numbers(batch.column(0), width), _numbers(batch.column(1), block)
-            total += np.concatenate([q, y], axis=1).T @ y
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size)), pa.array(total.ravel())], names=["at", "value"])
-
-    return run
+def _inverse_root(gram: np.ndarray, least: float) -> np.ndarray:
+    """A matrix that makes columns with this Gram matrix orthonormal; directions shorter than ``least`` (squared) are left out."""
+    values, vectors = np.linalg.eigh((gram + gram.T) / 2)
+    keep = values > max(least, 1e-300)
+    return vectors[:, keep] / np.sqrt(values[keep])
 
 
-def _gram(table: DataFrame, width: int, block: int) -> np.ndarray:
-    sums = table.select("q", "y").mapInArrow(_grams(width, block), "at long, value double").groupBy("at").agg(F.sum("value").alias("value")).toArrow()
-    out = np.zeros((width + block) * block)
-    out[sums.column("at").to_numpy()] = sums.column("value").to_numpy()
-    return out.reshape(width + block, block)
+# A block's state is one matrix with a row for a node: its scale, or its degree for D - W, the basis, and the product with the newest columns of the basis.
 
 
-def _turned(matrix: np.ndarray, width: int):
-    """Rows (node, q, y, degree) with y as (q, y) times the matrix, which has width rows more than y has numbers."""
+def _drawn(width: int):
+    """Rows (block, at, scale, start) of a block to its state, with ``start`` for the product."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            q, y = _numbers(batch.column(1), width), _numbers(batch.column(2), len(matrix) - width)
-            out = np.concatenate([q, y], axis=1) @ matrix
-            flat = pa.ListArray.from_arrays(np.arange(len(out) + 1, dtype=np.int32) * out.shape[1], pa.array(out.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), flat, batch.column(3)], names=["node", "q", "y", "degree"])
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        order = np.argsort(rows.column("at").to_numpy())
+        start = np.asarray(rows.column("start").combine_chunks().flatten(), np.float64).reshape(-1, width)
+        own = np.concatenate([rows.column("scale").to_numpy()[:, None], start], axis=1)[order]
+        return pa.table([pa.array([key[0].as_py()], pa.int64()), pa.array([own.tobytes()], pa.binary())], names=["block", "data"])
 
     return run
 
 
-def _both_turned(matrix: np.ndarray):
-    """Rows (node, y, p) with y and p times the matrix."""
+def _turned(turn: np.ndarray, fresh: int, combinatorial: bool):
+    """(block, other, data) of a block's packs and its state: the basis and the product times ``turn``, which is the next basis, and of its ``fresh`` last columns what each other block needs."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = [_numbers(batch.column(i), len(matrix)) @ matrix for i in (1, 2)]
-            lists = [pa.ListArray.from_arrays(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1], pa.array(x.ravel())) for x in out]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *lists], names=["node", "y", "p"])
+    def run(packs: pa.Table, states: pa.Table) -> pa.Table:
+        block = states.column("block")[0].as_py()
+        was = np.frombuffer(states.column("data")[0].as_buffer(), "<f8").reshape(-1, 1 + len(turn))
+        own = np.concatenate([was[:, :1], was[:, 1:] @ turn], axis=1)
+        return _sent(block, own, own[:, -fresh:] * (1.0 if combinatorial else own[:, :1]), packs)
 
     return run
 
 
-def _inverse_root(gram: np.ndarray, least: float) -> np.ndarray:
-    """A matrix that makes columns with this Gram matrix orthonormal; directions shorter than ``least`` (squared) are left out."""
-    values, vectors = np.linalg.eigh((gram + gram.T) / 2)
-    keep = values > max(least, 1e-300)
-    return vectors[:, keep] / np.sqrt(values[keep])
-
+def _projected(width: int, fresh: int, combinatorial: bool, values: np.ndarray):
+    """(block, data, sums) of a block's packs and what was sent to it: its state with the product y of the basis' last columns x, and (basis, y) times (x, y), and how far y is from x times the values."""
 
-def _product(graph: Graph, rows: DataFrame, start: int, block: int, combinatorial: bool) -> DataFrame:
-    """rows (node, q, degree) with y: the matrix times block columns of q. Its greatest eigenvalues belong to the Laplacian's smallest."""
-    names = [f"x{i}" for i in range(block)]
-    root = F.lit(1.0) if combinatorial else F.when(F.col("degree") > 0, 1 / F.sqrt("degree")).otherwise(F.lit(0.0))
-    moved = graph.times(rows.select("node", *[(F.col("q")[start + i] * root).alias(n) for i, n in enumerate(names)]), names)
-    got = [F.coalesce(n, F.lit(0.0)) * root for n in names]
-    if combinatorial:
-        got = [g - F.col("degree") * F.col("q")[start + i] for i, g in enumerate(got)]
-    return rows.join(moved, "node", "left").select("node", "q", F.array(*got).alias("y"), "degree")
+    def run(packs: pa.Table, sent: pa.Table) -> pa.Table:
+        came = dict(zip(sent.column("other").to_pylist(), sent.column("data"), strict=True))
+        own = np.frombuffer(came[-1].as_buffer(), "<f8").reshape(-1, 1 + width)
+        scale, x = own[:, :1], own[:, -fresh:]
+        y = _neighbours_sum(packs, came, len(own), fresh)
+        y = y - scale * x if combinatorial else scale * y
+        whole = np.concatenate([own, y], axis=1)
+        sums = np.concatenate([(whole[:, 1:].T @ np.concatenate([x, y], axis=1)).ravel(), ((y - x * values) ** 2).sum(axis=0)])
+        return _kept(sent, whole, sums, came)
 
+    return run
 
-#: Filter steps in one job; what a filter may stretch the greatest direction by before its columns are made orthonormal again; its steps at most.
-CHAIN, STRETCH, FILTER = 4, 1e5, 64
 
+def _coordinates(width: int):
+    """(block, at, scale, v) of states: the first ``width`` columns of the basis."""
 
-def _matrix(graph: Graph, combinatorial: bool) -> DataFrame:
-    """(a, b, weight, loop): the matrix with its diagonal, which has a row for every node, kept by b."""
-    if combinatorial:
-        ways = graph.edges.select("a", "b", "weight")
-    else:
-        of = lambda x: graph.degrees.select(F.col("node").alias(x), F.sqrt("degree").alias(f"root_{x}"))
-        ways = graph.edges.join(of("a"), "a").join(of("b"), "b").select("a", "b", (F.col("weight") / F.col("root_a") / F.col("root_b")).alias("weight"))
-    own = graph.degrees.select(F.col("node").alias("a"), F.col("node").alias("b"), (-F.col("degree") if combinatorial else F.lit(0.0)).alias("weight"), F.lit(True).alias("loop"))
-    return ways.withColumn("loop", F.lit(False)).unionByName(own).repartition("b").persist(StorageLevel.MEMORY_AND_DISK)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                own = np.frombuffer(data.as_buffer(), "<f8").reshape(-1, 1 + 2 * width)
+                flat = pa.ListArray.from_arrays(np.arange(len(own) + 1, dtype=np.int32) * width, pa.array(own[:, 1 : 1 + width].ravel()))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), block)), pa.array(np.arange(len(own))), pa.array(own[:, 0]), flat], names=["block", "at", "scale", "v"])
 
+    return run
 
-def _filtered(matrix: DataFrame, rows: DataFrame, size: int, low: float, high: float, top: float, degree: int) -> DataFrame:
-    """(node, y) for rows (node, y): the Chebyshev polynomial that keeps [low, high] small and lets all above it grow, times y.
 
-    A step is one join and one sum by node, which takes the vector before along with the loops. Columns are made
-    orthonormal again before the greatest drowns the others; the recurrence holds for any combination of the columns.
-    """
-    now, before = [f"c{i}" for i in range(size)], [f"p{i}" for i in range(size)]
-    mid, half = (low + high) / 2, (high - low) / 2
-    every = max(1, int(np.log(STRETCH) / max(np.arccosh(max(1.0, (top - mid) / half)), 1e-9)))
-    table, since, step = rows.select("node", *[F.col("y")[i].alias(c) for i, c in enumerate(now)], *[F.lit(0.0).alias(p) for p in before]), 0, 0
-    while step < degree:
-        chain = min(CHAIN, every, degree - step)
-        if since + chain > every:
-            gram = _gram(table.select(F.array().cast("array<double>").alias("q"), F.array(*now).alias("y")), 0, size)
-            values, vectors = np.linalg.eigh((gram + gram.T) / 2)
-            turn = vectors / np.sqrt(np.maximum(values, max(1e-13 * values[-1], 1e-300)))
-            dtype = dict(table.dtypes)["node"]
-            arrays = table.select("node", F.array(*now).alias("y"), F.array(*before).alias("p")).mapInArrow(_both_turned(turn), f"node {dtype}, y array<double>, p array<double>")
-            table, since = arrays.select("node", *[F.col("y")[i].alias(c) for i, c in enumerate(now)], *[F.col("p")[i].alias(c) for i, c in enumerate(before)]), 0
-        for _ in range(chain):
-            factor = (2.0 if step else 1.0) / half
-            sums = [F.sum(F.lit(factor) * F.col("weight") * F.col(c) - F.when(F.col("loop"), F.lit(factor * mid) * F.col(c) + F.col(p)).otherwise(0.0)).alias(c) for c, p in zip(now, before, strict=True)]
-            kept = [F.sum(F.when(F.col("loop"), F.col(c)).otherwise(0.0)).alias(p) for c, p in zip(now, before, strict=True)]
-            table = matrix.join(table.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(*sums, *kept)
-            step, since = step + 1, since + 1
-        table = cut(table)
-    return table.select("node", F.array(*now).alias("y"))
+#: Blocks of columns that stay when a subspace is full.
+KEPT = 4
 
 
 def eigenvectors(graph: Graph, k: int, form: str = "normalized", tolerance: float = 1e-6, steps: int = 12, restarts: int = 20, seed: int = 7) -> Eigen:
-    """The k smallest eigenvalues and vectors of a graph's Laplacian, by block Krylov subspaces, restarted through a Chebyshev filter.
+    """The k smallest eigenvalues and vectors of a graph's Laplacian, by block Krylov subspaces that restart with their best Ritz vectors.
 
-    A filter's bounds and its number of steps follow from the values found so far. Its steps need no inner products and
-    carry no subspace along, so values close to each other, as large neighbour graphs have them, take far fewer and lighter steps.
+    A step is one product of the matrix with the newest columns of the basis, one table and one sum, over the graph in blocks. The driver has the
+    basis' Gram matrix and its products with the matrix, summed afresh for the newest columns, so rounding in the basis does not build up.
+    A full subspace is turned to its ``KEPT`` blocks of best vectors together with the next columns, so a restart costs no step and the subspace goes on.
 
     ``form``: D - W; "randomwalk", D**-1 (D - W), whose vectors have length one; "normalized", with D**-1/2 on
     both sides. A node without neighbours is an eigenvector of its own, with value 0 in D - W and 1 in the other forms.
     Ends when the residuals of all k are below the tolerance (times the greatest degree for D - W), else after ``restarts``
-    subspaces of up to ``steps`` blocks. The residuals returned are measured, those of "normalized" for "randomwalk".
+    times ``steps`` products. The residuals returned are measured, those of "normalized" for "randomwalk".
     """
     if form not in FORMS:
         raise ValueError(f"unknown form {form!r}; known: {FORMS}")
-    combinatorial = form == "combinatorial"
-    schema = f"node {dict(graph.degrees.dtypes)['node']}, q array<double>, y array<double>, degree double"
-    nothing = F.array().cast("array<double>")
+    combinatorial, spark = form == "combinatorial", graph.degrees.sparkSession
     stats = graph.degrees.agg(F.count("*").alias("n"), F.max("degree").alias("most")).first()
     n, k = stats["n"], min(k, stats["n"])
     if not k:
-        return Eigen(np.zeros(0), graph.degrees.select("node", nothing.alias("v")), np.zeros(0), 0)
+        return Eigen(np.zeros(0), graph.degrees.select("node", F.array().cast("array<double>").alias("v")), np.zeros(0), 0)
     bound = tolerance * ((stats["most"] or 1.0) if combinatorial else 1.0)
-    size = min(n, k + 2)
+    size, blocks = min(n, k + 2), graph.blocks
     # numbers by hash of node and place, so that the start does not depend on the partitioning
-    draw = lambda i: F.pmod(F.xxhash64("node", F.lit(seed), F.lit(i)), F.lit(1 << 30)) / float(1 << 29) - 1
-    rows = graph.degrees.select("node", nothing.alias("q"), F.array(*[draw(i) for i in range(size)]).alias("y"), "degree")
-    products, matrix = 0, None
-    for restart in range(restarts):
-        width, fresh, projected = 0, size, np.zeros((0, 0))
-        while True:
-            rows = cut(rows)
-            gram = _gram(rows, width, fresh)
-            inside, own = gram[:width], gram[width:]
-            left = own - inside.T @ inside
-            if width:
-                wider = np.zeros((width, width))
-                wider[: len(projected), : len(projected)] = projected
-                wider[:, -fresh:], wider[-fresh:] = inside, inside.T
-                projected = wider
-                values, small = np.linalg.eigh((projected + projected.T) / 2)
-                best = np.argsort(-values)[:k]
-                tails = small[-fresh:, best]
-                off = np.sqrt(np.maximum(0, np.einsum("ij,ik,kj->j", tails, left, tails)))
-                if width >= k and off.max() < bound / 2 or width >= steps * size:
-                    break
-            root = _inverse_root(left, 1e-13 * max(np.abs(np.diag(own)).max(), 1e-300))
-            if not root.shape[1]:
-                break
-            # twice: the second time takes out what rounding left of the columns before
-            turn = np.concatenate([-inside @ root, root])
-            gram = _gram(rows.select("node", "q", "y", "degree").mapInArrow(_turned(turn, width), schema), width, root.shape[1])
-            again = _inverse_root(gram[width:] - gram[:width].T @ gram[:width], 1e-8)
-            turn = turn @ again
-            turn[:width] -= gram[:width] @ again
-            fresh = again.shape[1]
-            rows = rows.select("node", "q", "y", "degree").mapInArrow(_turned(turn, width), schema)
-            rows = _product(graph, rows.select("node", F.concat("q", "y").alias("q"), "degree"), width, fresh, combinatorial)
-            width, products = width + fresh, products + 1
-        values, small = np.linalg.eigh((projected + projected.T) / 2)
-        best = np.argsort(-values)[:size]
-        turn = np.concatenate([small[:, best], np.zeros((fresh, len(best)))])
-        ritz = rows.select("node", "q", "y", "degree").mapInArrow(_turned(turn, width), schema)
-        measured = cut(_product(graph, ritz.select("node", F.col("y").alias("q"), "degree"), 0, len(best), combinatorial))
+    draw = lambda i: (F.pmod(F.xxhash64("node", F.lit(seed), F.lit(i)), F.lit(1 << 30)) / float(1 << 29) - 1) * float((3 / n) ** 0.5)
+    scale = F.col("degree") if combinatorial else F.when(F.col("degree") > 0, 1 / F.sqrt("degree")).otherwise(F.lit(0.0))
+    start = graph.degrees.select("node", scale.alias("scale"), F.array(*[draw(i) for i in range(size)]).alias("start"))
+    state = start.join(blocks.nodes, "node").select("block", "at", "scale", "start").groupBy("block").applyInArrow(_drawn(size), "block long, data binary")
+    top = f"{shared_dir(spark)}/eigenvectors-{uuid.uuid4().hex}"
+    turn, fresh, kept, values, products = np.eye(size), size, np.zeros((2, 0, 0)), None, 0
+    while True:
+        width = turn.shape[1]
+        apart = np.zeros(fresh) if values is None else values
+        state, sums = blocks.step(state, _turned(turn, fresh, combinatorial), _projected(width, fresh, combinatorial, apart), f"{top}/{products}")
+        if products:
+            remove(spark, f"{top}/{products - 1}")
         products += 1
-        theta = values[best]
-        norms = [F.sqrt(F.sum(F.pow(F.col("y")[i] - F.lit(float(t)) * F.col("q")[i], 2))) for i, t in enumerate(theta[:k])]
-        residuals = np.array(measured.agg(*norms).first(), dtype=float)
-        if residuals.max() < bound:
+        inner, residuals = sums[:-fresh].reshape(width + fresh, 2 * fresh), np.sqrt(sums[-fresh:])
+        if values is not None and (last or residuals.max() < bound):
             break
-        rows, size = measured.select("node", nothing.alias("q"), F.col("q").alias("y"), "degree"), len(best)
-        low, high = (-2 * (stats["most"] or 1.0) if combinatorial else -1.0), np.sort(values)[-size - 1] if len(values) > size else -np.inf
-        if restart + 1 < restarts and high > low:
-            apart = np.arccosh(1 + 2 * max(theta[k - 1] - high, 0) / (high - low))
-            degree = int(min(FILTER, max(8, np.arccosh(max(2.0, 4 * residuals.max() / bound)) / max(apart, 1e-9))))
-            matrix = _matrix(graph, combinatorial) if matrix is None else matrix
-            rows = _filtered(matrix, rows, size, low, high, theta[0], degree).join(graph.degrees, "node").select("node", nothing.alias("q"), "y", "degree")
-            products += degree
-    if matrix is not None:
-        matrix.unpersist()
-    vectors = measured.select("node", "degree", F.slice("q", 1, k).alias("v"))
+        # the Gram matrix of the basis and the projected matrix: known for what was kept, summed for what is new
+        both = np.zeros((2, width, width))
+        both[:, : width - fresh, : width - fresh] = kept
+        for j in range(2):
+            both[j, :, -fresh:] = inner[:width, j * fresh : (j + 1) * fresh]
+            both[j, -fresh:] = both[j, :, -fresh:].T
+        gram, projected = both
+        lengths = _inverse_root(gram, 1e-12 * np.diag(gram).max())
+        theta, small = np.linalg.eigh(lengths.T @ ((projected + projected.T) / 2) @ lengths)
+        ritz = lengths @ small[:, ::-1]
+        inside, own = inner[:width, fresh:], inner[width:, fresh:]
+        across = lengths @ (lengths.T @ inside)
+        left = own - inside.T @ across
+        tails = ritz[-fresh:, :k]
+        off = np.sqrt(np.maximum(0, np.einsum("ij,ik,kj->j", tails, left, tails)))
+        root = _inverse_root(left, 1e-13 * max(np.abs(np.diag(own)).max(), 1e-300))
+        last = not root.shape[1] or products >= restarts * steps
+        if last or len(theta) >= k and off.max() < 0.9 * bound:
+            values, best = theta[::-1][:k], ritz[:, :k]
+            turn, fresh, kept = np.concatenate([best, np.zeros((fresh, k))]), k, np.zeros((2, 0, 0))
+            continue
+        values = None
+        best = ritz[:, : KEPT * size] if width + root.shape[1] > (KEPT + steps) * size else np.eye(width)
+        kept = np.stack([best.T @ x @ best for x in both])
+        turn = np.block([[best, -across @ root], [np.zeros((fresh, best.shape[1])), root]])
+        fresh = root.shape[1]
+    found = blocks.nodes.join(state.select("block", "data").mapInArrow(_coordinates(k), "block long, at long, scale double, v array<double>"), ["block", "at"])
     if form == "randomwalk":
-        scaled = vectors.select("node", F.transform("v", lambda x: F.when(F.col("degree") > 0, x / F.sqrt("degree")).otherwise(x)).alias("v"))
-        lengths = scaled.agg(*[F.sqrt(F.sum(F.pow(F.col("v")[i], 2))) for i in range(k)]).first()
-        vectors = scaled.select("node", F.array(*[F.col("v")[i] / F.lit(float(x or 1.0)) for i, x in enumerate(lengths)]).alias("v"))
-    return Eigen(-theta[:k] if combinatorial else 1 - theta[:k], vectors.select("node", "v"), residuals, products)
+        found = found.withColumn("v", F.transform("v", lambda x: F.when(F.col("scale") > 0, x * F.col("scale")).otherwise(x)))
+        lengths = found.agg(*[F.sqrt(F.sum(F.pow(F.col("v")[i], 2))) for i in range(k)]).first()
+        found = found.withColumn("v", F.array(*[F.col("v")[i] / F.lit(float(x or 1.0)) for i, x in enumerate(lengths)]))
+    found = cut(found.select("node", "v"))
+    remove(spark, top)
+    return Eigen(-values if combinatorial else 1 - values, found, residuals, products)
 
 
 # --- linear systems ---
@@ -298,39 +319,6 @@ class Solved:
     steps: int
 
 
-#: Blocks of nodes that a graph is cut into, if that many are of a size between the least and the greatest number of nodes.
-BLOCKS, LEAST_BLOCK, GREATEST_BLOCK = 12, 2048, 32_768
-
-
-def _pack(key: tuple, ways: pa.Table) -> pa.Table:
-    """The edges (i, j, weight) from one block to another: the rows i that have any, where each one's edges start, and of each edge the place of j among the j that occur."""
-    i, j, weight = (ways.column(c).to_numpy() for c in ("i", "j", "weight"))
-    order = np.lexsort((j, i))
-    rows, starts = np.unique(i[order], return_index=True)
-    place = np.unique(j, return_inverse=True)[1].ravel()[order]
-    data = [rows.astype("<i4"), starts.astype("<i8"), place.astype("<i4"), weight[order].astype("<f8")]
-    return pa.table([pa.array([key[0].as_py()], pa.int64()), pa.array([key[1].as_py()], pa.int64()), *[pa.array([x.tobytes()], pa.binary()) for x in data]], names=["block", "other", "rows", "starts", "place", "weight"])
-
-
-class Blocks:
-    """A graph in blocks: ``nodes`` (node, block, at), each block's places from 0, and ``packs``, the edges of a row's block with one other block.
-
-    As edges stand both ways, the rows of a pack are also the values that the other block needs from this one: a value moves once for each block that
-    needs it, and at most once for each edge. A pack is small matrices for numpy, so a product makes no row for an edge.
-    """
-
-    def __init__(self, graph: Graph):
-        count = graph.degrees.count()
-        each = min(max(-(-count // BLOCKS), LEAST_BLOCK), GREATEST_BLOCK)
-        self.count = max(1, -(-count // each))
-        dealt = graph.degrees.select("node", F.pmod(F.xxhash64("node"), F.lit(self.count)).cast("long").alias("block"))
-        self.nodes = cut(dealt.withColumn("at", (F.row_number().over(Window.partitionBy("block").orderBy("node")) - 1).cast("long")))
-        ends = [self.nodes.select(F.col("node").alias(x), F.col("block").alias(name), F.col("at").alias(at)) for x, name, at in (("a", "block", "i"), ("b", "other", "j"))]
-        ways = graph.edges.join(ends[1], "b").join(ends[0], "a").select("block", "other", "i", "j", "weight")
-        packs = ways.groupBy("block", "other").applyInArrow(_pack, "block long, other long, rows binary, starts binary, place binary, weight binary")
-        self.packs = packs.repartition(self.count, "block").sortWithinPartitions("block").persist(StorageLevel.MEMORY_AND_DISK)
-
-
 # A block's state is one array of the scale s, the solution x, the residual r, the direction p and the product ap, each with a row for a node and a column for a right side.
 
 
@@ -359,10 +347,7 @@ def _stepped(width: int, factors: tuple[np.ndarray, np.ndarray, np.ndarray] | No
             a, b, moves = factors
             x, r = x + a * p, r - a * ap
             p = np.where(moves, r + b * p, p)
-        out, scaled = [(block, -1, np.stack([s, x, r, p, ap]).tobytes())], s * p
-        for other, rows in zip(packs.column("other").to_pylist(), packs.column("rows"), strict=True):
-            out.append((other, block, scaled[np.frombuffer(rows.as_buffer(), "<i4")].tobytes()))
-        return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["block", "other", "data"])
+        return _sent(block, np.stack([s, x, r, p, ap]), s * p, packs)
 
     return run
 
@@ -373,16 +358,9 @@ def _multiplied(width: int):
     def run(packs: pa.Table, sent: pa.Table) -> pa.Table:
         came = dict(zip(sent.column("other").to_pylist(), sent.column("data"), strict=True))
         s, x, r, p, _ = _matrices(came[-1], width)
-        y = np.zeros_like(p)
-        of = packs.column("other").to_numpy()
-        for k in np.argsort(of):  # in one order, so that sums don't depend on how rows arrive
-            rows, starts, place, weight = (np.frombuffer(packs.column(c)[int(k)].as_buffer(), t) for c, t in (("rows", "<i4"), ("starts", "<i8"), ("place", "<i4"), ("weight", "<f8")))
-            values = np.frombuffer(came[int(of[k])].as_buffer(), "<f8").reshape(-1, width)
-            y[rows] += np.add.reduceat(weight[:, None] * values[place], starts, axis=0)
-        ap = p - s * y
+        ap = p - s * _neighbours_sum(packs, came, len(p), width)
         sums = np.concatenate([(u * v).sum(axis=0) for u, v in ((r, r), (p, ap), (r, ap), (ap, ap))])
-        data = [pa.array([sent.column("block")[0].as_py()], pa.int64()), pa.array([np.stack([s, x, r, p, ap]).tobytes()], pa.binary()), pa.array([sums.tolist()], pa.list_(pa.float64()))]
-        return pa.table(data, names=["block", "data", "sums"])
+        return _kept(sent, np.stack([s, x, r, p, ap]), sums, came)
 
     return run
 
@@ -409,17 +387,12 @@ def _conjugate_gradients(graph: Graph, start: DataFrame, columns: list[str], tol
     spark, width, blocks = start.sparkSession, len(columns), graph.blocks
     top = f"{shared_dir(spark)}/gradients-{uuid.uuid4().hex}"
     begun = start.join(blocks.nodes, "node").select("block", "at", "scale", "right").groupBy("block").applyInArrow(_begun(width), "block long, data binary")
-    packs = blocks.packs.groupBy("block")
     state, factors, first = begun, None, None
     for step in range(most + 1):
-        needs = blocks.packs.select("block", "other", "rows").groupBy("block")
-        sent = needs.cogroup(state.groupBy("block")).applyInArrow(_stepped(width, factors), "block long, other long, data binary")
-        packs.cogroup(sent.groupBy("block")).applyInArrow(_multiplied(width), "block long, data binary, sums array<double>").write.option("compression", "none").parquet(f"{top}/{step}")
-        table = spark.read.schema("block long, data binary, sums array<double>").parquet(f"{top}/{step}")
+        table, sums = blocks.step(state, _stepped(width, factors), _multiplied(width), f"{top}/{step}")
         if step:
             remove(spark, f"{top}/{step - 1}")
-        got = [r["sums"] for r in table.select("block", "sums").orderBy("block").collect()]  # a row for each block
-        rr, pap, rap, apap = np.sum(got, axis=0).reshape(4, width) if got else np.zeros((4, width))
+        rr, pap, rap, apap = sums.reshape(4, width) if sums.size else np.zeros((4, width))
         first = rr if first is None else first
         moves = (rr > tolerance**2 * first) & (pap > 0)
         if not moves.any() or step == most:

@@ -247,3 +247,30 @@ def test_a_value_moves_once_for_each_block_that_needs_it(spark, monkeypatch):
         for at, value in fixed.items():
             lap[at], lap[at, at], right[at] = 0, 1, value
         assert [got[i][column] for i in range(150)] == pytest.approx(np.linalg.solve(lap, right), abs=1e-7)
+
+
+@pytest.mark.parametrize("form", ["combinatorial", "randomwalk", "normalized"])
+def test_eigenvectors_over_several_blocks_take_a_step_a_product(spark, monkeypatch, form):
+    """Before, a product made a row for each edge, and a subspace that was full was filtered in dozens of further products."""
+    monkeypatch.setattr(solvers, "LEAST_BLOCK", 16)
+    monkeypatch.setattr(solvers, "BLOCKS", 4)
+    taken, real = [], solvers.Blocks.step
+    monkeypatch.setattr(solvers.Blocks, "step", lambda self, *a: (taken.append(a), real(self, *a))[1])
+    rng = np.random.default_rng(21)
+    w = np.triu(rng.uniform(0.1, 1, (160, 160)) * (rng.random((160, 160)) < 0.06), 1)
+    w[0, 1:150] = 0.3
+    w = w + w.T
+    w[158:], w[:, 158:] = 0, 0
+    with solvers.Graph(as_edges(spark, w), node_table(spark, 160)) as graph:
+        assert graph.blocks.count == 4
+        got = solvers.eigenvectors(graph, 5, form, tolerance=1e-7, steps=3, restarts=30)
+        vectors = matrix_of(got.vectors)
+    scale = w.sum(axis=1).max() if form == "combinatorial" else 1.0
+    assert len(taken) == got.products and got.residuals.max() < 1e-7 * scale
+    assert got.values == pytest.approx(np.linalg.eigvalsh(dense(w, form))[:5], abs=1e-9 * scale)
+    if form == "randomwalk":
+        d = w.sum(axis=1)
+        assert np.abs(d[:, None] * vectors - w @ vectors - d[:, None] * vectors * got.values).max() < 1e-6 * d.max()
+    else:
+        assert vectors.T @ vectors == pytest.approx(np.eye(5), abs=1e-8)
+        assert np.linalg.norm(dense(w, form) @ vectors - vectors * got.values, axis=0).max() < 1.1e-7 * scale
