@@ -75,8 +75,9 @@ class Graph:
 
 # --- the graph in blocks ---
 
-#: Blocks of nodes that a graph is cut into, if that many are of a size between the least and the greatest number of nodes.
-BLOCKS, LEAST_BLOCK, GREATEST_BLOCK = 12, 2048, 32_768
+#: Blocks of nodes that a graph is cut into, if that many are of a size between the least and the greatest number of nodes. A task holds
+#: several times a block's state and all that comes to it, in the JVM and in Python, so larger graphs have more blocks, not larger ones.
+BLOCKS, LEAST_BLOCK, GREATEST_BLOCK = 12, 2048, 8192
 #: Bytes that steps move before the shuffle files behind them are let go.
 SWEEP = 1 << 28
 

@@ -274,3 +274,11 @@ def test_eigenvectors_over_several_blocks_take_a_step_a_product(spark, monkeypat
     else:
         assert vectors.T @ vectors == pytest.approx(np.eye(5), abs=1e-8)
         assert np.linalg.norm(dense(w, form) @ vectors - vectors * got.values, axis=0).max() < 1.1e-7 * scale
+
+
+def test_a_block_stays_small_however_large_the_graph(spark):
+    """Before, blocks grew to 32,768 nodes, whose states and messages filled an executor."""
+    edges = spark.range(110_000).selectExpr("id a", "id + 1 b", "1.0 weight")
+    with solvers.Graph(edges) as graph:
+        sizes = [r["count"] for r in graph.blocks.nodes.groupBy("block").count().collect()]
+    assert sum(sizes) == 110_001 and max(sizes) < 8192 * 1.05
